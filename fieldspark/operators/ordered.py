@@ -17,6 +17,7 @@ Kinds of scan output (``specs`` = list of ``(name, kind, expr)``):
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,11 +35,16 @@ def _sort_cols(cols: list[str]) -> list[Column]:
 
 
 def bucketize(df: DataFrame, part_cols: list[str], order_cols: list[str], n: int | None = None) -> DataFrame:
-    """Range-partition on (part, order) and tag every row with its contiguous bucket id."""
+    """Range-partition on (part, order) and tag every row with its contiguous bucket id.
+
+    The result is persisted: the scan reads it twice (bucket windows and carry table) and both
+    reads must see the same bucket of every row. Two separate range exchanges would each sample
+    their own boundaries; the persisted RDD keeps one partitioner, also when a lost block is
+    recomputed after an executor failure. (A user-fixed partition count is never coalesced by AQE.)
+    """
     n = _n_buckets(df, n)
-    return df.repartitionByRange(n, *_sort_cols(part_cols + order_cols)).withColumn(
-        BUCKET, F.spark_partition_id()
-    )
+    out = df.repartitionByRange(n, *_sort_cols(part_cols + order_cols)).withColumn(BUCKET, F.spark_partition_id())
+    return out.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], prefix: str) -> DataFrame:
@@ -64,7 +70,10 @@ def ordered_scan(
     keys = part_cols + [BUCKET]
     w = Window.partitionBy(*keys).orderBy(*_sort_cols(order_cols))
     up = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    down = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # "first at or after" = "last at or before" in reverse order: a running frame, O(n) per bucket
+    # (a CURRENT ROW..UNBOUNDED FOLLOWING frame is re-aggregated per row, O(n^2))
+    rev = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_first() for c in order_cols])
+    down = rev.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     local = b.withColumn("_lpos", F.row_number().over(w))
     loc_cols: dict[str, Column] = {}
@@ -72,7 +81,7 @@ def ordered_scan(
         if kind == "last":
             loc_cols[f"_l_{name}"] = F.last(e, True).over(up)
         elif kind == "first":
-            loc_cols[f"_l_{name}"] = F.first(e, True).over(down)
+            loc_cols[f"_l_{name}"] = F.last(e, True).over(down)
         elif kind == "sum":
             loc_cols[f"_l_{name}"] = F.sum(e).over(up)
         elif kind == "last_pos":

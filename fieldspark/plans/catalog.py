@@ -352,3 +352,351 @@ FROM (SELECT *, greatest(0.0, COALESCE(temp - 10.0, 0.0)) AS gdd_daily FROM obs)
 def q_gdd(spark, d):
     out = gdd(obs(spark, d), 10.0, "temp", "date", "field_id", "rid")
     return out.select("rid", "field_id", "date", r6("gdd_daily").alias("gdd_daily"), r6("gdd_accumulated").alias("gdd_accumulated"))
+
+
+# --------------------------------------------------------------------------------------------
+# quality profile
+
+from fieldspark.operators import profile as P  # noqa: E402
+
+_OBS_COLS = ["rid", "date", "field_id", "crop", "temp", "humidity", "day"]
+
+
+def _null_sql(cols: list[str], src: str) -> str:
+    parts = [
+        f"SELECT '{c}' AS \"column\", CAST(count(*) - count({c}) AS BIGINT) AS null_count, "
+        f"ROUND(avg(CAST({c} IS NULL AS DOUBLE)) * 100.0, 2) AS null_pct FROM {src}"
+        for c in cols
+    ]
+    return "\nUNION ALL ".join(parts)
+
+
+@register("null_table", with_ctes(OBS_SQL) + _null_sql(_OBS_COLS, "obs"))
+def q_null_table(spark, d):
+    return P.null_table(obs(spark, d))
+
+
+@register(
+    "null_ratio",
+    with_ctes(OBS_SQL)
+    + "\nUNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", avg(CAST({c} IS NULL AS DOUBLE)) AS null_ratio, avg(CAST({c} IS NULL AS DOUBLE)) > 0.5 AS dropped FROM obs"
+        for c in _OBS_COLS
+    ),
+)
+def q_null_ratio(spark, d):
+    return P.null_ratio_table(obs(spark, d), 0.5)
+
+
+_DESCRIBE_NUM = ["yield", "ph", "temp"]
+
+
+def _describe_sql() -> str:
+    parts = []
+    for c in _DESCRIBE_NUM:
+        parts.append(
+            f"""SELECT '{c}' AS "column", count({c}) AS count, CAST(NULL AS BIGINT) AS "unique",
+  ROUND(avg({c}), 3) AS mean, ROUND(stddev_samp({c}), 3) AS std, ROUND(min({c}), 3) AS min,
+  ROUND(quantile_cont({c}, 0.25), 3) AS p25, ROUND(quantile_cont({c}, 0.5), 3) AS p50, ROUND(quantile_cont({c}, 0.75), 3) AS p75,
+  ROUND(max({c}), 3) AS max, CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS freq FROM harvest"""
+        )
+    parts.append(
+        """SELECT 'crop', count(crop), count(DISTINCT crop), NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+  (SELECT crop FROM harvest WHERE crop IS NOT NULL GROUP BY crop ORDER BY count(*) DESC, crop LIMIT 1),
+  (SELECT count(*) FROM harvest WHERE crop IS NOT NULL GROUP BY crop ORDER BY count(*) DESC, crop LIMIT 1) FROM harvest"""
+    )
+    return with_ctes(HARVEST_SQL) + "\nUNION ALL ".join(parts)
+
+
+@register("describe_table", _describe_sql())
+def q_describe_table(spark, d):
+    return P.describe(harvest(spark, d).select(*_DESCRIBE_NUM, "crop"), digits=3)
+
+
+_BEFORE_AFTER_SQL = (
+    _CLEAN_CHAIN.rstrip()
+    + """,
+u AS (SELECT 'before' AS state, temp, humidity FROM obs UNION ALL SELECT 'after', temp, humidity FROM d WHERE rn = 1),
+l AS (UNPIVOT u ON temp, humidity INTO NAME "column" VALUE v)
+"""
+)
+
+
+@register(
+    "before_after_summary",
+    _CLEAN_CHAIN
+    + """
+SELECT rb AS rows_before, ra AS rows_after, rb - ra AS rows_removed, 7 AS cols_before, 7 AS cols_after,
+       ROUND(CAST(rb - ra AS DOUBLE) * 100.0 / rb, 2) AS pct_removed
+FROM (SELECT (SELECT count(*) FROM obs) AS rb, (SELECT count(*) FROM d WHERE rn = 1) AS ra)""",
+)
+def q_before_after_summary(spark, d):
+    before = obs(spark, d)
+    return P.before_after_summary(before, clean(before, OBS_PLAN).df)
+
+
+@register(
+    "boxplot_stats",
+    _BEFORE_AFTER_SQL
+    + """, q AS (SELECT state, "column", quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3
+          FROM l GROUP BY state, "column")
+SELECT q.state, q."column", q1, median, q3,
+       min(v) FILTER (WHERE v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1)) AS whisker_lo,
+       max(v) FILTER (WHERE v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1)) AS whisker_hi,
+       CAST(count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS BIGINT) AS n_fliers
+FROM q JOIN l ON q.state = l.state AND q."column" = l."column"
+GROUP BY q.state, q."column", q1, median, q3""",
+)
+def q_boxplot_stats(spark, d):
+    before = obs(spark, d)
+    return P.boxplot_stats(before, clean(before, OBS_PLAN).df, ["temp", "humidity"])
+
+
+@register(
+    "histogram_before_after",
+    _BEFORE_AFTER_SQL
+    + """, mm AS (SELECT "column", min(v) AS lo, max(v) AS hi FROM l GROUP BY "column")
+SELECT l."column", state,
+       least(CAST(floor((v - lo) / (CASE WHEN hi > lo THEN hi - lo ELSE 1.0 END) * 20.0) AS INTEGER) + 1, 20) AS bin,
+       CAST(count(*) AS BIGINT) AS n
+FROM l JOIN mm ON l."column" = mm."column"
+GROUP BY ALL""",
+)
+def q_histogram_before_after(spark, d):
+    before = obs(spark, d)
+    return P.histogram_before_after(before, clean(before, OBS_PLAN).df, ["temp", "humidity"], 20)
+
+
+@register(
+    "raw_anomaly_counts",
+    with_ctes(HARVEST_SQL)
+    + """
+SELECT CAST(count(*) AS BIGINT) AS "rows",
+       CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT field_id, date FROM harvest)) AS BIGINT) AS duplicate_keys,
+       CAST(count(*) FILTER (WHERE temp < 5.0 OR temp > 36.0) AS BIGINT) AS temp_out_of_range,
+       CAST(count(*) FILTER (WHERE ph < 5.0 OR ph > 6.5) AS BIGINT) AS ph_out_of_range
+FROM harvest""",
+)
+def q_raw_anomaly_counts(spark, d):
+    return P.raw_anomaly_counts(harvest(spark, d), ["field_id", "date"], {"temp": (5.0, 36.0), "ph": (5.0, 6.5)})
+
+
+# --------------------------------------------------------------------------------------------
+# features, split, model statistics
+
+from fieldspark.operators import features as FE  # noqa: E402
+from fieldspark.operators import model as MO  # noqa: E402
+from fieldspark.operators import split as SP  # noqa: E402
+
+_FEAT = ["yield", "ph", "temp"]
+_EPS = "2.220446049250313e-15"  # 10 * float epsilon: a smaller scale is treated as 0 -> 1
+
+
+def _std_sql(cols: list[str]) -> str:
+    return "s AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in cols) + " FROM harvest)"
+
+
+def _scaled(c: str) -> str:
+    return f"(({c} - m_{c}) / (CASE WHEN s_{c} < {_EPS} THEN 1.0 ELSE s_{c} END))"
+
+
+@register(
+    "scale_standard",
+    with_ctes(HARVEST_SQL, _std_sql(_FEAT)) + "SELECT rid, " + ", ".join(f"ROUND({_scaled(c)}, 6) AS {c}" for c in _FEAT) + " FROM harvest, s",
+)
+def q_scale_standard(spark, d):
+    h = harvest(spark, d)
+    out = FE.apply_scaler(h, FE.fit_scaler(h, _FEAT, "standard"))
+    return out.select("rid", *[r6(c).alias(c) for c in _FEAT])
+
+
+def _robust_sql(cols: list[str]) -> str:
+    return (
+        "s AS (SELECT "
+        + ", ".join(
+            f"quantile_cont({c}, 0.5) AS m_{c}, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS s_{c}" for c in cols
+        )
+        + " FROM harvest)"
+    )
+
+
+@register(
+    "scale_robust",
+    with_ctes(HARVEST_SQL, _robust_sql(_FEAT)) + "SELECT rid, " + ", ".join(f"ROUND({_scaled(c)}, 6) AS {c}" for c in _FEAT) + " FROM harvest, s",
+)
+def q_scale_robust(spark, d):
+    h = harvest(spark, d)
+    out = FE.apply_scaler(h, FE.fit_scaler(h, _FEAT, "robust"))
+    return out.select("rid", *[r6(c).alias(c) for c in _FEAT])
+
+
+@register(
+    "scaler_params",
+    with_ctes(HARVEST_SQL, _std_sql(_FEAT))
+    + "\nUNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", 'standard' AS type, ROUND(m_{c}, 6) AS center, "
+        f"ROUND(CASE WHEN s_{c} < {_EPS} THEN 1.0 ELSE s_{c} END, 6) AS scale FROM s"
+        for c in _FEAT
+    ),
+)
+def q_scaler_params(spark, d):
+    h = harvest(spark, d)
+    t = FE.scaler_table(spark, FE.fit_scaler(h, _FEAT, "standard"))
+    return t.select("column", "type", r6("center").alias("center"), r6("scale").alias("scale"))
+
+
+@register(
+    "label_encode",
+    with_ctes(HARVEST_SQL)
+    + """
+SELECT rid, crop, field_id,
+       CAST(dense_rank() OVER (ORDER BY COALESCE(crop, 'nan')) - 1 AS INTEGER) AS crop_code,
+       CAST(dense_rank() OVER (ORDER BY COALESCE(field_id, 'nan')) - 1 AS INTEGER) AS field_id_code
+FROM harvest""",
+)
+def q_label_encode(spark, d):
+    return FE.label_encode(harvest(spark, d), ["crop", "field_id"]).select("rid", "crop", "field_id", "crop_code", "field_id_code")
+
+
+@register(
+    "onehot_encode",
+    with_ctes(HARVEST_SQL)
+    + "SELECT rid, "
+    + ", ".join(f"CAST(COALESCE(crop, 'nan') = '{v}' AS DOUBLE) AS crop_{v}" for v in ("A", "N", "R"))
+    + " FROM harvest",
+)
+def q_onehot_encode(spark, d):
+    out, names = FE.onehot_encode(harvest(spark, d), ["crop"])
+    return out.select("rid", *names)
+
+
+@register(
+    "feature_matrix",
+    with_ctes(HARVEST_SQL, _std_sql(["ph", "temp"]))
+    + f"""
+SELECT rid,
+       [CAST({_scaled('ph')} AS FLOAT), CAST({_scaled('temp')} AS FLOAT),
+        CAST(dense_rank() OVER (ORDER BY COALESCE(crop, 'nan')) - 1 AS FLOAT)] AS features,
+       CAST(yield AS FLOAT) AS target
+FROM harvest, s""",
+)
+def q_feature_matrix(spark, d):
+    spec = FE.FeatureSpec(numeric=["ph", "temp"], categorical=["crop"], target="yield")
+    return FE.feature_matrix(harvest(spark, d), spec, "rid")[0]
+
+
+@register(
+    "finite_check",
+    with_ctes(OBS_SQL)
+    + "\nUNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", CAST(count(*) FILTER (WHERE {c} IS NULL OR isnan({c}) OR isinf({c})) AS BIGINT) AS n_nonfinite FROM obs"
+        for c in ("temp", "humidity")
+    ),
+)
+def q_finite_check(spark, d):
+    return FE.nonfinite_counts(obs(spark, d), ["temp", "humidity"])
+
+
+def _tokens_spark(text):
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
+
+
+@register(
+    "schema_hash",
+    """
+SELECT doc_id, substr(sha256(array_to_string(list_sort(regexp_extract_all(lower(text), '[a-z0-9]+')), ',')), 1, 16) AS schema_hash
+FROM documents""",
+)
+def q_schema_hash(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    catalog = docs.select("doc_id", F.explode(_tokens_spark(F.col("text"))).alias("column"))
+    hashed = FE.schema_hash_by_group(catalog, "doc_id")
+    # a document without any token has an empty catalogue: hash of the empty name list
+    return docs.select("doc_id").join(hashed, "doc_id", "left").select(
+        "doc_id", F.coalesce("schema_hash", F.substring(F.sha2(F.lit(""), 256), 1, 16)).alias("schema_hash")
+    )
+
+
+_SPLIT_CTE = """ranked AS (
+  SELECT o_orderkey, row_number() OVER (ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) AS p,
+         count(*) OVER () AS n FROM orders),
+thr AS (SELECT DISTINCT n, floor(CAST(0.7 AS DOUBLE) * n) AS nt FROM ranked),
+thr2 AS (SELECT n, nt, floor((CAST(0.2 AS DOUBLE) / (CAST(0.2 AS DOUBLE) + CAST(0.1 AS DOUBLE))) * (n - nt)) AS nv FROM thr),
+labelled AS (
+  SELECT o_orderkey, CASE WHEN p <= nt THEN 'train' WHEN p <= nt + nv THEN 'val' ELSE 'test' END AS split
+  FROM ranked, thr2)"""
+
+
+def _orders_split(spark, d):
+    return SP.split_exact(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey"), "o_orderkey", (0.7, 0.2, 0.1), 42)
+
+
+@register("split_exact", "WITH " + _SPLIT_CTE + "\nSELECT o_orderkey, split FROM labelled")
+def q_split_exact(spark, d):
+    return _orders_split(spark, d)
+
+
+@register(
+    "split_counts",
+    "WITH " + _SPLIT_CTE + "\nSELECT split, CAST(count(*) AS BIGINT) AS n FROM labelled GROUP BY split "
+    "UNION ALL SELECT 'total', CAST(count(*) AS BIGINT) FROM labelled",
+)
+def q_split_counts(spark, d):
+    return SP.split_counts(_orders_split(spark, d))
+
+
+@register(
+    "feature_stats",
+    with_ctes(HARVEST_SQL, _std_sql(_FEAT), "z AS (SELECT " + ", ".join(f"{_scaled(c)} AS {c}" for c in _FEAT) + " FROM harvest, s)")
+    + "\nUNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", ROUND(avg({c}), 6) + 0.0 AS mean, ROUND(stddev_pop({c}), 6) + 0.0 AS std, "
+        f"ROUND(min({c}), 6) + 0.0 AS min, ROUND(max({c}), 6) + 0.0 AS max FROM z"
+        for c in _FEAT
+    ),
+)
+def q_feature_stats(spark, d):
+    h = harvest(spark, d)
+    z = FE.apply_scaler(h, FE.fit_scaler(h, _FEAT, "standard"))
+    st = MO.feature_stats(z, _FEAT)
+    return st.select("column", *[(r6(c) + F.lit(0.0)).alias(c) for c in ("mean", "std", "min", "max")])
+
+
+@register(
+    "correlation_matrix",
+    with_ctes(HARVEST_SQL)
+    + "\nUNION ALL ".join(
+        f"SELECT '{a}' AS feature_i, '{b}' AS feature_j, ROUND(corr({a}, {b}), 6) + 0.0 AS corr FROM harvest" for a in _FEAT for b in _FEAT
+    ),
+)
+def q_correlation_matrix(spark, d):
+    c = MO.correlation_matrix(harvest(spark, d), _FEAT)
+    return c.select("feature_i", "feature_j", (r6("corr") + F.lit(0.0)).alias("corr"))
+
+
+_RIDGE_SQL = with_ctes(
+    HARVEST_SQL,
+    _std_sql(["ph", "temp"]),
+    """ranked AS (SELECT rid, yield AS y, """ + _scaled("ph") + """ AS x1, """ + _scaled("temp") + """ AS x2,
+        row_number() OVER (ORDER BY md5('42:' || CAST(rid AS VARCHAR)), rid) AS p, count(*) OVER () AS n FROM harvest, s)""",
+    """thr AS (SELECT DISTINCT n, floor(CAST(0.7 AS DOUBLE) * n) AS nt FROM ranked)""",
+    """thr2 AS (SELECT n, nt, floor((CAST(0.2 AS DOUBLE) / (CAST(0.2 AS DOUBLE) + CAST(0.1 AS DOUBLE))) * (n - nt)) AS nv FROM thr)""",
+    """z AS (SELECT y, x1, x2, CASE WHEN p <= nt THEN 'train' WHEN p <= nt + nv THEN 'val' ELSE 'test' END AS split FROM ranked, thr2)""",
+    """t AS (SELECT count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my,
+               sum(x1 * x1) AS s11, sum(x1 * x2) AS s12, sum(x2 * x2) AS s22, sum(x1 * y) AS s1y, sum(x2 * y) AS s2y
+        FROM z WHERE split = 'train')""",
+    """a AS (SELECT n, m1, m2, my, s11 - n * m1 * m1 + 1.0 AS a11, s12 - n * m1 * m2 AS a12, s22 - n * m2 * m2 + 1.0 AS a22,
+               s1y - n * m1 * my AS b1, s2y - n * m2 * my AS b2 FROM t)""",
+    """w AS (SELECT n, (a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12) AS w1, (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) AS w2,
+               m1, m2, my FROM a)""",
+) + """SELECT ROUND(avg(power(y - (my - m1 * w1 - m2 * w2 + w1 * x1 + w2 * x2), 2)), 6) AS baseline_mse,
+       CAST(max(w.n) AS BIGINT) AS n_train, CAST(count(*) AS BIGINT) AS n_val
+FROM z, w WHERE split = 'val'"""
+
+
+@register("ridge_baseline", _RIDGE_SQL)
+def q_ridge_baseline(spark, d):
+    h = harvest(spark, d)
+    z = FE.apply_scaler(h, FE.fit_scaler(h, ["ph", "temp"], "standard"))
+    z = SP.split_exact(z, "rid", (0.7, 0.2, 0.1), 42)
+    out = MO.ridge_baseline(z, ["ph", "temp"], "yield", "split")
+    return out.select(r6("baseline_mse").alias("baseline_mse"), "n_train", "n_val")

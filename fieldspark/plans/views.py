@@ -4,7 +4,8 @@ The driver tables hold no NULLs, so missing cells are injected deterministically
 every row of the source table is kept.
 
 * ``obs``     over ``events``:   one weather observation per event.
-* ``harvest`` over ``lineitem``: one yield measurement per line item.
+* ``harvest`` over ``lineitem``: one yield measurement per line item. ``(orderkey, linenumber)``
+  repeats in the driver data, so the row id is the text key ``orderkey:linenumber:partkey:suppkey``.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ OBS_SQL = """obs AS (
 def harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("rid"),
+        F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("rid"),
         F.col("l_suppkey").cast("string").alias("field_id"),
         F.col("l_shipdate").alias("date"),
         F.col("l_returnflag").alias("crop"),
@@ -56,7 +57,7 @@ def harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HARVEST_SQL = """harvest AS (
-  SELECT l_orderkey * 8 + l_linenumber AS rid, CAST(l_suppkey AS VARCHAR) AS field_id,
+  SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rid, CAST(l_suppkey AS VARCHAR) AS field_id,
          l_shipdate AS date, l_returnflag AS crop, l_quantity AS yield,
          l_discount * 100.0 AS ph, l_tax * 500.0 AS temp
   FROM lineitem)"""
