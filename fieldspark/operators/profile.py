@@ -186,3 +186,40 @@ def raw_anomaly_counts(df: DataFrame, keys: list[str], bounds: dict[str, tuple[f
     for c, (lo, hi) in bounds.items():
         aggs.append(F.count_if((F.col(c) < F.lit(float(lo))) | (F.col(c) > F.lit(float(hi)))).cast("bigint").alias(f"{c}_out_of_range"))
     return df.agg(*aggs)
+
+
+# --- fixed values: column descriptions (name -> unit, description) ------------------------------
+COLUMN_DESCRIPTIONS = {
+    "temp": ("°C", "Temperatura media giornaliera"),
+    "temperatura": ("°C", "Temperatura media giornaliera"),
+    "humidity": ("%", "Umidità relativa aria"),
+    "umidità": ("%", "Umidità relativa aria"),
+    "rainfall": ("mm", "Precipitazione giornaliera"),
+    "pioggia": ("mm", "Precipitazione giornaliera"),
+    "ph": ("pH", "Acidità del suolo"),
+    "yield": ("t/ha", "Resa colturale"),
+    "resa": ("t/ha", "Resa colturale"),
+    "n": ("kg/ha", "Concimazione azotata"),
+    "azoto": ("kg/ha", "Concimazione azotata"),
+    "soil_moisture": ("%", "Umidità del suolo"),
+    "irrigation": ("mm", "Irrigazione applicata"),
+    "organic_matter": ("%", "Sostanza organica del suolo"),
+}
+DEFAULT_DESCRIPTION_PREFIX = "Colonna "
+
+
+def description_table(spark) -> DataFrame:
+    rows = [(k, u, d) for k, (u, d) in COLUMN_DESCRIPTIONS.items()]
+    return spark.createDataFrame(rows, "name string, unit string, description string")
+
+
+def column_catalog(stats: DataFrame, name_col: str = "column") -> DataFrame:
+    """Adds unit and description to a per-column table (left join on lower(name); the lookup is a
+    fixed 14-row table, broadcast); unknown columns get an empty unit and 'Colonna <name>'."""
+    desc = F.broadcast(description_table(stats.sparkSession))
+    j = stats.join(desc, F.lower(stats[name_col]) == desc["name"], "left")
+    return j.select(
+        *[stats[c] for c in stats.columns],
+        F.coalesce(desc["unit"], F.lit("")).alias("unit"),
+        F.coalesce(desc["description"], F.concat(F.lit(DEFAULT_DESCRIPTION_PREFIX), stats[name_col])).alias("description"),
+    )

@@ -700,3 +700,213 @@ def q_ridge_baseline(spark, d):
     z = SP.split_exact(z, "rid", (0.7, 0.2, 0.1), 42)
     out = MO.ridge_baseline(z, ["ph", "temp"], "yield", "split")
     return out.select(r6("baseline_mse").alias("baseline_mse"), "n_train", "n_val")
+
+
+# --------------------------------------------------------------------------------------------
+# presets, column catalogue
+
+from fieldspark.operators import units as U  # noqa: E402
+from fieldspark.operators import corrupt as CO  # noqa: E402
+from fieldspark.plans.views import table  # noqa: E402
+from fieldspark.sources import presets as PR  # noqa: E402
+from fieldspark.plans.clean import coerce  # noqa: E402
+from fieldspark.functions.columns import normalise_date  # noqa: E402
+
+_FLAG_PRESET = [("A", "riso_novarese"), ("N", "mais_cuneese_irriguo"), ("R", "vite_nebbiolo_barolo")]
+
+
+def _presets_values_sql() -> str:
+    rows = []
+    for r in PR.preset_records():
+        name, region, crop, _disp, _z, _s, mx, tlo, thi, plo, phi, months, _sal, _tb = r
+        rows.append(
+            f"('{name}', '{region}', CAST({mx} AS DOUBLE), CAST({tlo} AS DOUBLE), CAST({thi} AS DOUBLE), "
+            f"CAST({plo} AS DOUBLE), CAST({phi} AS DOUBLE), {list(months)})"
+        )
+    return "p(name, region, max_yield, temp_lo, temp_hi, ph_lo, ph_hi, months) AS (VALUES " + ", ".join(rows) + ")"
+
+
+_MAP_SQL = "m(flag, preset) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _FLAG_PRESET) + ")"
+
+
+def _harvest_with_preset(spark, d):
+    m = spark.createDataFrame(_FLAG_PRESET, "flag string, preset string")
+    h = harvest(spark, d)
+    return h.join(F.broadcast(m), h["crop"] == m["flag"], "left").drop("flag")
+
+
+@register(
+    "preset_rules_join",
+    with_ctes(HARVEST_SQL, _presets_values_sql(), _MAP_SQL)
+    + """
+SELECT rid, m.preset,
+       CASE WHEN temp < temp_lo OR temp > temp_hi THEN NULL ELSE temp END AS temp,
+       CASE WHEN ph < ph_lo OR ph > ph_hi THEN NULL ELSE ph END AS ph,
+       CASE WHEN yield > max_yield THEN NULL
+            WHEN yield > 0 AND len(months) > 0 AND NOT list_contains(months, CAST(month(date) AS INTEGER)) THEN NULL
+            ELSE yield END AS yield
+FROM harvest LEFT JOIN m ON harvest.crop = m.flag LEFT JOIN p ON m.preset = p.name""",
+)
+def q_preset_rules_join(spark, d):
+    out = PR.apply_preset_rules(_harvest_with_preset(spark, d), PR.presets_table(spark), "preset")
+    return out.select("rid", "preset", "temp", "ph", "yield")
+
+
+@register(
+    "list_presets",
+    with_ctes(HARVEST_SQL, _presets_values_sql(), _MAP_SQL)
+    + """
+SELECT region, list_sort(list(DISTINCT p.name)) AS presets, CAST(count(*) AS BIGINT) AS n_rows
+FROM harvest JOIN m ON harvest.crop = m.flag JOIN p ON m.preset = p.name
+GROUP BY region""",
+)
+def q_list_presets(spark, d):
+    p = PR.presets_table(spark)
+    j = _harvest_with_preset(spark, d).join(F.broadcast(p), F.col("preset") == p["name"], "inner")
+    return j.groupBy("region").agg(F.sort_array(F.collect_set("name")).alias("presets"), F.count(F.lit(1)).cast("bigint").alias("n_rows"))
+
+
+_CAT_COLS = ["yield", "ph", "temp", "tax"]
+
+
+@register(
+    "column_catalog",
+    with_ctes(
+        HARVEST_SQL,
+        "h AS (SELECT h0.*, l_tax AS tax FROM harvest h0 JOIN lineitem ON h0.rid = concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey))",
+        "dsc(name, unit, description) AS (VALUES " + ", ".join(f"('{k}', '{u}', '{v}')" for k, (u, v) in P.COLUMN_DESCRIPTIONS.items()) + ")",
+        "st AS ("
+        + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", ROUND(avg({c}), 6) AS mean, ROUND(stddev_pop({c}), 6) AS std FROM h" for c in _CAT_COLS)
+        + ")",
+    )
+    + """SELECT st."column", mean, std, COALESCE(unit, '') AS unit, COALESCE(description, 'Colonna ' || st."column") AS description
+FROM st LEFT JOIN dsc ON lower(st."column") = dsc.name""",
+)
+def q_column_catalog(spark, d):
+    li = table(spark, d, "lineitem")
+    h = harvest(spark, d).join(
+        li.select(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("rid"), F.col("l_tax").alias("tax")), "rid"
+    )
+    st = MO.feature_stats(h, _CAT_COLS).select("column", r6("mean").alias("mean"), r6("std").alias("std"))
+    return P.column_catalog(st)
+
+
+# --------------------------------------------------------------------------------------------
+# units, coercion, dates
+
+
+@register(
+    "unit_convert",
+    with_ctes(OBS_SQL)
+    + "SELECT rid, ROUND((temp - 32.0) * 5.0 / 9.0, 6) AS temp, ROUND(humidity / 10.0 * 25.4, 6) AS rainfall FROM obs",
+)
+def q_unit_convert(spark, d):
+    o = obs(spark, d).select("rid", F.col("temp").alias("temp_f"), (F.col("humidity") / 10.0).alias("rain_in"))
+    out, _report = U.convert_units(o)
+    return out.select("rid", r6("temp").alias("temp"), r6("rainfall").alias("rainfall"))
+
+
+@register(
+    "unit_range_heuristic",
+    with_ctes(
+        HARVEST_SQL,
+        "x AS (SELECT rid, crop, CASE WHEN crop = 'R' THEN temp * 3.0 ELSE ph * 7.0 + 50.0 END AS t FROM harvest)",
+        "r AS (SELECT crop AS c, min(t) AS mn, max(t) AS mx FROM x GROUP BY crop)",
+    )
+    + """SELECT rid, crop, ROUND(CASE WHEN mn >= 50.0 AND mx <= 120.0 THEN (t - 32.0) * 5.0 / 9.0 ELSE t END, 6) AS temp
+FROM x JOIN r ON x.crop = r.c""",
+)
+def q_unit_range_heuristic(spark, d):
+    h = harvest(spark, d)
+    x = h.select("rid", "crop", F.when(F.col("crop") == "R", F.col("temp") * 3.0).otherwise(F.col("ph") * 7.0 + 50.0).alias("temp"))
+    return U.range_heuristic_by_source(x, "temp", "crop").select("rid", "crop", r6("temp").alias("temp"))
+
+
+def _text_lineitem(spark, d):
+    li = table(spark, d, "lineitem")
+    ln = F.col("l_linenumber")
+    q = F.col("l_quantity").cast("string")
+    return li.select(
+        F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("rid"),
+        F.when(ln == 3, F.regexp_replace(q, r"\.", ",")).when(ln == 5, F.lit("n/a")).otherwise(q).alias("yield"),
+        F.when(ln == 2, F.date_format("l_shipdate", "dd/MM/yyyy")).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("date"),
+    )
+
+
+@register(
+    "coerce_types",
+    """
+WITH t AS (
+  SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rid,
+         CASE WHEN l_linenumber = 3 THEN replace(CAST(l_quantity AS VARCHAR), '.', ',')
+              WHEN l_linenumber = 5 THEN 'n/a' ELSE CAST(l_quantity AS VARCHAR) END AS yield,
+         CASE WHEN l_linenumber = 2 THEN strftime(l_shipdate, '%d/%m/%Y') ELSE strftime(l_shipdate, '%Y-%m-%d') END AS date
+  FROM lineitem)
+SELECT rid, TRY_CAST(replace(trim(yield), ',', '.') AS DOUBLE) AS yield,
+       COALESCE(try_strptime(date, '%Y-%m-%d'), try_strptime(date, '%d/%m/%Y')) AS date
+FROM t""",
+)
+def q_coerce_types(spark, d):
+    return coerce(_text_lineitem(spark, d), ["date"], ["yield"]).select("rid", "yield", "date")
+
+
+@register(
+    "excel_serial_dates",
+    """
+WITH s AS (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN o_totalprice
+                          ELSE epoch(o_orderdate) / 86400.0 + 25569 + CAST(o_orderkey % 4 AS DOUBLE) / 4.0 END AS serial
+  FROM orders),
+t AS (SELECT o_orderkey, CASE WHEN serial > 30000 AND serial < 60000
+        THEN TIMESTAMP '1970-01-01 00:00:00' + to_microseconds(CAST(round((serial - 25569) * 86400000000.0) AS BIGINT)) END AS date
+      FROM s)
+SELECT o_orderkey, date FROM t WHERE date IS NOT NULL""",
+)
+def q_excel_serial_dates(spark, d):
+    o = table(spark, d, "orders")
+    serial = F.when(F.col("o_orderkey") % 10 == 0, F.col("o_totalprice")).otherwise(
+        F.unix_seconds(F.col("o_orderdate").cast("timestamp")) / 86400.0 + 25569 + (F.col("o_orderkey") % 4).cast("double") / 4.0
+    )
+    out = o.select("o_orderkey", normalise_date(serial).alias("date"))
+    return out.where(F.col("date").isNotNull())
+
+
+# --------------------------------------------------------------------------------------------
+# error injection
+
+
+def _u_sql(name: str, key: str, seed: int = 42) -> str:
+    return f"(CAST(('0x' || substr(md5('{seed}:{name}:' || CAST({key} AS VARCHAR)), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE))"
+
+
+@register(
+    "inject_errors",
+    with_ctes(
+        OBS_SQL,
+        f"""a AS (SELECT rid,
+   CASE WHEN {_u_sql('nan:temp', 'rid')} >= 0.08 THEN temp END AS temp,
+   CASE WHEN {_u_sql('nan:humidity', 'rid')} >= 0.08 THEN humidity END AS humidity FROM obs)""",
+        f"""b AS (SELECT rid,
+   CASE WHEN {_u_sql('spike:temp', 'rid')} < 0.03 THEN ROUND(200.0 * (0.5 + {_u_sql('amp:temp', 'rid')}), 2) ELSE temp END AS temp,
+   CASE WHEN {_u_sql('viol:humidity', 'rid')} < 0.02 THEN ROUND(101.0 + 49.0 * {_u_sql('humv', 'rid')}, 2) ELSE humidity END AS humidity
+   FROM a)""",
+    )
+    + f"""SELECT rid,
+   CASE WHEN {_u_sql('type:temp', 'rid')} < 0.02 AND temp IS NOT NULL THEN replace(CAST(temp AS VARCHAR), '.', ',') ELSE CAST(temp AS VARCHAR) END AS temp,
+   humidity FROM b""",
+)
+def q_inject_errors(spark, d):
+    return CO.inject_errors(obs(spark, d).select("rid", "temp", "humidity"), "rid")
+
+
+@register(
+    "inject_duplicates",
+    with_ctes(
+        HARVEST_SQL,
+        "r AS (SELECT rid, yield, row_number() OVER (ORDER BY md5('42:dup:' || rid), rid) AS p, count(*) OVER () AS n FROM harvest)",
+    )
+    + """SELECT rid, yield, 0 AS copy FROM r
+UNION ALL SELECT rid, yield, 1 AS copy FROM r WHERE p <= CAST(floor(CAST(n AS DOUBLE) * CAST(0.05 AS DOUBLE)) AS BIGINT)""",
+)
+def q_inject_duplicates(spark, d):
+    return CO.inject_duplicates(harvest(spark, d).select("rid", "yield"), "rid", 0.05, 42)
