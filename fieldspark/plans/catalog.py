@@ -910,3 +910,173 @@ UNION ALL SELECT rid, yield, 1 AS copy FROM r WHERE p <= CAST(floor(CAST(n AS DO
 )
 def q_inject_duplicates(spark, d):
     return CO.inject_duplicates(harvest(spark, d).select("rid", "yield"), "rid", 0.05, 42)
+
+
+# --------------------------------------------------------------------------------------------
+# ingest of delimited field files (written by Spark from ``orders``, read back by the ingest job)
+
+from fieldspark.plans import files as FF  # noqa: E402
+from fieldspark.sources import headers as HD  # noqa: E402
+from fieldspark.sources import ingest as IN  # noqa: E402
+
+_REQ_ALL = ("date", "field_id", "temp", "yield")
+_REQ_MIN = ("date", "field_id", "yield")
+
+
+def _lst(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+_FILES_SQL = f"""fl AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, o_orderstatus, CAST(floor(o_orderkey / 1000) AS BIGINT) AS f FROM orders),
+ff AS (SELECT DISTINCT f FROM fl),
+cells AS (
+  SELECT f, o_orderkey,
+    CASE WHEN f % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN f % 3 = 1 THEN strftime(o_orderdate, '%d/%m/%Y')
+         ELSE CAST(date_diff('day', DATE '1899-12-30', CAST(o_orderdate AS DATE)) AS VARCHAR) END AS c_date,
+    CAST(o_custkey AS VARCHAR) AS c_field,
+    CASE WHEN f % 5 = 4 THEN NULL WHEN f % 3 = 1 THEN replace(CAST(round(o_totalprice / 10000.0, 2) AS VARCHAR), '.', ',')
+         ELSE CAST(round(o_totalprice / 10000.0, 2) AS VARCHAR) END AS c_temp,
+    CASE WHEN f % 3 = 1 THEN replace(CAST(o_totalprice AS VARCHAR), '.', ',') ELSE CAST(o_totalprice AS VARCHAR) END AS c_yield,
+    o_orderstatus AS c_status,
+    [',', ';', chr(9)][f % 3 + 1] AS sep,
+    CASE WHEN f % 2 = 1 THEN 3 ELSE 1 END + row_number() OVER (PARTITION BY f ORDER BY o_orderkey) - 1 AS line_no
+  FROM fl),
+hdr AS (
+  SELECT f, [',', ';', chr(9)][f % 3 + 1] AS sep,
+    {_lst(FF.H_DATE)}[f % 4 + 1] AS h_date, {_lst(FF.H_FIELD)}[CAST(floor(f / 2) AS BIGINT) % 4 + 1] AS h_field,
+    CASE WHEN f % 5 = 4 THEN NULL ELSE {_lst(FF.H_TEMP)}[CAST(floor(f / 5) AS BIGINT) % 4 + 1] END AS h_temp,
+    {_lst(FF.H_YIELD)}[CAST(floor(f / 3) AS BIGINT) % 4 + 1] AS h_yield, '{FF.H_STATUS}' AS h_status
+  FROM ff),
+lines AS (
+  SELECT f, o_orderkey AS ord, c_date || sep || c_field || COALESCE(sep || c_temp, '') || sep || c_yield || sep || c_status AS line FROM cells
+  UNION ALL SELECT f, -1, h_date || sep || h_field || COALESCE(sep || h_temp, '') || sep || h_yield || sep || h_status FROM hdr
+  UNION ALL SELECT f, -3, '{FF.JUNK[0]}' || CAST(f AS VARCHAR) FROM ff WHERE f % 2 = 1
+  UNION ALL SELECT f, -2, '{FF.JUNK[1]}' FROM ff WHERE f % 2 = 1)"""
+
+
+def _field_files(spark, d):
+    path = FF.write_field_files(spark, d)
+    files = IN.read_files(spark, path)
+    lines = IN.file_lines(files)
+    layout = IN.sniff_layout(lines)
+    return path, files, lines, layout
+
+
+def _label(df):
+    return df.withColumn("source_file", FF.file_label(F.col("source_file")))
+
+
+@register(
+    "csv_layout",
+    "WITH " + _FILES_SQL + "\nSELECT 'file_id=' || f AS source_file, [',', ';', chr(9)][f % 3 + 1] AS sep, "
+    "CASE WHEN f % 5 = 4 THEN 4 ELSE 5 END AS n_columns FROM ff",
+)
+def q_csv_layout(spark, d):
+    _p, _f, _l, layout = _field_files(spark, d)
+    return _label(layout).select("source_file", "sep", "n_columns")
+
+
+@register("header_row", "WITH " + _FILES_SQL + "\nSELECT 'file_id=' || f AS source_file, CASE WHEN f % 2 = 1 THEN 2 ELSE 0 END AS header_line FROM ff")
+def q_header_row(spark, d):
+    _p, _f, lines, layout = _field_files(spark, d)
+    return _label(IN.header_rows(lines, layout, _REQ_ALL)).select("source_file", "header_line")
+
+
+def _targets_sql() -> str:
+    tg = HD.targets(list(_REQ_ALL), HD.SYNONYMS)
+    canon = sorted({c for _, c in tg})
+    prio = {c: len(canon) - i for i, c in enumerate(canon)}
+    return "tg(t, canonical, prio) AS (VALUES " + ", ".join(f"('{t}', '{c}', {prio[c]})" for t, c in tg) + ")"
+
+
+_HEADER_MATCH_SQL = (
+    "WITH "
+    + _FILES_SQL
+    + """,
+cat AS (
+  SELECT f, pos - 1 AS pos, trim(h) AS header FROM (
+    SELECT f, unnest(list_filter([h_date, h_field, h_temp, h_yield, h_status], lambda x: x IS NOT NULL)) AS h,
+           generate_subscripts(list_filter([h_date, h_field, h_temp, h_yield, h_status], lambda x: x IS NOT NULL), 1) AS pos
+    FROM hdr)),
+"""
+    + _targets_sql()
+    + """,
+sc AS (
+  SELECT f, pos, header, canonical, prio,
+    CASE WHEN n = t THEN 100.0 ELSE greatest(100.0 - 100.0 * CAST(levenshtein(n, t) AS DOUBLE) / greatest(length(n), length(t)),
+      CASE WHEN (starts_with(n, t) OR starts_with(t, n)) AND least(length(n), length(t)) >= 3 THEN 90.0 ELSE 0.0 END) END AS score
+  FROM (SELECT *, trim(regexp_replace(lower(header), '[^\\pL\\pN]', ' ', 'g')) AS n FROM cat), tg),
+best AS (SELECT f, pos, header, arg_max(canonical, (score, prio)) AS cand, max(score) AS score FROM sc GROUP BY f, pos, header),
+win AS (SELECT *, row_number() OVER (PARTITION BY f, cand ORDER BY score DESC, pos) AS r FROM best)"""
+)
+
+
+@register(
+    "header_match",
+    _HEADER_MATCH_SQL
+    + """
+SELECT 'file_id=' || f AS source_file, CAST(pos AS INTEGER) AS pos, header,
+       CASE WHEN score >= 85.0 AND r = 1 THEN cand END AS canonical, ROUND(score, 4) AS score
+FROM win""",
+)
+def q_header_match(spark, d):
+    _p, _f, lines, layout = _field_files(spark, d)
+    cat = IN.header_catalog(IN.header_rows(lines, layout, _REQ_ALL))
+    m = HD.match_headers(cat, list(_REQ_ALL), HD.SYNONYMS, 85.0)
+    return _label(m).select("source_file", "pos", "header", "canonical", F.round("score", 4).alias("score"))
+
+
+@register(
+    "missing_columns",
+    "WITH " + _FILES_SQL + "\nSELECT 'file_id=' || f AS source_file, CASE WHEN f % 5 = 4 THEN ['temp'] ELSE CAST([] AS VARCHAR[]) END AS missing FROM ff",
+)
+def q_missing_columns(spark, d):
+    path = FF.write_field_files(spark, d)
+    res = IN.ingest(spark, path, _REQ_ALL, HD.SYNONYMS, fuzzy=True, on_error="skip")
+    return _label(res.files).select("source_file", "missing")
+
+
+@register(
+    "file_quarantine",
+    "WITH " + _FILES_SQL + "\nSELECT 'file_id=' || f AS source_file, f % 5 <> 4 AS ok, "
+    "CASE WHEN f % 5 = 4 THEN 'missing columns: temp' END AS reason FROM ff",
+)
+def q_file_quarantine(spark, d):
+    path = FF.write_field_files(spark, d)
+    res = IN.ingest(spark, path, _REQ_ALL, HD.SYNONYMS, fuzzy=True, on_error="skip")
+    return _label(res.files).select("source_file", "ok", "reason")
+
+
+@register(
+    "batch_union",
+    "WITH " + _FILES_SQL + """
+SELECT 'file_id=' || f AS source_file, CAST(line_no AS INTEGER) AS line_no, c_date AS date, c_field AS field_id,
+       c_temp AS temp, c_yield AS yield, c_status AS stato
+FROM cells""",
+)
+def q_batch_union(spark, d):
+    path = FF.write_field_files(spark, d)
+    res = IN.ingest(spark, path, _REQ_MIN, HD.SYNONYMS, fuzzy=True, on_error="skip", normalise_dates=False)
+    return _label(res.df).select("source_file", "line_no", "date", "field_id", "temp", "yield", "stato")
+
+
+@register(
+    "ingest_normalised",
+    "WITH " + _FILES_SQL + """
+SELECT 'file_id=' || c.f AS source_file, CAST(line_no AS INTEGER) AS line_no, CAST(fl.o_orderdate AS TIMESTAMP) AS date,
+       c_field AS field_id, c_temp AS temp, c_yield AS yield
+FROM cells c JOIN fl USING (o_orderkey) WHERE c.f % 5 <> 4""",
+)
+def q_ingest_normalised(spark, d):
+    path = FF.write_field_files(spark, d)
+    res = IN.ingest(spark, path, _REQ_ALL, HD.SYNONYMS, fuzzy=True, on_error="skip", normalise_dates=True)
+    return _label(res.df).select("source_file", "line_no", "date", "field_id", "temp", "yield")
+
+
+@register(
+    "row_fingerprint",
+    "WITH " + _FILES_SQL + "\nSELECT 'file_id=' || f AS source_file, sha256(string_agg(line || chr(10), '' ORDER BY ord)) AS file_hash FROM lines GROUP BY f",
+)
+def q_row_fingerprint(spark, d):
+    _p, files, _l, _lay = _field_files(spark, d)
+    return _label(files).select("source_file", "file_hash")
