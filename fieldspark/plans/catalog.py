@@ -1080,3 +1080,42 @@ def q_ingest_normalised(spark, d):
 def q_row_fingerprint(spark, d):
     _p, files, _l, _lay = _field_files(spark, d)
     return _label(files).select("source_file", "file_hash")
+
+
+# --------------------------------------------------------------------------------------------
+# sinks (rows-only checks: their output is files written by Spark)
+
+from fieldspark.plans import export as EX  # noqa: E402
+
+HARVEST_PLAN = CleanPlan(
+    numeric_columns=("yield", "ph", "temp"),
+    categorical_columns=("crop",),
+    date_columns=("date",),
+    dedup_keys=(),
+    missing_strategy="median",
+    outlier_method="iqr",
+    physical_bounds={"ph": (0.0, 14.0), "temp": (-30.0, 60.0)},
+)
+
+
+def _bundle(spark, d):
+    res = clean(harvest(spark, d), HARVEST_PLAN)
+    diag = {r["metric"]: r["value"] for r in res.diagnostics.collect()}
+    spec = FE.FeatureSpec(numeric=["ph", "temp"], categorical=["crop"], target="yield")
+    out = FF.scratch_path(spark, "bundle")
+    return res, diag, EX.export_bundle(res.df, spec, out, "harvest", "rid", (0.7, 0.2, 0.1), 42, diag)
+
+
+@register("manifest")
+def q_manifest(spark, d):
+    _res, _diag, b = _bundle(spark, d)
+    return spark.read.text(b.manifest_path, wholetext=True)
+
+
+@register("run_log")
+def q_run_log(spark, d):
+    res, diag, b = _bundle(spark, d)
+    runs = FF.scratch_path(spark, "runs")
+    cfg = {k: v for k, v in HARVEST_PLAN.__dict__.items()}
+    rid = EX.log_run(spark, runs, cfg, diag, (0.7, 0.2, 0.1), b.baseline, {"file_name": "harvest", "target": "yield"})
+    return spark.read.parquet(runs).where(F.col("run_id") == rid)

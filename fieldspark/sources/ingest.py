@@ -57,8 +57,8 @@ def _re_escape(s: str) -> str:
 
 def decode_text(content: Column) -> Column:
     """UTF-8 unless the bytes are not valid UTF-8, then Latin-1 (which never fails)."""
-    utf8 = F.decode(content, "UTF-8")
-    return F.when(F.contains(utf8, F.lit("�")), F.decode(content, "ISO-8859-1")).otherwise(utf8)
+    raw = content.cast("string")  # bytes as-is, not yet validated
+    return F.when(F.is_valid_utf8(raw), raw).otherwise(F.decode(content, "ISO-8859-1"))
 
 
 def file_lines(files: DataFrame) -> DataFrame:
