@@ -11,16 +11,17 @@ EXCEL_SERIAL_MIN = 30000.0
 EXCEL_SERIAL_MAX = 60000.0
 # Days between 1899-12-30 (Excel epoch) and 1970-01-01 (Unix epoch).
 EXCEL_EPOCH_OFFSET_DAYS = 25569
-# Date formats tried in order when a date arrives as text (ISO first, then day-first).
+# Date formats tried in order when a date arrives as text (ISO first, then day-first), each
+# guarded by a shape check so that a non-matching format is never attempted.
 DATE_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd",
-    "dd/MM/yyyy HH:mm:ss",
-    "dd/MM/yyyy",
-    "dd-MM-yyyy",
-    "yyyy/MM/dd",
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{1,6}$", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
+    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss"),
+    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
+    (r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}$", "dd/MM/yyyy HH:mm:ss"),
+    (r"^\d{2}/\d{2}/\d{4}$", "dd/MM/yyyy"),
+    (r"^\d{2}-\d{2}-\d{4}$", "dd-MM-yyyy"),
+    (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"),
 )
 
 
@@ -50,10 +51,10 @@ def is_excel_serial(x: str | Column) -> Column:
     return (v > F.lit(EXCEL_SERIAL_MIN)) & (v < F.lit(EXCEL_SERIAL_MAX))
 
 
-def parse_timestamp(c: str | Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
-    """Text -> TIMESTAMP_NTZ using an ordered list of formats; unparsable -> NULL."""
+def parse_timestamp(c: str | Column, formats: tuple[tuple[str, str], ...] = DATE_FORMATS) -> Column:
+    """Text -> TIMESTAMP_NTZ using an ordered list of (shape, format); unparsable -> NULL."""
     text = F.trim(col_(c).cast("string"))
-    tries = [F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz") for fmt in formats]
+    tries = [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt))).cast("timestamp_ntz") for shape, fmt in formats]
     return F.coalesce(*tries)
 
 

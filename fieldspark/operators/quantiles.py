@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SMALL = 100_000
+SMALL = 20_000  # a bracket this small is collected and sorted on the driver
 BUCKETS = 4096
 
 

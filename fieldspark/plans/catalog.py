@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -697,7 +698,7 @@ FROM z, w WHERE split = 'val'"""
 def q_ridge_baseline(spark, d):
     h = harvest(spark, d)
     z = FE.apply_scaler(h, FE.fit_scaler(h, ["ph", "temp"], "standard"))
-    z = SP.split_exact(z, "rid", (0.7, 0.2, 0.1), 42)
+    z = SP.split_exact(z, "rid", (0.7, 0.2, 0.1), 42).persist(StorageLevel.MEMORY_AND_DISK)
     out = MO.ridge_baseline(z, ["ph", "temp"], "yield", "split")
     return out.select(r6("baseline_mse").alias("baseline_mse"), "n_train", "n_val")
 

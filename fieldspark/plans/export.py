@@ -129,6 +129,7 @@ def export_bundle(
     """Features (+ target) as Parquet partitioned by split, the category table, the manifest and
     the Ridge baseline (fit on train, MSE on val)."""
     spark = df.sparkSession
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)  # counted, ranked and scanned by the split
     work = SP.split_exact(df, key, split_ratios, seed) if split_ratios else df
     work = work.persist(StorageLevel.MEMORY_AND_DISK)  # read by ~10 small statistics jobs below
     split_col = "split" if split_ratios else None

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -157,9 +158,10 @@ def ingest(
     if on_error not in ("raise", "skip"):
         raise ValueError("on_error must be 'raise' or 'skip'")
     files = read_files(spark, path)
-    lines = file_lines(files)
-    layout = sniff_layout(lines)
-    hdr = header_rows(lines, layout, required)
+    # decoded lines feed layout sniffing, header detection and parsing: decode once
+    lines = file_lines(files).persist(StorageLevel.MEMORY_AND_DISK)
+    layout = sniff_layout(lines).persist(StorageLevel.MEMORY_AND_DISK)
+    hdr = header_rows(lines, layout, required).persist(StorageLevel.MEMORY_AND_DISK)
     catalog = header_catalog(hdr)
     if fuzzy:
         matched = match_headers(catalog, list(required), synonyms or {}, threshold)
@@ -180,7 +182,9 @@ def ingest(
             .otherwise(F.lit(None)),
         )
         .drop("_names")
+        .persist(StorageLevel.MEMORY_AND_DISK)  # one row per file, read by validation and parsing
     )
+    catalog = catalog.persist(StorageLevel.MEMORY_AND_DISK)
     if on_error == "raise":
         bad = report.where(~F.col("ok")).select("source_file", "reason").limit(20).collect()
         if bad:
