@@ -76,26 +76,25 @@ def describe(df: DataFrame, cols: list[str] | None = None, digits: int = 3) -> D
         else:
             rec["unique"] = row[f"u{i}"]
         recs.append(rec)
-    schema = T.StructType(
-        [T.StructField("column", T.StringType()), T.StructField("count", T.LongType()), T.StructField("unique", T.LongType())]
-        + [T.StructField(k, T.DoubleType()) for k in ["mean", "std", "min", "p25", "p50", "p75", "max"]]
-    )
-    base = spark.createDataFrame([{k: r.get(k) for k in schema.names} for r in recs], schema)
-    base = base.select("column", "count", "unique", *[F.round(k, digits).alias(k) for k in ["mean", "std", "min", "p25", "p50", "p75", "max"]])
-    if not txt:
-        return base.withColumn("top", F.lit(None).cast("string")).withColumn("freq", F.lit(None).cast("bigint"))
-    tops = None
     for c in txt:  # most frequent value: partial aggregation, then a distributed top-1
-        t = (
+        top = (
             df.where(F.col(c).isNotNull())
             .groupBy(F.col(c).cast("string").alias("top"))
             .agg(F.count(F.lit(1)).alias("freq"))
             .orderBy(F.col("freq").desc(), F.col("top").asc())
             .limit(1)
-            .select(F.lit(c).alias("_col"), "top", "freq")
+            .collect()
         )
-        tops = t if tops is None else tops.unionByName(t)
-    return base.join(tops, base["column"] == tops["_col"], "left").drop("_col")
+        rec = recs[cols.index(c)]
+        rec["top"], rec["freq"] = (top[0]["top"], top[0]["freq"]) if top else (None, None)
+    stat_names = ["mean", "std", "min", "p25", "p50", "p75", "max"]
+    schema = T.StructType(
+        [T.StructField("column", T.StringType()), T.StructField("count", T.LongType()), T.StructField("unique", T.LongType())]
+        + [T.StructField(k, T.DoubleType()) for k in stat_names]
+        + [T.StructField("top", T.StringType()), T.StructField("freq", T.LongType())]
+    )
+    base = spark.createDataFrame([{k: r.get(k) for k in schema.names} for r in recs], schema)
+    return base.select("column", "count", "unique", *[F.round(k, digits).alias(k) for k in stat_names], "top", "freq")
 
 
 def before_after_summary(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -1120,3 +1120,25 @@ def q_run_log(spark, d):
     cfg = {k: v for k, v in HARVEST_PLAN.__dict__.items()}
     rid = EX.log_run(spark, runs, cfg, diag, (0.7, 0.2, 0.1), b.baseline, {"file_name": "harvest", "target": "yield"})
     return spark.read.parquet(runs).where(F.col("run_id") == rid)
+
+
+@register(
+    "category_table",
+    with_ctes(HARVEST_SQL)
+    + """
+SELECT 'crop' AS "column", CAST(dense_rank() OVER (ORDER BY v) - 1 AS INTEGER) AS code, v AS value
+FROM (SELECT DISTINCT COALESCE(crop, 'nan') AS v FROM harvest)
+UNION ALL
+SELECT 'field_id', CAST(dense_rank() OVER (ORDER BY v) - 1 AS INTEGER), v
+FROM (SELECT DISTINCT COALESCE(field_id, 'nan') AS v FROM harvest)""",
+)
+def q_category_table(spark, d):
+    return FE.category_table(harvest(spark, d), ["crop", "field_id"])
+
+
+@register("quality_report")
+def q_quality_report(spark, d):
+    before = obs(spark, d)
+    after = clean(before, OBS_PLAN).df
+    paths = EX.write_report_tables(before, after, ["temp", "humidity"], FF.scratch_path(spark, "report"))
+    return spark.read.parquet(paths["summary"])
