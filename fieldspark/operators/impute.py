@@ -13,7 +13,7 @@ from fieldspark.operators.quantiles import quantiles_with_stats
 TIME_GAP_LIMIT = 3  # at most this many consecutive missing cells are interpolated
 
 
-def fit_constants(df: DataFrame, cols: list[str], strategy: str = "median") -> dict[str, float | None]:
+def fit_constants(df: DataFrame, cols: list[str], strategy: str = "median", accuracy: int | None = None) -> dict[str, float | None]:
     """Fill constant per column: ``mean`` or exact ``median``.
 
     One aggregate gives row count, non-null count, min, max (and mean) of every column; the
@@ -31,7 +31,7 @@ def fit_constants(df: DataFrame, cols: list[str], strategy: str = "median") -> d
         return {c: row[f"m{i}"] for i, c in enumerate(cols)}
     stats = {c: (row[f"c{i}"], row[f"mn{i}"], row[f"mx{i}"]) for i, c in enumerate(cols)}
     need = [c for c in cols if 0 < stats[c][0] < row["_n"]]
-    q = quantiles_with_stats(df, {c: F.col(c) for c in need}, [0.5], {c: stats[c] for c in need})
+    q = quantiles_with_stats(df, {c: F.col(c) for c in need}, [0.5], {c: stats[c] for c in need}, accuracy=accuracy)
     # columns without a missing cell need no constant; all-null columns have none
     return {c: (q[c][0] if c in q else None) for c in cols}
 

@@ -153,6 +153,7 @@ def quantiles(
     probs: list[float],
     small: int = SMALL,
     buckets: int = BUCKETS,
+    accuracy: int | None = None,
 ) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles of each expression in ``values`` (nulls ignored)."""
     if not values:
@@ -164,7 +165,7 @@ def quantiles(
         aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}")]
     row = df.agg(*aggs).first()
     stats = {t: (row[f"n{i}"], row[f"mn{i}"], row[f"mx{i}"]) for i, t in enumerate(names)}
-    return quantiles_with_stats(df, values, probs, stats, small, buckets)
+    return quantiles_with_stats(df, values, probs, stats, small, buckets, accuracy)
 
 
 def quantiles_with_stats(
@@ -174,7 +175,13 @@ def quantiles_with_stats(
     stats: dict[str, tuple[int, float, float]],
     small: int = SMALL,
     buckets: int = BUCKETS,
+    accuracy: int | None = None,
 ) -> dict[str, list[float | None]]:
+    """Exact by default; with ``accuracy`` the one-pass sketch (rank error <= n / accuracy)."""
+    if accuracy:
+        live = {t: v for t, v in values.items() if stats[t][0]}
+        got = approx_quantiles(df, live, probs, accuracy) if live else {}
+        return {t: got.get(t, [None] * len(probs)) for t in values}
     ranks: dict[str, set[int]] = {}
     for t in values:
         n = stats[t][0]
@@ -211,5 +218,5 @@ def interpolate(lo: float, hi: float, frac: float) -> float:
 def approx_quantiles(df: DataFrame, values: dict[str, Column], probs: list[float], accuracy: int = 10000) -> dict[str, list[float | None]]:
     """One-pass sketch alternative (rank error <= n / accuracy)."""
     names = list(values)
-    row = df.agg(*[F.percentile_approx(values[t], probs, accuracy).alias(f"q{i}") for i, t in enumerate(names)]).first()
+    row = df.agg(*[F.percentile_approx(values[t].cast("double"), probs, accuracy).alias(f"q{i}") for i, t in enumerate(names)]).first()
     return {t: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs) for i, t in enumerate(names)}

@@ -100,7 +100,7 @@ class OutlierStats:
     zstats: dict[str, tuple[float, float]]  # column -> (mean, std) for z-score
 
 
-def fit_outliers(df: DataFrame, cols: list[str], method: str = "iqr", k: float = 1.5) -> OutlierStats:
+def fit_outliers(df: DataFrame, cols: list[str], method: str = "iqr", k: float = 1.5, accuracy: int | None = None) -> OutlierStats:
     """Thresholds per column (columns with < 10 non-null values, or std 0 for z-score, are skipped)."""
     cols = [c for c in cols if c in df.columns]
     if method == "none" or not cols:
@@ -123,7 +123,7 @@ def fit_outliers(df: DataFrame, cols: list[str], method: str = "iqr", k: float =
     row = df.agg(*aggs).first()
     stats = {c: (row[f"n{i}"], row[f"mn{i}"], row[f"mx{i}"]) for i, c in enumerate(cols)}
     usable = [c for c in cols if stats[c][0] >= MIN_OUTLIER_VALUES]
-    q = quantiles_with_stats(df, {c: F.col(c) for c in usable}, [0.25, 0.75], {c: stats[c] for c in usable})
+    q = quantiles_with_stats(df, {c: F.col(c) for c in usable}, [0.25, 0.75], {c: stats[c] for c in usable}, accuracy=accuracy)
     limits = {}
     for c in usable:
         q1, q3 = q[c]

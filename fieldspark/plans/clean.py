@@ -143,7 +143,7 @@ def clean(df: DataFrame, plan: CleanPlan = CleanPlan()) -> CleanResult:
     df = agronomic_rules(
         df, plan.max_yield, list(plan.harvest_months), plan.soft_cleaning, date_col, "yield", flag="_agro"
     )
-    ost = fit_outliers(df, numeric, plan.outlier_method, plan.outlier_iqr_multiplier)
+    ost = fit_outliers(df, numeric, plan.outlier_method, plan.outlier_iqr_multiplier, plan.quantile_accuracy)
     df = apply_outliers(df, ost, plan.soft_cleaning, flag="_out")
     pre_impute = df
 
@@ -153,7 +153,7 @@ def clean(df: DataFrame, plan: CleanPlan = CleanPlan()) -> CleanResult:
     fills: dict[str, float | None] = {}
     work = df.drop(*FLAGS)
     if strategy in ("mean", "median"):
-        fills = fit_constants(work, numeric, strategy)
+        fills = fit_constants(work, numeric, strategy, plan.quantile_accuracy)
         work = apply_constants(work, fills)
     elif strategy == "ffill":
         work = impute_ffill(work, numeric, [rid])

@@ -36,6 +36,7 @@ class CleanPlan:
     protect_columns: tuple[str, ...] = ()  # never dropped by the sparse-column rule
     preset_name: str | None = None
     checkpoint: bool = False  # cut lineage after the window-heavy steps
+    quantile_accuracy: int | None = None  # None: exact quantiles; else percentile_approx accuracy
 
     def __post_init__(self) -> None:
         if self.missing_strategy not in STRATEGIES:

@@ -73,3 +73,11 @@ def test_quantiles_property(spark, values):
     else:
         exp = [_np_quant(present, p) for p in [0.25, 0.5, 0.75]]
         assert np.allclose(got, exp, rtol=1e-9, atol=1e-9)
+
+
+def test_approx_switch_close_to_exact(spark):
+    df = spark.range(0, 20001).selectExpr("cast(id as double) as x")
+    exact = quantiles(df, {"x": F.col("x")}, [0.25, 0.5])["x"]
+    approx = quantiles(df, {"x": F.col("x")}, [0.25, 0.5], accuracy=1000)["x"]
+    assert exact == [5000.0, 10000.0]
+    assert all(abs(a - e) <= 20001 / 1000 for a, e in zip(approx, exact))
