@@ -91,18 +91,25 @@ def ordered_scan(
     if loc_cols:
         local = local.withColumns(loc_cols)
 
-    # per-bucket carry summary (partial aggregation, no extra shuffle: already clustered by keys)
+    # per-bucket carry summary. It is aggregated from the bucketed rows themselves (partial
+    # aggregation, no window re-evaluation), ordering rows by a struct of the order keys with
+    # NULLs last; only ``last_pos`` needs the in-bucket positions of the windowed frame.
+    okey = []
+    for c in order_cols:
+        okey += [F.col(c).isNull().alias(f"_n_{c}"), F.col(c).alias(f"_o_{c}")]
     aggs = [F.count(F.lit(1)).alias("_cnt")]
     for name, kind, e in specs:
         if kind == "last":
-            aggs.append(F.max(F.when(e.isNotNull(), F.struct(F.col("_lpos").alias("p"), e.alias("v")))).alias(f"_a_{name}"))
+            aggs.append(F.max(F.when(e.isNotNull(), F.struct(*okey, e.alias("v")))).alias(f"_a_{name}"))
         elif kind == "first":
-            aggs.append(F.min(F.when(e.isNotNull(), F.struct(F.col("_lpos").alias("p"), e.alias("v")))).alias(f"_a_{name}"))
+            aggs.append(F.min(F.when(e.isNotNull(), F.struct(*okey, e.alias("v")))).alias(f"_a_{name}"))
         elif kind == "sum":
             aggs.append(F.sum(e).alias(f"_a_{name}"))
-        elif kind == "last_pos":
-            aggs.append(F.max(F.when(e, F.col("_lpos"))).alias(f"_a_{name}"))
-    carry = local.groupBy(*keys).agg(*aggs)
+    if any(kind == "last_pos" for _, kind, _ in specs):
+        aggs += [F.max(F.when(e, F.col("_lpos"))).alias(f"_a_{name}") for name, kind, e in specs if kind == "last_pos"]
+        carry = local.groupBy(*keys).agg(*aggs)
+    else:
+        carry = b.groupBy(*keys).agg(*aggs)
 
     wc = Window.partitionBy(*part_cols).orderBy(BUCKET) if part_cols else Window.orderBy(BUCKET)
     before = wc.rowsBetween(Window.unboundedPreceding, -1)

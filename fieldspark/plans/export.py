@@ -194,6 +194,7 @@ def log_run(
 
 def write_report_tables(before: DataFrame, after: DataFrame, numeric: list[str], out_dir: str) -> dict[str, str]:
     """Quality report as tables: summary, null tables before/after, describe, box plots, histograms."""
+    after = after.persist(StorageLevel.MEMORY_AND_DISK)  # every table reads the cleaned frame
     tables = {
         "summary": P.before_after_summary(before, after),
         "nulls_before": P.null_table(before),
