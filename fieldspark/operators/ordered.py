@@ -22,12 +22,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = "_b"
+TARGET_BUCKET_BYTES = 64 * 1024 * 1024  # planner size estimate per bucket (conf fieldspark.scan.bucketBytes)
+MAX_BUCKETS = 100_000  # bounds the carry table (and its broadcast in the group-free case)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of the optimised plan (no job is run)."""
+    try:
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(size) if isinstance(size, int) else int(str(size.toString()))
+    except Exception:  # noqa: BLE001 - no estimate: assume large
+        return MAX_BUCKETS * TARGET_BUCKET_BYTES
 
 
 def _n_buckets(df: DataFrame, n: int | None) -> int:
+    """Buckets sized from the planner's estimate: ~64 MB each, at most 100 000."""
     if n:
         return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    target = int(df.sparkSession.conf.get("fieldspark.scan.bucketBytes", str(TARGET_BUCKET_BYTES)))
+    est = estimated_bytes(df)
+    return int(max(1, min(MAX_BUCKETS, -(-est // target))))
 
 
 def _sort_cols(cols: list[str]) -> list[Column]:
@@ -130,7 +144,7 @@ def ordered_scan(
     carry = carry.select(*keys, "_prefix", *c_cols.keys())
 
     if not part_cols:
-        carry = F.broadcast(carry)  # at most one row per bucket: bounded by the partition count
+        carry = F.broadcast(carry)  # one row per bucket: at most MAX_BUCKETS small rows
     out = _null_safe_join(local, carry, keys, "_k")
     res: dict[str, Column] = {}
     for name, kind, e in specs:
