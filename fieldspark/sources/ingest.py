@@ -72,7 +72,7 @@ def sniff_layout(lines: DataFrame, seps: tuple[str, ...] = SEPARATORS) -> DataFr
     non-empty lines; the separator with the largest modal count (> 1) wins, ties in list order."""
     counts = lines.select(
         "source_file",
-        F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.size(F.split("line", _sep_regex(s))).alias("n")) for i, s in enumerate(seps)])).alias("c"),
+        F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.size(F.split("line", _sep_regex(s) + _OUTSIDE_QUOTES)).alias("n")) for i, s in enumerate(seps)])).alias("c"),
     ).groupBy("source_file", "c.k", "c.n").agg(F.count(F.lit(1)).alias("lines"))
     modal = counts.groupBy("source_file", "k").agg(F.max_by("n", F.struct("lines", "n")).alias("mode"))
     best = modal.where(F.col("mode") > 1).groupBy("source_file").agg(
@@ -88,10 +88,21 @@ def _sep_regex(s: str) -> str:
     return re.escape(s)
 
 
+# a separator counts only outside double quotes (an even number of quotes follows it)
+_OUTSIDE_QUOTES = '(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
 def split_cells(line: Column, sep: Column) -> Column:
-    """Cells of a delimited line (quotes stripped from quoted cells), trimmed."""
-    parts = F.split(line, F.concat(F.lit("\\Q"), sep, F.lit("\\E")))
-    return F.transform(parts, lambda c: F.regexp_replace(F.trim(c), r'^"(.*)"$', "$1"))
+    """Cells of a delimited line: separators inside double quotes are kept, quoted cells are
+    unquoted (``""`` -> ``"``), cells are trimmed."""
+    parts = F.split(line, F.concat(F.lit("\\Q"), sep, F.lit("\\E" + _OUTSIDE_QUOTES)))
+
+    def unquote(c: Column) -> Column:
+        t = F.trim(c)
+        quoted = t.startswith('"') & t.endswith('"') & (F.length(t) >= 2)
+        return F.when(quoted, F.replace(F.substring(t, 2, F.length(t) - 2), F.lit('""'), F.lit('"'))).otherwise(t)
+
+    return F.transform(parts, unquote)
 
 
 def header_rows(lines: DataFrame, layout: DataFrame, required: tuple[str, ...] = REQUIRED_COLUMNS) -> DataFrame:

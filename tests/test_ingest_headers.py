@@ -78,3 +78,10 @@ def test_missing_columns_without_fuzzy(spark, tmp_path):
     _write(tmp_path, "x.csv", "Data,ID Campo,Temp_Aria_C,Umidita_Relativa,pH_Estratto,Resa_Stima_kg\n2024-05-10,V1,22.5,65,7.2,12000\n")
     with pytest.raises(ValueError, match="missing columns"):
         IN.ingest(spark, str(tmp_path), REQ, fuzzy=False)
+
+
+def test_quoted_separators(spark, tmp_path):
+    _write(tmp_path, "q.csv", 'date,field_id,temp,humidity,ph,yield,note\n2024-05-10,"F1, north",20,50,6,2,"say ""hi"""\n')
+    res = IN.ingest(spark, str(tmp_path), REQ)
+    r = res.df.first()
+    assert r["field_id"] == "F1, north" and r["note"] == 'say "hi"' and r["temp"] == "20"
