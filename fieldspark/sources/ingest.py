@@ -143,12 +143,14 @@ def parse_rows(lines: DataFrame, layout: DataFrame, header_lines: DataFrame, cat
     cells = split_cells(F.col("line"), F.col("sep"))
     n = F.least(F.size("names"), F.size(cells))
     m = F.map_from_arrays(F.slice("names", 1, n), F.slice(cells, 1, n))
-    return body.select("source_file", "line_no", m.alias("cells"))
+    # PERMISSIVE: a line with a different number of cells than the header is kept and flagged
+    malformed = F.size(cells) != F.size("names")
+    return body.select("source_file", "line_no", m.alias("cells"), malformed.alias("malformed"))
 
 
 @dataclass
 class IngestResult:
-    df: DataFrame  # validated rows, one column per name (text), plus provenance
+    df: DataFrame  # validated rows, one column per name (text), provenance, ``malformed`` flag
     files: DataFrame  # (source_file, file_hash, sep, header_line, n_columns, missing, ok, reason)
     catalog: DataFrame  # (source_file, pos, header, name)
 
@@ -208,6 +210,7 @@ def ingest(
         "line_no",
         F.concat_ws(":", "source_file", F.lpad(F.col("line_no").cast("string"), 10, "0")).alias("rid"),
         *[F.col("cells").getItem(n).alias(n) for n in all_names],
+        "malformed",
     ).join(files.select("source_file", "file_hash"), "source_file")
     if normalise_dates and "date" in all_names:
         out = out.withColumn("date", normalise_date(F.col("date"))).where(F.col("date").isNotNull())

@@ -85,3 +85,9 @@ def test_quoted_separators(spark, tmp_path):
     res = IN.ingest(spark, str(tmp_path), REQ)
     r = res.df.first()
     assert r["field_id"] == "F1, north" and r["note"] == 'say "hi"' and r["temp"] == "20"
+
+
+def test_malformed_lines_are_flagged(spark, tmp_path):
+    _write(tmp_path, "m.csv", "date,field_id,temp,humidity,ph,yield\n2024-05-10,F1,20,50,6,2\n2024-05-11,F1,21,50\n")
+    rows = {r["line_no"]: r for r in IN.ingest(spark, str(tmp_path), REQ).df.collect()}
+    assert not rows[1]["malformed"] and rows[2]["malformed"] and rows[2]["ph"] is None
