@@ -41,3 +41,16 @@ def split_counts(df: DataFrame, col: str = "split") -> DataFrame:
     per = df.groupBy(col).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     total = df.agg(F.count(F.lit(1)).cast("bigint").alias("n")).select(F.lit("total").alias(col), "n")
     return per.unionByName(total)
+
+
+def split_by_hash(df: DataFrame, key: str, ratios=(0.7, 0.2, 0.1), seed: int = 42, col: str = "split") -> DataFrame:
+    """Streaming-friendly variant: each row's split depends only on ``md5(seed:key)`` read as
+    U[0,1) (no count, no ranking); sizes match the ratios in expectation, not exactly."""
+    from fieldspark.functions.columns import uniform
+
+    r_train, r_val, r_test = ratios
+    if not math.isclose(r_train + r_val + r_test, 1.0):
+        raise ValueError(f"split ratios must sum to 1, got {ratios}")
+    u = uniform(seed, "split", key)
+    label = F.when(u < F.lit(r_train), "train").when(u < F.lit(r_train + r_val), "val").otherwise("test")
+    return df.withColumn(col, label)

@@ -55,3 +55,31 @@ def test_finite_guard(spark):
     assert FE.nonfinite_counts(df, ["x"]).first()["n_nonfinite"] == 3
     with pytest.raises(ValueError, match="x"):
         FE.assert_finite(df, ["x"])
+
+
+def test_hash_split_is_stable_and_close(spark):
+    df = spark.range(20000).withColumnRenamed("id", "rid")
+    a = {r["split"]: r["n"] for r in SP.split_counts(SP.split_by_hash(df, "rid")).collect()}
+    assert abs(a["train"] - 14000) < 400 and a["total"] == 20000
+    b = SP.split_by_hash(df.repartition(3), "rid").where("rid < 50").orderBy("rid").collect()
+    c = SP.split_by_hash(df, "rid").where("rid < 50").orderBy("rid").collect()
+    assert b == c
+
+
+def test_presets_from_yaml_keeps_misplaced_entries(spark, tmp_path):
+    from fieldspark.sources import presets as PR
+
+    p = tmp_path / "k.yaml"
+    p.write_text(
+        "regional_presets:\n  a_preset:\n    region: R1\n    crop: maize\n    max_yield: 10\n    temp_range: [0, 30]\n"
+        "    ideal_ph: [6, 7]\n    harvest_months: [9]\n"
+        "b_preset:\n  region: R2\n  crop: olive\n  max_yield: 5\n  temp_range: [-5, 38]\n  ideal_ph: [6.5, 7.8]\n  harvest_months: [11, 12, 1]\n"
+        "crops:\n  maize:\n    t_base: 10.0\n",
+        encoding="utf-8",
+    )
+    t = {r["name"]: r for r in PR.presets_from_yaml(spark, str(p)).collect()}
+    assert set(t) == {"a_preset", "b_preset"}
+    assert t["a_preset"]["t_base"] == 10.0 and t["b_preset"]["t_base"] is None
+    plan = PR.plan_from_preset(PR.presets_from_yaml(spark, str(p)), "b_preset")
+    assert plan.physical_bounds["temp"] == (-5.0, 38.0) and plan.harvest_months == (11, 12, 1)
+    assert [r["region"] for r in PR.list_presets(PR.presets_table(spark), "piem").collect()] == ["Piemonte"]
