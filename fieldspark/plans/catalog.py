@@ -609,13 +609,13 @@ SELECT doc_id, substr(sha256(array_to_string(list_sort(regexp_extract_all(lower(
 FROM documents""",
 )
 def q_schema_hash(spark, d):
+    # each document's token list is its "column catalogue": the order-insensitive lock hash is a
+    # per-row expression over the whole text (no shuffle); ``schema_hash_by_group`` is the form
+    # for catalogues that arrive as (group, column) rows
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    catalog = docs.select("doc_id", F.explode(_tokens_spark(F.col("text"))).alias("column"))
-    hashed = FE.schema_hash_by_group(catalog, "doc_id")
-    # a document without any token has an empty catalogue: hash of the empty name list
-    return docs.select("doc_id").join(hashed, "doc_id", "left").select(
-        "doc_id", F.coalesce("schema_hash", F.substring(F.sha2(F.lit(""), 256), 1, 16)).alias("schema_hash")
-    )
+    from fieldspark.functions.columns import schema_hash
+
+    return docs.select("doc_id", schema_hash(_tokens_spark(F.col("text"))).alias("schema_hash"))
 
 
 _SPLIT_CTE = """ranked AS (

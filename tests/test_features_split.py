@@ -83,3 +83,9 @@ def test_presets_from_yaml_keeps_misplaced_entries(spark, tmp_path):
     plan = PR.plan_from_preset(PR.presets_from_yaml(spark, str(p)), "b_preset")
     assert plan.physical_bounds["temp"] == (-5.0, 38.0) and plan.harvest_months == (11, 12, 1)
     assert [r["region"] for r in PR.list_presets(PR.presets_table(spark), "piem").collect()] == ["Piemonte"]
+
+
+def test_schema_hash_by_group_matches_lock(spark):
+    cat = spark.createDataFrame([("f1", "b"), ("f1", "a"), ("f2", "a"), ("f2", "b"), ("f3", "a")], "g string, column string")
+    got = {r["g"]: r["schema_hash"] for r in FE.schema_hash_by_group(cat, "g").collect()}
+    assert got["f1"] == got["f2"] == FE.schema_lock(["a", "b"]) and got["f3"] == FE.schema_lock(["a"])
