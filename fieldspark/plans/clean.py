@@ -56,6 +56,24 @@ class CleanResult:
     outlier_stats: OutlierStats | None = None
     fill_values: dict[str, float | None] = field(default_factory=dict)
     pre_dedup: DataFrame | None = None
+    observations: dict | None = None
+
+    def observed(self) -> dict[str, int]:
+        """Diagnostics gathered in flight (``clean(..., observe=True)``): no extra pass over the
+        data, available once an action over ``df`` (e.g. its write) has completed."""
+        if not self.observations:
+            raise ValueError("clean() was not run with observe=True")
+        pre = self.observations["pre"].get
+        post = self.observations["post"].get
+        final = self.observations["final"].get
+        return {
+            "total_rows": int(pre["total_rows"]),
+            "out_of_bounds_removed": int(pre["oob"] or 0),
+            "agronomic_outliers_removed": int(pre["agro"] or 0),
+            "outliers_removed": int(pre["out"] or 0),
+            "values_imputed": 0 if self.strategy_used == "drop" else int((pre["nulls"] or 0) - (post["nulls"] or 0)),
+            "duplicates_removed": int(post["rows"] - final["rows"]),
+        }
 
 
 def _is_numeric(t: T.DataType) -> bool:
@@ -98,7 +116,7 @@ def _long(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
     return row.select(F.expr(f"stack({len(metrics)}, {stack}) as (metric, value)"))
 
 
-def clean(df: DataFrame, plan: CleanPlan = CleanPlan()) -> CleanResult:
+def clean(df: DataFrame, plan: CleanPlan = CleanPlan(), observe: bool = False) -> CleanResult:
     rid = plan.row_id
     if rid not in df.columns:
         raise ValueError(f"row identity column {rid!r} is required (assign it at ingest)")
@@ -145,6 +163,20 @@ def clean(df: DataFrame, plan: CleanPlan = CleanPlan()) -> CleanResult:
     )
     ost = fit_outliers(df, numeric, plan.outlier_method, plan.outlier_iqr_multiplier, plan.quantile_accuracy)
     df = apply_outliers(df, ost, plan.soft_cleaning, flag="_out")
+    null_expr = _sum([F.col(c).isNull().cast("bigint") for c in numeric])
+    observations = None
+    if observe:
+        from pyspark.sql import Observation
+
+        observations = {k: Observation(f"fieldspark_{k}") for k in ("pre", "post", "final")}
+        df = df.observe(
+            observations["pre"],
+            F.count(F.lit(1)).alias("total_rows"),
+            F.sum("_oob").alias("oob"),
+            F.sum("_agro").alias("agro"),
+            F.sum("_out").alias("out"),
+            F.sum(null_expr).alias("nulls"),
+        )
     pre_impute = df
 
     strategy = plan.missing_strategy
@@ -163,14 +195,17 @@ def clean(df: DataFrame, plan: CleanPlan = CleanPlan()) -> CleanResult:
         work = impute_time(work, numeric, date_col, plan.field_col, rid)
     if strategy in ("ffill", "time"):
         work = cut_lineage(work) if plan.checkpoint else work.persist(StorageLevel.MEMORY_AND_DISK)
+    if observe:
+        work = work.observe(observations["post"], F.count(F.lit(1)).alias("rows"), F.sum(null_expr).alias("nulls"))
     imputed = work
 
     keys = [k for k in plan.dedup_keys if k in imputed.columns]
     out = dedup_keep_last(imputed, keys, rid)
     if plan.calculate_gdd:
         out = gdd(out, plan.t_base, "temp", date_col, plan.field_col, rid)
+    if observe:
+        out = out.observe(observations["final"], F.count(F.lit(1)).alias("rows"))
 
-    null_expr = _sum([F.col(c).isNull().cast("bigint") for c in numeric])
     pre = _long(
         pre_impute,
         {
@@ -191,4 +226,4 @@ def clean(df: DataFrame, plan: CleanPlan = CleanPlan()) -> CleanResult:
     )
     final = _long(out, {"duplicates_removed": -F.count(F.lit(1))})
     diag = pre.unionByName(post).unionByName(final).groupBy("metric").agg(F.sum("value").cast("bigint").alias("value"))
-    return CleanResult(out, diag, strategy, numeric, dropped, unit_report, ost, fills, imputed)
+    return CleanResult(out, diag, strategy, numeric, dropped, unit_report, ost, fills, imputed, observations)

@@ -78,3 +78,10 @@ def test_clean_on_driver_table_invariants(spark, sf001):
     assert out.groupBy("field_id", "day").count().where("count > 1").count() == 0
     diag = {r["metric"]: r["value"] for r in res.diagnostics.collect()}
     assert diag["total_rows"] - diag["duplicates_removed"] == out.count()
+
+
+def test_observed_diagnostics_equal_lazy_ones(spark, sf001):
+    res = clean(obs(spark, sf001), OBS_PLAN, observe=True)
+    res.df.write.format("noop").mode("overwrite").save()
+    lazy = {r["metric"]: r["value"] for r in res.diagnostics.collect()}
+    assert res.observed() == lazy
