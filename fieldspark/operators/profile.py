@@ -6,6 +6,7 @@ aggregate expression per column and unpivoting the single result row with ``stac
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,7 +123,7 @@ def labelled_union(before: DataFrame, after: DataFrame, cols: list[str]) -> Data
 def boxplot_stats(before: DataFrame, after: DataFrame, cols: list[str]) -> DataFrame:
     """Five-number box per (state, column): quartiles, whiskers at the furthest points within
     1.5 IQR of the box, and the number of fliers outside the whiskers."""
-    u = labelled_union(before, after, cols)
+    u = labelled_union(before, after, cols).persist(StorageLevel.MEMORY_AND_DISK)  # 4 passes read it
     targets: dict[str, Column] = {}
     for st in ("before", "after"):
         for c in cols:
@@ -160,7 +161,7 @@ def boxplot_stats(before: DataFrame, after: DataFrame, cols: list[str]) -> DataF
 
 def histogram_before_after(before: DataFrame, after: DataFrame, cols: list[str], bins: int = 20) -> DataFrame:
     """Fixed-width histogram per (column, state) over the column's combined [min, max]."""
-    u = labelled_union(before, after, cols)
+    u = labelled_union(before, after, cols).persist(StorageLevel.MEMORY_AND_DISK)  # range pass + counts
     row = u.agg(*[F.min(c).alias(f"mn{i}") for i, c in enumerate(cols)], *[F.max(c).alias(f"mx{i}") for i, c in enumerate(cols)]).first()
     items = []
     for i, c in enumerate(cols):
