@@ -171,6 +171,7 @@ def ingest(
     if on_error not in ("raise", "skip"):
         raise ValueError("on_error must be 'raise' or 'skip'")
     files = read_files(spark, path)
+    hashes = files.select("source_file", "file_hash").persist(StorageLevel.MEMORY_AND_DISK)  # one row per file
     # decoded lines feed layout sniffing, header detection and parsing: decode once
     lines = file_lines(files).persist(StorageLevel.MEMORY_AND_DISK)
     layout = sniff_layout(lines).persist(StorageLevel.MEMORY_AND_DISK)
@@ -182,7 +183,7 @@ def ingest(
     catalog = dedupe_names(catalog)
     present = catalog.groupBy("source_file").agg(F.collect_set("name").alias("_names"))
     report = (
-        files.select("source_file", "file_hash")
+        hashes
         .join(layout, "source_file", "left")
         .join(hdr.select("source_file", "header_line"), "source_file", "left")
         .join(present, "source_file", "left")
@@ -211,7 +212,7 @@ def ingest(
         F.concat_ws(":", "source_file", F.lpad(F.col("line_no").cast("string"), 10, "0")).alias("rid"),
         *[F.col("cells").getItem(n).alias(n) for n in all_names],
         "malformed",
-    ).join(files.select("source_file", "file_hash"), "source_file")
+    ).join(hashes, "source_file")
     if normalise_dates and "date" in all_names:
         out = out.withColumn("date", normalise_date(F.col("date"))).where(F.col("date").isNotNull())
     return IngestResult(out, report, catalog)
