@@ -78,11 +78,15 @@ def category_table(df: DataFrame, cols: list[str]) -> DataFrame:
     return out
 
 
-def label_encode(df: DataFrame, cols: list[str], suffix: str = "_code") -> DataFrame:
-    """Adds ``<col><suffix>`` with the category code (join on the small category table)."""
+def label_encode(df: DataFrame, cols: list[str], suffix: str = "_code", categories: DataFrame | None = None) -> DataFrame:
+    """Adds ``<col><suffix>`` with the category code (join on the small category table; a
+    fitted ``category_table`` can be passed to reuse codes, unseen values get NULL)."""
     out = df
     for c in cols:
-        cats = fit_categories(df, c).withColumnRenamed("value", "_v").withColumnRenamed("code", c + suffix)
+        fitted = (
+            categories.where(F.col("column") == c).select("value", "code") if categories is not None else fit_categories(df, c)
+        )
+        cats = fitted.withColumnRenamed("value", "_v").withColumnRenamed("code", c + suffix)
         out = out.join(cats, category_text(out[c]) == cats["_v"], "left").drop("_v")
     return out
 
@@ -130,7 +134,7 @@ class FeatureSpec:
     fit_on: str = "all"  # "all" (reference parity) or "train" (no leakage; needs a split column)
 
 
-def feature_matrix(df: DataFrame, spec: FeatureSpec, key: str = "rid", split_col: str | None = None):
+def feature_matrix(df: DataFrame, spec: FeatureSpec, key: str = "rid", split_col: str | None = None, categories: DataFrame | None = None):
     """Rows of ``features ARRAY<FLOAT>`` (numeric scaled first, then categorical) and
     ``target FLOAT``. Returns (frame, feature_names, scaler params)."""
     num = [c for c in spec.numeric if c in df.columns and c != spec.target]
@@ -144,7 +148,7 @@ def feature_matrix(df: DataFrame, spec: FeatureSpec, key: str = "rid", split_col
     names = list(num)
     feats: list[Column] = [F.col(c) for c in num]
     if spec.encoding == "label":
-        out = label_encode(out, cat)
+        out = label_encode(out, cat, categories=categories)
         feats += [F.col(c + "_code") for c in cat]
         names += cat
     else:

@@ -133,15 +133,15 @@ def export_bundle(
     work = SP.split_exact(df, key, split_ratios, seed) if split_ratios else df
     work = work.persist(StorageLevel.MEMORY_AND_DISK)  # read by ~10 small statistics jobs below
     split_col = "split" if split_ratios else None
-    fm, names, params = FE.feature_matrix(work, spec, key, split_col)
-    feat_path = f"{out_dir}/{name}_features"
-    writer = fm.write.mode("overwrite")
-    (writer.partitionBy("split") if split_col else writer).parquet(feat_path)
     cats = FE.category_table(work, [c for c in spec.categorical if c in work.columns]) if spec.categorical else None
     cat_path = f"{out_dir}/{name}_categories"
-    if cats is not None:
+    if cats is not None:  # fitted once: written, then reused for the codes of the feature rows
         cats.write.mode("overwrite").parquet(cat_path)
         cats = spark.read.parquet(cat_path)
+    fm, names, params = FE.feature_matrix(work, spec, key, split_col, categories=cats if spec.encoding == "label" else None)
+    feat_path = f"{out_dir}/{name}_features"
+    writer = fm.write.mode("overwrite")
+    (writer.partitionBy("split") if split_col else writer).parquet(feat_path)
     stored = spark.read.parquet(feat_path)
     counts = None
     if split_col:
