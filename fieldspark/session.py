@@ -1,13 +1,15 @@
 """Spark session helpers.
 
-The library never creates machine-local scratch folders on a cluster: lineage is cut with
-``DataFrame.checkpoint()`` into the folder the cluster names in ``spark.checkpoint.dir``.
-A local default is set only when the session has none (tests, benchmarks).
+Lineage is cut with ``DataFrame.checkpoint()`` into the folder the cluster names in
+``spark.checkpoint.dir``. A temporary default is made only for a ``local`` master (tests,
+benchmarks), where driver and executors are one process; any other master without that setting
+raises, as no executor could read another machine's temporary folder.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,11 +38,14 @@ def get_session(master: str | None = None, partitions: int = 8, app: str = "fiel
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting a local one only if none is configured."""
+    """Return the session's checkpoint folder; a ``local`` master without one gets a temporary one."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir is not set; master {master} needs a folder that all executors share")
         current = tempfile.mkdtemp(prefix="fieldspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():
