@@ -146,3 +146,24 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     if len(words) >= n or not len(words):
         return window_hashes(words, n)
     return window_hashes(words, len(words)) ^ np.uint64(len(words))
+
+
+FILTER_BITS = 26  # bitmaps sent to every task have 2^26 bits: 8 MB, whatever they are filled from
+_FILTER_MASK = (1 << FILTER_BITS) - 1
+
+
+def bitmap_of(hashes: DataFrame, column: str) -> np.ndarray:
+    """Bitmap with one bit set for the low bits of each hash. The bytes that aren't 0 come to the
+    driver, 2^(FILTER_BITS - 3) at most; fuller bitmaps let more pass, they never lose a hash."""
+    slot = F.col(column).bitwiseAND(_FILTER_MASK)
+    bit = F.call_function("shiftleft", F.lit(1), (slot % 8).cast("int"))
+    found = hashes.select(F.shiftright(slot, 3).cast("int").alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    out[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint8)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Positions of the hashes whose bit is set."""
+    slot = hashes.view(np.uint64) & np.uint64(_FILTER_MASK)
+    return np.flatnonzero((bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
