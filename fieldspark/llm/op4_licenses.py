@@ -38,7 +38,7 @@ CUES = ("licen", "rights reserved", "permission", "redistribut", "copyright", "w
 
 NEAR = 600  # characters on either side of a cue that belong to its block, within its paragraph
 RANKED = 6  # templates a block that are compared word by word
-LEAST_SAVED = 6  # bytes of the compressed block that a template must save
+LEAST_SAVED = 1  # bytes of the compressed block that a template must save
 LEAST_WORDS = 0.8  # share of a template's words that must stand in the block, in order
 LEVEL = 3
 
