@@ -11,18 +11,17 @@ EXCEL_SERIAL_MIN = 30000.0
 EXCEL_SERIAL_MAX = 60000.0
 # Days between 1899-12-30 (Excel epoch) and 1970-01-01 (Unix epoch).
 EXCEL_EPOCH_OFFSET_DAYS = 25569
-# Date formats tried in order when a date arrives as text (ISO first, then day-first), each
-# guarded by a shape check so that a non-matching format is never attempted.
-DATE_FORMATS = (
-    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{1,6}$", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
-    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
-    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss"),
-    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
-    (r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}$", "dd/MM/yyyy HH:mm:ss"),
-    (r"^\d{2}/\d{2}/\d{4}$", "dd/MM/yyyy"),
-    (r"^\d{2}-\d{2}-\d{4}$", "dd-MM-yyyy"),
-    (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"),
+# Dates that arrive as text: day-first or slashed ones are put in ISO order, then ISO text (unpadded
+# fields, a space or T before the time, fractions, an offset, which is dropped) is read as wall time.
+DATE_ORDERS = (
+    (r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})", "$3-$2-$1"),
+    (r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3"),
 )
+ISO_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,9})?)?\s?(Z|[+-]\d{1,2}:?\d{2})?)?$"
+# fixed values: texts that stand for a missing cell
+MISSING_CELLS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
 
 
 def col_(c: str | Column) -> Column:
@@ -51,11 +50,17 @@ def is_excel_serial(x: str | Column) -> Column:
     return (v > F.lit(EXCEL_SERIAL_MIN)) & (v < F.lit(EXCEL_SERIAL_MAX))
 
 
-def parse_timestamp(c: str | Column, formats: tuple[tuple[str, str], ...] = DATE_FORMATS) -> Column:
-    """Text -> TIMESTAMP_NTZ using an ordered list of (shape, format); unparsable -> NULL."""
+def parse_timestamp(c: str | Column) -> Column:
+    """Text -> TIMESTAMP_NTZ without a detour over the session's time zone; unparsable -> NULL."""
     text = F.trim(col_(c).cast("string"))
-    tries = [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt))).cast("timestamp_ntz") for shape, fmt in formats]
-    return F.coalesce(*tries)
+    for shape, order in DATE_ORDERS:
+        text = F.regexp_replace(text, shape, order)
+    return F.when(text.rlike(ISO_SHAPE), F.regexp_replace(text, r"(:\d{1,2}(?:\.\d{1,9})?)\s?(?:Z|[+-]\d{1,2}:?\d{2})$", "$1").try_cast("timestamp_ntz"))
+
+
+def missing_to_null(c: str | Column) -> Column:
+    """Texts that stand for a missing cell -> NULL."""
+    return F.when(~col_(c).isin(*MISSING_CELLS), col_(c))
 
 
 def normalise_date(c: str | Column) -> Column:

@@ -90,7 +90,8 @@ def impute_time(
         return impute_constant(df, cols, "median")
     part = [field_col] if field_col and field_col in df.columns else []
     order = [date_col, row_id]
-    t = F.unix_micros(F.col(date_col).cast("timestamp"))
+    # wall time: a zoned timestamp would shift at daylight saving changes
+    t = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(date_col).cast("timestamp_ntz"))
     b = bucketize(df, part, order)
     specs = [("_pos", "pos", None)]
     for c in cols:

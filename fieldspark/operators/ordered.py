@@ -22,26 +22,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = "_b"
-TARGET_BUCKET_BYTES = 64 * 1024 * 1024  # planner size estimate per bucket (conf fieldspark.scan.bucketBytes)
-MAX_BUCKETS = 100_000  # bounds the carry table (and its broadcast in the group-free case)
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the optimised plan (no job is run)."""
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(size) if isinstance(size, int) else int(str(size.toString()))
-    except Exception:  # noqa: BLE001 - no estimate: assume large
-        return MAX_BUCKETS * TARGET_BUCKET_BYTES
+BUCKET_ROWS = 50_000  # rows of a bucket (conf fieldspark.scan.bucketRows)
+BROADCAST_BUCKETS = 20_000  # a group-free carry table of at most so many rows is broadcast
 
 
 def _n_buckets(df: DataFrame, n: int | None) -> int:
-    """Buckets sized from the planner's estimate: ~64 MB each, at most 100 000."""
+    """Buckets from the counted rows, as many as they need."""
     if n:
         return n
-    target = int(df.sparkSession.conf.get("fieldspark.scan.bucketBytes", str(TARGET_BUCKET_BYTES)))
-    est = estimated_bytes(df)
-    return int(max(1, min(MAX_BUCKETS, -(-est // target))))
+    target = int(df.sparkSession.conf.get("fieldspark.scan.bucketRows", str(BUCKET_ROWS)))
+    return max(1, -(-df.count() // target))
 
 
 def _sort_cols(cols: list[str]) -> list[Column]:
@@ -127,14 +117,15 @@ def ordered_scan(
 
     wc = Window.partitionBy(*part_cols).orderBy(BUCKET) if part_cols else Window.orderBy(BUCKET)
     before = wc.rowsBetween(Window.unboundedPreceding, -1)
-    after = wc.rowsBetween(1, Window.unboundedFollowing)
+    back = Window.partitionBy(*part_cols).orderBy(F.desc(BUCKET)) if part_cols else Window.orderBy(F.desc(BUCKET))
+    after = back.rowsBetween(Window.unboundedPreceding, -1)  # the buckets behind, as a running frame
     carry = carry.withColumn("_prefix", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
     c_cols: dict[str, Column] = {}
     for name, kind, e in specs:
         if kind == "last":
             c_cols[f"_c_{name}"] = F.last(F.col(f"_a_{name}.v"), True).over(before)
         elif kind == "first":
-            c_cols[f"_c_{name}"] = F.first(F.col(f"_a_{name}.v"), True).over(after)
+            c_cols[f"_c_{name}"] = F.last(F.col(f"_a_{name}.v"), True).over(after)
         elif kind == "sum":
             c_cols[f"_c_{name}"] = F.sum(f"_a_{name}").over(before)
         elif kind == "last_pos":
@@ -143,8 +134,8 @@ def ordered_scan(
         carry = carry.withColumns(c_cols)
     carry = carry.select(*keys, "_prefix", *c_cols.keys())
 
-    if not part_cols:
-        carry = F.broadcast(carry)  # one row per bucket: at most MAX_BUCKETS small rows
+    if not part_cols and b.rdd.getNumPartitions() <= BROADCAST_BUCKETS:
+        carry = F.broadcast(carry)  # one small row per bucket
     out = _null_safe_join(local, carry, keys, "_k")
     res: dict[str, Column] = {}
     for name, kind, e in specs:

@@ -3,11 +3,12 @@
 Spark's exact ``percentile`` merges every distinct value of a group on one task; at 100 TB that
 is unbounded. Here each wanted order statistic is found by narrowing a value bracket:
 
-1. one aggregate gives ``count/min/max`` per target;
-2. while the bracket holds more than ``small`` values, one aggregate counts the bracket's values
-   in ``buckets`` equal-width buckets (with per-bucket min/max, so the next bracket is exact data
-   values) and keeps the bucket that holds the wanted rank;
-3. a bracket holding at most ``small`` values is collected and sorted on the driver.
+1. one aggregate gives ``count/min/max`` per target; where a bound is infinite, another counts the
+   infinite values, which are the outermost ranks, and bounds the finite ones;
+2. one aggregate counts the bracket's values in ``buckets`` equal-width buckets (with per-bucket
+   min/max, so the next bracket is exact data values) and keeps the bucket that holds the wanted
+   rank; a bracket's bounds fall in different buckets, so each pass shrinks it, until one value is
+   left. There is no iteration limit and no size at which the method changes.
 
 Every job reads only the target columns and returns at most ``targets x buckets`` rows.
 The interpolation is linear between the order statistics at ``floor(h)`` and ``ceil(h)`` with
@@ -22,7 +23,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SMALL = 20_000  # a bracket this small is collected and sorted on the driver
 BUCKETS = 4096
 
 
@@ -42,7 +42,7 @@ def _in_bracket(v: Column, br: _Bracket) -> Column:
 
 
 def _bucket_expr(v: Column, br: _Bracket, buckets: int) -> Column:
-    if br.log_scale:
+    if br.log_scale and math.asinh(br.lo) < math.asinh(br.hi):
         lo, hi = math.asinh(br.lo), math.asinh(br.hi)
         x = F.asinh(v)
     else:
@@ -61,51 +61,35 @@ def order_statistics(
     values: dict[str, Column],
     ranks: dict[str, set[int]],
     stats: dict[str, tuple[int, float, float]],
-    small: int = SMALL,
     buckets: int = BUCKETS,
-    max_iter: int = 64,
 ) -> dict[tuple[str, int], float]:
-    """Values at 0-based ``ranks`` (ascending, nulls excluded) for each target expression."""
+    """Values at 0-based ``ranks`` (ascending, nulls excluded) for each target expression. Infinite
+    values count as the outermost ranks; a rank that stays unresolved raises."""
     values = {t: v.cast("double") for t, v in values.items()}
+    endless = [t for t, rs in ranks.items() if stats[t][0] and rs and not (math.isfinite(stats[t][1]) and math.isfinite(stats[t][2]))]
+    outer = _infinite(df, {t: values[t] for t in endless})
     result: dict[tuple[str, int], float] = {}
     active: list[_Bracket] = []
     for t, rs in ranks.items():
         n, mn, mx = stats[t]
         if n == 0 or not rs:
             continue
-        active.append(_Bracket(t, float(mn), float(mx), 0, n, set(rs)))
-
-    for _ in range(max_iter):
-        pending: list[_Bracket] = []
+        below, above, lo, hi = outer.get(t, (0, 0, mn, mx))
+        result.update({(t, r): -math.inf for r in rs if r < below})
+        result.update({(t, r): math.inf for r in rs if r >= n - above})
+        inner = {r for r in rs if below <= r < n - above}
+        if inner:
+            active.append(_Bracket(t, float(lo), float(hi), below, n - below - above, inner))
+
+    while active:
+        to_split: list[_Bracket] = []
         for br in active:
             if br.lo == br.hi or br.inside == 1:
                 for r in br.ranks:
                     result[(br.target, r)] = br.lo
             else:
-                pending.append(br)
-        if not pending:
-            break
-        to_collect = [br for br in pending if br.inside <= small]
-        to_split = [br for br in pending if br.inside > small]
+                to_split.append(br)
         active = []
-        if to_collect:
-            items = [
-                F.when(_in_bracket(values[br.target], br), F.struct(F.lit(i).alias("i"), values[br.target].alias("v")))
-                for i, br in enumerate(to_collect)
-            ]
-            rows = (
-                df.select(F.explode(F.array(*items)).alias("s"))
-                .where(F.col("s").isNotNull())
-                .select("s.i", "s.v")
-                .collect()
-            )
-            got: dict[int, list[float]] = {}
-            for r in rows:
-                got.setdefault(r["i"], []).append(r["v"])
-            for i, br in enumerate(to_collect):
-                vals = sorted(got.get(i, []))
-                for r in br.ranks:
-                    result[(br.target, r)] = vals[r - br.below]
         if to_split:
             items = [
                 F.when(
@@ -144,14 +128,28 @@ def order_statistics(
                             break
                         cum += n
                 active.extend(new.values())
+    lost = [(t, r) for t, rs in ranks.items() if stats[t][0] for r in rs if (t, r) not in result]
+    if lost:
+        raise RuntimeError(f"order statistics not found (do the values change between passes?): {lost[:10]}")
     return result
 
 
+def _infinite(df: DataFrame, values: dict[str, Column]) -> dict[str, tuple[int, int, float | None, float | None]]:
+    """(values that are -Inf, values that are Inf, least and greatest finite value) of each target."""
+    if not values:
+        return {}
+    aggs = []
+    for i, v in enumerate(values.values()):
+        finite = F.when(F.abs(v) != F.lit(math.inf), v)
+        aggs += [F.count_if(v == F.lit(-math.inf)).alias(f"b{i}"), F.count_if(v == F.lit(math.inf)).alias(f"a{i}"), F.min(finite).alias(f"mn{i}"), F.max(finite).alias(f"mx{i}")]
+    row = df.agg(*aggs).first()
+    return {t: (row[f"b{i}"], row[f"a{i}"], row[f"mn{i}"], row[f"mx{i}"]) for i, t in enumerate(values)}
+
+
 def quantiles(
     df: DataFrame,
     values: dict[str, Column],
     probs: list[float],
-    small: int = SMALL,
     buckets: int = BUCKETS,
     accuracy: int | None = None,
 ) -> dict[str, list[float | None]]:
@@ -165,7 +163,7 @@ def quantiles(
         aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}")]
     row = df.agg(*aggs).first()
     stats = {t: (row[f"n{i}"], row[f"mn{i}"], row[f"mx{i}"]) for i, t in enumerate(names)}
-    return quantiles_with_stats(df, values, probs, stats, small, buckets, accuracy)
+    return quantiles_with_stats(df, values, probs, stats, buckets, accuracy)
 
 
 def quantiles_with_stats(
@@ -173,7 +171,6 @@ def quantiles_with_stats(
     values: dict[str, Column],
     probs: list[float],
     stats: dict[str, tuple[int, float, float]],
-    small: int = SMALL,
     buckets: int = BUCKETS,
     accuracy: int | None = None,
 ) -> dict[str, list[float | None]]:
@@ -192,7 +189,7 @@ def quantiles_with_stats(
                 rs.add(int(math.floor(h)))
                 rs.add(int(math.ceil(h)))
             ranks[t] = rs
-    got = order_statistics(df, values, ranks, stats, small, buckets)
+    got = order_statistics(df, values, ranks, stats, buckets)
     out: dict[str, list[float | None]] = {}
     for t in values:
         n = stats[t][0]

@@ -187,6 +187,26 @@ def q_outlier_iqr(spark, d):
     return R.apply_outliers(o, st).select("rid", "temp", "humidity")
 
 
+# temp is Inf on some rows and -Inf on fewer: both are outermost ranks and outside the limits
+NONFINITE_SQL = """inf_obs AS (
+  SELECT rid, CASE WHEN rid % 50 = 7 THEN 'infinity'::DOUBLE WHEN rid % 90 = 8 THEN '-infinity'::DOUBLE ELSE temp END AS temp
+  FROM obs)"""
+
+
+@register(
+    "outlier_iqr_nonfinite",
+    with_ctes(OBS_SQL, NONFINITE_SQL, "s AS (SELECT quantile_cont(temp, 0.25) AS t1, quantile_cont(temp, 0.75) AS t3 FROM inf_obs)")
+    + """
+SELECT rid, CASE WHEN temp < t1 - 1.5 * (t3 - t1) OR temp > t3 + 1.5 * (t3 - t1) THEN NULL ELSE temp END AS temp
+FROM inf_obs, s""",
+)
+def q_outlier_iqr_nonfinite(spark, d):
+    inf = float("inf")
+    temp = F.when(F.col("rid") % 50 == 7, F.lit(inf)).when(F.col("rid") % 90 == 8, F.lit(-inf)).otherwise(F.col("temp"))
+    o = obs(spark, d).select("rid", temp.alias("temp"))
+    return R.apply_outliers(o, R.fit_outliers(o, ["temp"], "iqr", 1.5)).select("rid", "temp")
+
+
 @register(
     "outlier_zscore",
     with_ctes(

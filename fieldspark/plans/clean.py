@@ -30,7 +30,7 @@ from fieldspark.operators.rules import (
     init_confidence,
     physical_bounds,
 )
-from fieldspark.operators.units import convert_units
+from fieldspark.operators.units import RANGE_RULES, convert_units, match_suffix
 from fieldspark.plans.config import CleanPlan
 from fieldspark.session import cut_lineage
 
@@ -124,6 +124,9 @@ def clean(df: DataFrame, plan: CleanPlan = CleanPlan(), observe: bool = False) -
 
     df = init_confidence(df, plan.soft_cleaning)
     unit_report: list = []
+    # text cells of columns that units, bounds or the plan treat as numbers become numbers first
+    measured = [c for c in df.columns if c in plan.numeric_columns or c in plan.physical_bounds or match_suffix(c) or c in {r[0] for r in RANGE_RULES}]
+    df = coerce(df, [], measured)
     if plan.auto_unit_conversion:
         df, unit_report = convert_units(df, plan.unit_range_heuristic)
 
@@ -149,7 +152,9 @@ def clean(df: DataFrame, plan: CleanPlan = CleanPlan(), observe: bool = False) -
         df = impute_categorical(df, to_fill, date_col, rid, list(plan.categorical_by) or None)
         # the window-heavy fill feeds several statistics passes: keep it instead of recomputing
         df = cut_lineage(df) if plan.checkpoint else df.persist(StorageLevel.MEMORY_AND_DISK)
-    ratio = {c: (0.0 if c in to_fill else (nulls[c] / n if n else 0.0)) for c in cols}
+        left = df.agg(*[F.count(F.col(c)).alias(f"_c{i}") for i, c in enumerate(to_fill)]).first()
+        nulls.update({c: n - left[f"_c{i}"] for i, c in enumerate(to_fill)})
+    ratio = {c: nulls[c] / n if n else 0.0 for c in cols}
     dropped = [
         c for c in cols if ratio[c] > plan.missing_drop_threshold and c not in plan.protect_columns and c != rid
     ]

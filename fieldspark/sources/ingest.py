@@ -11,20 +11,23 @@ Pipeline (every step a Spark job over all files at once, not a driver loop over
 6. ``parse_rows``   data lines after the header -> map(name -> cell) -> one column per name
    (outer union by name: a file without a column gives NULLs)
 7. ``validate``     per-file required-column check; ``raise`` or ``skip`` (left-semi on good files)
-8. date normalisation (Excel serials, text formats); rows without a valid date are dropped.
+8. date normalisation (Excel serials, text formats); rows without a valid date are
+   not in ``df``; ``rejected`` lists them, and lines with too few or too many cells, with a reason.
 
 Row identity is explicit: ``(source_file, line_no)``, also as the text ``rid``.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldspark.functions.columns import name_normalise, normalise_date
+from fieldspark.functions.columns import missing_to_null, name_normalise, normalise_date
+from fieldspark.session import ensure_checkpoint_dir
 
 # --- fixed values (must equal the reference's behaviour) --------------------------------------
 REQUIRED_COLUMNS = ("date", "field_id", "temp", "humidity", "ph", "yield")
@@ -141,11 +144,14 @@ def parse_rows(lines: DataFrame, layout: DataFrame, header_lines: DataFrame, cat
     meta = layout.join(header_lines.select("source_file", "header_line"), "source_file").join(names, "source_file")
     body = lines.join(meta, "source_file").where(F.col("line_no") > F.col("header_line"))
     cells = split_cells(F.col("line"), F.col("sep"))
-    n = F.least(F.size("names"), F.size(cells))
-    m = F.map_from_arrays(F.slice("names", 1, n), F.slice(cells, 1, n))
-    # PERMISSIVE: a line with a different number of cells than the header is kept and flagged
-    malformed = F.size(cells) != F.size("names")
-    return body.select("source_file", "line_no", m.alias("cells"), malformed.alias("malformed"))
+    body = body.withColumn("_cells", F.transform(cells, missing_to_null))
+    n = F.least(F.size("names"), F.size("_cells"))
+    m = F.map_from_arrays(F.slice("names", 1, n), F.slice("_cells", 1, n))
+    # PERMISSIVE: a line with a different number of cells than the header is kept and flagged; cells
+    # beyond the header go to ``extra_cells``
+    malformed = F.size("_cells") != F.size("names")
+    extra = F.when(F.size("_cells") > F.size("names"), F.slice("_cells", F.size("names") + 1, F.size("_cells")))
+    return body.select("source_file", "line_no", m.alias("cells"), malformed.alias("malformed"), extra.alias("extra_cells"), F.col("line").alias("raw_line"))
 
 
 @dataclass
@@ -153,6 +159,7 @@ class IngestResult:
     df: DataFrame  # validated rows, one column per name (text), provenance, ``malformed`` flag
     files: DataFrame  # (source_file, file_hash, sep, header_line, n_columns, missing, ok, reason)
     catalog: DataFrame  # (source_file, pos, header, name)
+    rejected: DataFrame  # (source_file, line_no, reason, raw_line): lines that are not in ``df`` as a whole
 
 
 def ingest(
@@ -200,9 +207,11 @@ def ingest(
     )
     catalog = catalog.persist(StorageLevel.MEMORY_AND_DISK)
     if on_error == "raise":
-        bad = report.where(~F.col("ok")).select("source_file", "reason").limit(20).collect()
-        if bad:
-            raise ValueError("files failed validation: " + "; ".join(f"{r['source_file']}: {r['reason']}" for r in bad))
+        bad = report.where(~F.col("ok")).select("source_file", "reason")
+        if first := bad.first():
+            listed = f"{ensure_checkpoint_dir(spark)}/failed-files-{uuid.uuid4().hex}"
+            bad.write.parquet(listed)
+            raise ValueError(f"{spark.read.parquet(listed).count()} files failed validation, listed in {listed}; one is {first['source_file']}: {first['reason']}")
     good = report.where("ok").select("source_file")
     rows = parse_rows(lines.join(good, "source_file", "left_semi"), layout, hdr, catalog)
     all_names = [r["name"] for r in catalog.join(good, "source_file", "left_semi").select("name").distinct().orderBy("name").collect()]
@@ -213,6 +222,10 @@ def ingest(
         *[F.col("cells").getItem(n).alias(n) for n in all_names],
         "malformed",
     ).join(hashes, "source_file")
+    no_date = F.lit(False)
     if normalise_dates and "date" in all_names:
+        no_date = normalise_date(F.col("cells").getItem("date")).isNull()
         out = out.withColumn("date", normalise_date(F.col("date"))).where(F.col("date").isNotNull())
-    return IngestResult(out, report, catalog)
+    reason = F.when(no_date, F.lit("no readable date")).when(F.size("extra_cells") > 0, F.lit("more cells than the header")).when(F.col("malformed"), F.lit("fewer cells than the header"))
+    rejected = rows.select("source_file", "line_no", reason.alias("reason"), "raw_line").where(F.col("reason").isNotNull())
+    return IngestResult(out, report, catalog, rejected)

@@ -129,13 +129,13 @@ def plan_from_preset(presets: DataFrame, name: str) -> CleanPlan:
 
 
 def apply_preset_rules(df: DataFrame, presets: DataFrame, key: str, preset_key: str = "name", flag: str | None = None) -> DataFrame:
-    """Per-row preset rules: join each row to its preset (broadcast: the preset table is a fixed
-    knowledge base, not data) and null temp/pH outside the preset limits, yield above max_yield
+    """Per-row preset rules: join each row to its preset (Spark broadcasts the preset table
+    where its size allows) and null temp/pH outside the preset limits, yield above max_yield
     and positive yield outside the harvest months."""
     p = presets.select(
         F.col(preset_key).alias("_preset"), "temp_lo", "temp_hi", "ph_lo", "ph_hi", "max_yield", "harvest_months"
     )
-    j = df.join(F.broadcast(p), df[key] == p["_preset"], "left")
+    j = df.join(p, df[key] == p["_preset"], "left")
     out = {}
     bad_t = F.coalesce((F.col("temp") < F.col("temp_lo")) | (F.col("temp") > F.col("temp_hi")), F.lit(False))
     bad_p = F.coalesce((F.col("ph") < F.col("ph_lo")) | (F.col("ph") > F.col("ph_hi")), F.lit(False))

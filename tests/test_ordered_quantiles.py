@@ -57,7 +57,7 @@ def test_exact_quantiles_with_iterations(spark):
     rnd = random.Random(3)
     vals = [rnd.choice([1.0, 2.0, 2.0, 3.0]) * 10 ** rnd.randrange(-3, 9) for _ in range(3000)] + [1e300, -1e300]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
-    got = quantiles(df, {"x": F.col("x")}, [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0], small=50, buckets=8)["x"]
+    got = quantiles(df, {"x": F.col("x")}, [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0], buckets=8)["x"]
     exp = [_np_quant(vals, p) for p in [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]]
     assert np.allclose(got, exp, rtol=1e-12, atol=0)
 
@@ -66,7 +66,7 @@ def test_exact_quantiles_with_iterations(spark):
 @given(st.lists(st.one_of(st.none(), st.floats(-1e6, 1e6, allow_nan=False)), min_size=1, max_size=60))
 def test_quantiles_property(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    got = quantiles(df, {"x": F.col("x")}, [0.25, 0.5, 0.75], small=5, buckets=4)["x"]
+    got = quantiles(df, {"x": F.col("x")}, [0.25, 0.5, 0.75], buckets=4)["x"]
     present = [v for v in values if v is not None]
     if not present:
         assert got == [None, None, None]
