@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.functions.columns import uniform
-from fieldspark.operators.ordered import global_position
+from fieldspark.operators.split import hash_boundaries
 
 # --- fixed values (must equal the reference's generator) --------------------------------------
 MISSING_RATE = 0.08
@@ -69,13 +69,12 @@ def inject_errors(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
 
 
 def inject_duplicates(df: DataFrame, key: str, rate: float = DUPLICATE_RATE, seed: int = 42, copy_col: str = "copy") -> DataFrame:
-    """Append exactly ``int(n * rate)`` copies of distinct rows (chosen by hash rank, no
-    replacement); ``copy_col`` is 0 for originals and 1 for the appended copies."""
-    n = df.count()
-    k = int(n * rate)
+    """Append ``int(n * rate)`` copies of distinct rows (least hashes, no replacement); ``copy_col``
+    is 0 for originals and 1 for the appended copies. Rows of one key are copied together."""
+    k = int(df.count() * rate)
     base = df.withColumn(copy_col, F.lit(0))
     if k == 0:
         return base
-    ranked = global_position(df.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("dup"), F.col(key).cast("string")))), "_p", ["_h", key])
-    dups = ranked.where(F.col("_p") <= k).drop("_h", "_p").withColumn(copy_col, F.lit(1))
-    return base.unionByName(dups)
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("dup"), F.col(key).cast("string")))
+    (last,) = hash_boundaries(df, h, [k])
+    return base.unionByName(df.where(h <= F.lit(last)).withColumn(copy_col, F.lit(1)))

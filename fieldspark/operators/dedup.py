@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 def dedup_keep_last(df: DataFrame, keys: list[str], row_id: str = "rid") -> DataFrame:
     """Keep the row with the highest ``row_id`` per key; NULL keys compare equal.
 
-    ``groupBy(keys).agg(max_by(row, row_id))`` is a hash aggregate with map-side partial
-    aggregation: a hot key shrinks to one row per map task before the shuffle, unlike a
-    ``row_number`` window which sends the whole hot key to one task. With no usable key every
+    ``groupBy(keys).agg(max_by(row, row_id))`` has map-side partial aggregation (sorted, as a struct
+    is no fixed-width buffer): a hot key shrinks to one row per map task before the shuffle, unlike
+    a ``row_number`` window which sends the whole hot key to one task. With no usable key every
     column is the key (whole-row distinct).
     """
     keys = [k for k in keys if k in df.columns]

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldspark.functions.columns import is_finite, schema_hash
 from fieldspark.operators.ordered import global_position
@@ -15,7 +16,6 @@ from fieldspark.operators.quantiles import quantiles
 # --- fixed values (must equal the reference's behaviour) --------------------------------------
 ZERO_SCALE_EPS = 10 * sys.float_info.epsilon  # a scale below this is treated as 0 -> 1
 MISSING_CATEGORY = "nan"  # text of a missing categorical cell before encoding
-MAX_ONEHOT_CATEGORIES = 1000  # one-hot width guard (categories come back to the driver)
 
 
 @dataclass
@@ -91,15 +91,29 @@ def label_encode(df: DataFrame, cols: list[str], suffix: str = "_code", categori
     return out
 
 
-def onehot_categories(df: DataFrame, col: str, max_categories: int = MAX_ONEHOT_CATEGORIES) -> list[str]:
-    vals = df.select(category_text(col).alias("v")).distinct().orderBy("v").limit(max_categories + 1).collect()
-    if len(vals) > max_categories:
-        raise ValueError(f"{col!r} has more than {max_categories} categories; use label encoding")
-    return [r["v"] for r in vals]
+def onehot_categories(df: DataFrame, col: str) -> list[str]:
+    """Sorted category texts: they name the columns of the wide form."""
+    return [r["v"] for r in df.select(category_text(col).alias("v")).distinct().orderBy("v").collect()]
+
+
+def onehot_sparse(df: DataFrame, cols: list[str], categories: DataFrame | None = None) -> DataFrame:
+    """Adds ``onehot_indices ARRAY<INT>``: the slots that are 1 in the one-hot vector over all ``cols``
+    (in the order of ``cols``, each by sorted category), and its length ``onehot_size``. For any number
+    of categories: one slot a column and row, nothing but a count per column on the driver. Unseen
+    values have no slot."""
+    cats = category_table(df, cols) if categories is None else categories
+    counts = {r["column"]: r["n"] for r in cats.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out, slots, start = label_encode(df, cols, "_slot", cats), [], 0
+    for c in cols:
+        slots.append(F.col(f"{c}_slot") + F.lit(start))
+        start += counts.get(c, 0)
+    out = out.withColumn("onehot_indices", F.array_compact(F.array(*slots))).withColumn("onehot_size", F.lit(start))
+    return out.drop(*[f"{c}_slot" for c in cols])
 
 
 def onehot_encode(df: DataFrame, cols: list[str], categories: dict[str, list[str]] | None = None) -> tuple[DataFrame, list[str]]:
-    """One 0/1 column ``<col>_<value>`` per sorted category; unseen values -> all zeros."""
+    """One 0/1 column ``<col>_<value>`` per sorted category; unseen values -> all zeros. Columns are
+    part of the schema; ``onehot_sparse`` is the form for many categories."""
     names: list[str] = []
     exprs: dict[str, Column] = {}
     for c in cols:
@@ -134,6 +148,12 @@ class FeatureSpec:
     fit_on: str = "all"  # "all" (reference parity) or "train" (no leakage; needs a split column)
 
 
+def select_features(df: DataFrame, target: str | None, categorical: list[str], exclude: tuple[str, ...] = ("rid", "confidence"), **spec) -> FeatureSpec:
+    """Every numeric column but the target and ``exclude``, and the categorical ones that are there."""
+    numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name != target and f.name not in exclude and f.name not in categorical]
+    return FeatureSpec(numeric, [c for c in categorical if c in df.columns], target, **spec)
+
+
 def feature_matrix(df: DataFrame, spec: FeatureSpec, key: str = "rid", split_col: str | None = None, categories: DataFrame | None = None):
     """Rows of ``features ARRAY<FLOAT>`` (numeric scaled first, then categorical) and
     ``target FLOAT``. Returns (frame, feature_names, scaler params)."""

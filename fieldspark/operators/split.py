@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.operators.ordered import global_position
+from fieldspark.operators.quantiles import order_statistics
 
 
 def split_sizes(n: int, ratios: tuple[float, float, float]) -> tuple[int, int, int]:
@@ -21,19 +21,50 @@ def split_sizes(n: int, ratios: tuple[float, float, float]) -> tuple[int, int, i
     return n_train, n_val, rest - n_val
 
 
-def split_hash(key: str, seed: int = 42):
+def split_hash(key: str, seed: int = 42) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
 
 
+def hash_boundaries(df: DataFrame, hashed: Column, positions: list[int]) -> list[str]:
+    """The md5 texts at the given 1-based positions of the ascending order ('' for position 0).
+
+    Positions are found by counting, so no row moves: order statistics of the first 13 digits (52
+    bits, exact as doubles), then the whole texts of the few rows that share those digits.
+    """
+    h = df.select(hashed.alias("h"))
+    lead = F.conv(F.substring("h", 1, 13), 16, 10).cast("double")
+    row = h.agg(F.count(lead).alias("n"), F.min(lead).alias("lo"), F.max(lead).alias("hi")).first()
+    wanted = sorted({p - 1 for p in positions if p > 0})
+    if not wanted:
+        return ["" for _ in positions]
+    got = order_statistics(h, {"h": lead}, {"h": set(wanted)}, {"h": (row["n"], row["lo"], row["hi"])})
+    leads = sorted({got["h", r] for r in wanted})
+    below = h.agg(*[F.count_if(lead < F.lit(v)).alias(f"b{i}") for i, v in enumerate(leads)]).first()
+    shared: dict[float, list] = {}
+    for r in h.where(lead.isin(leads)).groupBy("h", lead.alias("lead")).count().orderBy("h").collect():
+        shared.setdefault(r["lead"], []).append((r["h"], r["count"]))
+    at: dict[int, str] = {}
+    for rank in wanted:
+        i = leads.index(got["h", rank])
+        passed = below[f"b{i}"]
+        for text, n in shared[leads[i]]:
+            passed += n
+            if rank < passed:
+                at[rank] = text
+                break
+    return [at[p - 1] if p > 0 else "" for p in positions]
+
+
 def split_exact(df: DataFrame, key: str, ratios=(0.7, 0.2, 0.1), seed: int = 42, col: str = "split") -> DataFrame:
-    """Rows ranked by ``md5(seed:key)`` (key breaks ties); the first ``n_train`` are train, the
-    next ``n_val`` val, the rest test. Same sizes as the reference; members differ from NumPy's
-    shuffle by design. Ranking is the bucketed global position (no single-task window)."""
-    n = df.count()
-    n_train, n_val, _ = split_sizes(n, ratios)
-    ranked = global_position(df.withColumn("_h", split_hash(key, seed)), "_p", ["_h", key])
-    label = F.when(F.col("_p") <= n_train, "train").when(F.col("_p") <= n_train + n_val, "val").otherwise("test")
-    return ranked.withColumn(col, label).drop("_h", "_p")
+    """Rows in order of ``md5(seed:key)``; the first ``n_train`` are train, the next ``n_val`` val,
+    the rest test. Same sizes as the reference; members differ from NumPy's shuffle by design.
+    Each row is labelled by comparing its hash with the hashes at the two boundaries, so no row is
+    shuffled. Sizes are exact where keys are unique; rows of one key stay together, in the earlier
+    part where a boundary falls among them."""
+    n_train, n_val, _ = split_sizes(df.count(), ratios)
+    h = split_hash(key, seed)
+    last_train, last_val = hash_boundaries(df, h, [n_train, n_train + n_val])
+    return df.withColumn(col, F.when(h <= F.lit(last_train), "train").when(h <= F.lit(last_val), "val").otherwise("test"))
 
 
 def split_counts(df: DataFrame, col: str = "split") -> DataFrame:

@@ -6,6 +6,8 @@ over whole tables, and aliases every computed column identically on both sides.
 
 from __future__ import annotations
 
+import functools
+import json
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -1104,7 +1106,7 @@ def q_row_fingerprint(spark, d):
 
 
 # --------------------------------------------------------------------------------------------
-# sinks (rows-only checks: their output is files written by Spark)
+# sinks: what Spark wrote is read back and compared
 
 from fieldspark.plans import export as EX  # noqa: E402
 
@@ -1127,19 +1129,89 @@ def _bundle(spark, d):
     return res, diag, EX.export_bundle(res.df, spec, out, "harvest", "rid", (0.7, 0.2, 0.1), 42, diag)
 
 
-@register("manifest")
+_BUNDLE_SQL = with_ctes(
+    HARVEST_SQL,
+    """c AS (SELECT rid, crop, CASE WHEN ph < 0.0 OR ph > 14.0 THEN NULL ELSE ph END AS ph, CASE WHEN temp < -30.0 OR temp > 60.0 THEN NULL ELSE temp END AS temp,
+    yield, field_id, date FROM harvest)""",
+    "s AS (SELECT "
+    + ", ".join(f"count({c}) AS n_{c}, quantile_cont({c}, 0.25) AS q1_{c}, quantile_cont({c}, 0.75) AS q3_{c}" for c in ("yield", "ph", "temp"))
+    + " FROM c)",
+    "o AS (SELECT rid, crop, field_id, date, "
+    + ", ".join(
+        f"CASE WHEN n_{c} >= 10 AND ({c} < q1_{c} - 1.5 * (q3_{c} - q1_{c}) OR {c} > q3_{c} + 1.5 * (q3_{c} - q1_{c})) THEN NULL ELSE {c} END AS {c}"
+        for c in ("yield", "ph", "temp")
+    )
+    + " FROM c, s)",
+    "md AS (SELECT median(yield) AS my, median(ph) AS mp, median(temp) AS mt FROM o)",
+    "f AS (SELECT rid, crop, field_id, date, COALESCE(yield, my) AS yield, COALESCE(ph, mp) AS ph, COALESCE(temp, mt) AS temp FROM o, md)",
+    "d AS (SELECT max(rid) AS rid, crop, field_id, date, yield, ph, temp FROM f GROUP BY ALL)",
+    "z AS (SELECT avg(ph) AS mph, stddev_pop(ph) AS sph, avg(temp) AS mtemp, stddev_pop(temp) AS stemp FROM d)",
+    """x AS (SELECT rid, CAST(CAST((ph - mph) / sph AS FLOAT) AS DOUBLE) AS ph, CAST(CAST((temp - mtemp) / stemp AS FLOAT) AS DOUBLE) AS temp,
+    CAST(dense_rank() OVER (ORDER BY COALESCE(crop, 'nan')) - 1 AS DOUBLE) AS crop, CAST(CAST(yield AS FLOAT) AS DOUBLE) AS y,
+    row_number() OVER (ORDER BY md5('42:' || rid), rid) AS p, count(*) OVER () AS n FROM d, z)""",
+    "thr AS (SELECT DISTINCT n, floor(CAST(0.7 AS DOUBLE) * n) AS nt FROM x)",
+    "thr2 AS (SELECT n, nt, floor((CAST(0.2 AS DOUBLE) / (CAST(0.2 AS DOUBLE) + CAST(0.1 AS DOUBLE))) * (n - nt)) AS nv FROM thr)",
+    "parts AS (SELECT x.*, CASE WHEN p <= nt THEN 'train' WHEN p <= nt + nv THEN 'val' ELSE 'test' END AS split FROM x, thr2)",
+)
+
+
+def _facts(spark, rows):
+    return spark.createDataFrame([(k, None if v is None else float(v)) for k, v in rows], "fact string, value double").select("fact", (F.round("value", 4) + F.lit(0.0)).alias("value"))
+
+
+@register(
+    "manifest",
+    _BUNDLE_SQL
+    + "SELECT fact, round(value, 4) + 0.0 AS value FROM ("
+    + " UNION ALL ".join(
+        [f"SELECT 'stats.{c}.{k}' AS fact, {f}({c}) AS value FROM x" for c in ("ph", "temp", "crop") for k, f in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max"))]
+        + [f"SELECT 'corr.{a}.{b}', corr({a}, {b}) FROM x" for a in ("ph", "temp", "crop") for b in ("ph", "temp", "crop")]
+        + [f"SELECT 'scaler.mean.{i}', m{c} FROM z UNION ALL SELECT 'scaler.scale.{i}', s{c} FROM z" for i, c in enumerate(("ph", "temp"))]
+        + ["SELECT 'split.' || split, count(*) FROM parts GROUP BY split", "SELECT 'split.total', count(*) FROM x"]
+        + ["SELECT 'categories.crop', max(crop) + 1 FROM x"]
+    )
+    + ")",
+)
 def q_manifest(spark, d):
     _res, _diag, b = _bundle(spark, d)
-    return spark.read.text(b.manifest_path, wholetext=True)
+    m = json.loads(spark.read.text(b.manifest_path, wholetext=True).first()["value"])
+    rows = [(f"stats.{c['name']}.{k}", v) for c in m["columns"] for k, v in c["stats"].items()]
+    rows += [(f"corr.{i}.{j}", v) for i, per in m["correlations"].items() for j, v in per.items()]
+    scaler = m["pipeline_context"]["scaler_params"]
+    rows += [(f"scaler.{k}.{i}", v) for k in ("mean", "scale") for i, v in enumerate(scaler[k])]
+    rows += [(f"split.{k}", v) for k, v in m["split_info"]["counts"].items()]
+    rows += [(f"categories.{c}", v["categories"]) for c, v in m["pipeline_context"]["categorical_mappings"].items()]
+    return _facts(spark, rows)
+
+
+@register(
+    "bundle_split_rows",
+    _BUNDLE_SQL + "SELECT rid, [CAST(ph AS FLOAT), CAST(temp AS FLOAT), CAST(crop AS FLOAT)] AS features, CAST(y AS FLOAT) AS target FROM parts WHERE split = 'val'",
+)
+def q_bundle_split_rows(spark, d):
+    _res, _diag, b = _bundle(spark, d)
+    return spark.read.parquet(b.features_path).where("split = 'val'").select("rid", "features", "target")
 
 
-@register("run_log")
+_RUN_SQL = (
+    "SELECT 'obs_total_rows' AS key, CAST((SELECT count(*) FROM harvest) AS DOUBLE) AS value"
+    " UNION ALL SELECT 'obs_duplicates_removed', (SELECT count(*) FROM harvest) - (SELECT count(*) FROM d)"
+    " UNION ALL SELECT 'obs_agronomic_outliers_removed', 0"
+    " UNION ALL SELECT 'obs_out_of_bounds_removed', (SELECT 2 * count(*) - count(c.ph) - count(c.temp) FROM c)"
+    " UNION ALL SELECT 'obs_outliers_removed', (SELECT count(c.yield) + count(c.ph) + count(c.temp) FROM c) - (SELECT count(yield) + count(ph) + count(temp) FROM o)"
+    " UNION ALL SELECT 'obs_values_imputed', (SELECT 3 * count(*) - count(yield) - count(ph) - count(temp) FROM o)"
+    " UNION ALL SELECT 'split_train', 0.7 UNION ALL SELECT 'split_val', 0.2 UNION ALL SELECT 'split_test', 0.1"
+)
+
+
+@register("run_log", _BUNDLE_SQL + _RUN_SQL)
 def q_run_log(spark, d):
     res, diag, b = _bundle(spark, d)
     runs = FF.scratch_path(spark, "runs")
     cfg = {k: v for k, v in HARVEST_PLAN.__dict__.items()}
     rid = EX.log_run(spark, runs, cfg, diag, (0.7, 0.2, 0.1), b.baseline, {"file_name": "harvest", "target": "yield"})
-    return spark.read.parquet(runs).where(F.col("run_id") == rid)
+    run = spark.read.parquet(runs).where(F.col("run_id") == rid)
+    return run.where(F.col("key").rlike("^(obs|split)_")).select("key", F.col("value").cast("double").alias("value"))
 
 
 @register(
@@ -1156,9 +1228,58 @@ def q_category_table(spark, d):
     return FE.category_table(harvest(spark, d), ["crop", "field_id"])
 
 
-@register("quality_report")
+_REPORT_MEASURES = {
+    "summary": ["rows_removed"],
+    "nulls_before": ["null_count"],
+    "nulls_after": ["null_count"],
+    "describe_after": ["count", "mean", "min", "max"],
+    "boxplot": ["q1", "median", "q3", "n_fliers"],
+    "histogram": ["n"],
+}
+
+
+def _report_sql() -> str:
+    """The six report tables as (part, item, measure, value) rows, from the oracles of their own queries."""
+    last = "d1 AS (SELECT rid, date, field_id, crop, temp, humidity, day FROM d WHERE rn = 1)"
+    summary = "SELECT 'rows_removed' AS item, 'rows_removed' AS m, (SELECT count(*) FROM obs) - (SELECT count(*) FROM d1) AS v"
+    nulls = {s: " UNION ALL ".join(f"SELECT '{c}', 'null_count', count(*) - count({c}) FROM {s}" for c in _OBS_COLS) for s in ("obs", "d1")}
+    desc = " UNION ALL ".join(
+        f"SELECT '{c}', '{k}', {e} FROM d1" for c in ("temp", "humidity") for k, e in (("count", f"count({c})"), ("mean", f"round(avg({c}), 3)"), ("min", f"round(min({c}), 3)"), ("max", f"round(max({c}), 3)"))
+    )
+    box = ORACLE["boxplot_stats"][len(_CLEAN_CHAIN.strip()):]
+    hist = ORACLE["histogram_before_after"][len(_CLEAN_CHAIN.strip()):]
+    views, box_body = box.split("SELECT q.state, q.", 1)
+    mm, hist_body = hist.split('SELECT l."column", state,', 1)
+    mm = mm[mm.index(", mm AS"):]
+    return (
+        _CLEAN_CHAIN.rstrip() + ",\n" + last + views + mm
+        + ", bx AS (SELECT q.state, q." + box_body + '), hs AS (SELECT l."column", state,' + hist_body + ")\n"
+        + "SELECT part, item, m AS measure, round(CAST(v AS DOUBLE), 4) + 0.0 AS value FROM (\n"
+        + f"SELECT 'summary' AS part, * FROM ({summary})"
+        + f" UNION ALL SELECT 'nulls_before', * FROM ({nulls['obs']}) UNION ALL SELECT 'nulls_after', * FROM ({nulls['d1']})"
+        + f" UNION ALL SELECT 'describe_after', * FROM ({desc})"
+        + " UNION ALL " + " UNION ALL ".join(f"SELECT 'boxplot', state || '.' || \"column\", '{k}', {k} FROM bx" for k in _REPORT_MEASURES["boxplot"])
+        + " UNION ALL SELECT 'histogram', state || '.' || \"column\" || '.' || bin, 'n', n FROM hs)"
+    )
+
+
+@register("quality_report", _report_sql())
 def q_quality_report(spark, d):
     before = obs(spark, d)
     after = clean(before, OBS_PLAN).df
     paths = EX.write_report_tables(before, after, ["temp", "humidity"], FF.scratch_path(spark, "report"))
-    return spark.read.parquet(paths["summary"])
+    parts = []
+    for part, path in paths.items():
+        t = spark.read.parquet(path)
+        if part == "summary":
+            item = F.lit("rows_removed")
+        elif part in ("boxplot", "histogram"):
+            item = F.concat_ws(".", "state", "column", *(["bin"] if part == "histogram" else []))
+        else:
+            item = F.col("column")
+        if part == "describe_after":
+            t = t.where(F.col("column").isin("temp", "humidity"))
+        cells = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).cast("double").alias("v")) for m in _REPORT_MEASURES[part]]))
+        parts.append(t.select(F.lit(part).alias("part"), item.alias("item"), cells.alias("c")))
+    rows = functools.reduce(DataFrame.unionByName, parts)
+    return rows.select("part", "item", F.col("c.m").alias("measure"), (F.round("c.v", 4) + F.lit(0.0)).alias("value"))

@@ -21,7 +21,6 @@ from fieldspark.operators import profile as P
 from fieldspark.operators import split as SP
 
 SCHEMA_VERSION = 1
-MAX_MANIFEST_CATEGORIES = 1000  # larger mappings live only in the written category table
 
 
 @dataclass
@@ -38,10 +37,12 @@ def _unit(name: str | None) -> str:
 
 
 def build_manifest(
-    scaled: DataFrame,
+    stored: DataFrame,
     feature_names: list[str],
     params: FE.ScalerParams,
     categories: DataFrame | None,
+    categories_path: str | None,
+    input_columns: list[str],
     target: str | None,
     name: str,
     split_counts: dict[str, int] | None,
@@ -51,9 +52,11 @@ def build_manifest(
     files: list[tuple[str, str]] | None = None,
     encoding: str = "label",
 ) -> dict:
+    """Statistics and correlations are those of the written features, encoded ones included; the
+    lock hash covers the input columns. Categories are named by the written table at any number."""
     num = [c for c in feature_names if c in params.columns]
-    stats_cols = [c for c in feature_names if c in scaled.columns]
-    st = {r["column"]: r for r in MO.feature_stats(scaled, stats_cols).collect()} if stats_cols else {}
+    flat = stored.select(*[F.col("features")[i].cast("double").alias(c) for i, c in enumerate(feature_names)])
+    st = {r["column"]: r for r in MO.feature_stats(flat, feature_names).collect()} if feature_names else {}
     columns = []
     for i, c in enumerate(feature_names):
         unit, desc = P.COLUMN_DESCRIPTIONS.get(c.lower(), ("", f"{P.DEFAULT_DESCRIPTION_PREFIX}{c}"))
@@ -63,19 +66,17 @@ def build_manifest(
             "stats": None if r is None else {"mean": r["mean"], "std": r["std"], "min": r["min"], "max": r["max"]},
         })
     corr: dict[str, dict[str, float | None]] = {}
-    if len(stats_cols) > 1:
-        for r in MO.correlation_matrix(scaled, stats_cols).collect():
+    if len(feature_names) > 1:
+        for r in MO.correlation_matrix(flat, feature_names).collect():
             corr.setdefault(r["feature_i"], {})[r["feature_j"]] = r["corr"]
     mappings: dict = {}
     if categories is not None:
         counts = {r["column"]: r["n"] for r in categories.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-        small = [c for c, n in counts.items() if n <= MAX_MANIFEST_CATEGORIES]
-        for r in categories.where(F.col("column").isin(small)).collect():
-            mappings.setdefault(r["column"], {})[int(r["code"])] = r["value"]
-        for c, n in counts.items():
-            if c not in small:
-                mappings[c] = {"type": "table", "categories": n}
-    n_rows = sum(v for k, v in (split_counts or {}).items() if k != "total") if split_counts else scaled.count()
+        mappings = {c: {"type": encoding, "categories": n, "table": categories_path} for c, n in counts.items()}
+        if encoding == "onehot":
+            for c in mappings:
+                mappings[c]["features"] = [f for f in feature_names if f.startswith(f"{c}_")]
+    n_rows = sum(v for k, v in (split_counts or {}).items() if k != "total") if split_counts else stored.count()
     return {
         "schema_version": SCHEMA_VERSION,
         "generated_at": _dt.datetime.now(_dt.timezone.utc).isoformat(),
@@ -87,7 +88,7 @@ def build_manifest(
             "target_unit": _unit(target),
             "task": "regression" if target else "unsupervised",
             "files": [{"source_file": f, "sha256": h} for f, h in (files or [])],
-            "schema_lock_hash": FE.schema_lock(scaled.columns),
+            "schema_lock_hash": FE.schema_lock(input_columns),
         },
         "columns": columns,
         "correlations": corr,
@@ -99,7 +100,7 @@ def build_manifest(
         "pipeline_context": {
             "preset_applied": (preset or {}).get("crop_display", "custom"),
             "region": (preset or {}).get("region", "unknown"),
-            "scaler_params": {"type": params.kind, "center": [params.center[c] for c in num], "scale": [params.scale[c] for c in num]},
+            "scaler_params": {"type": params.kind, "mean" if params.kind == "standard" else "center": [params.center[c] for c in num], "scale": [params.scale[c] for c in num]},
             "categorical": encoding,
             "categorical_mappings": mappings,
         },
@@ -129,9 +130,9 @@ def export_bundle(
     """Features (+ target) as Parquet partitioned by split, the category table, the manifest and
     the Ridge baseline (fit on train, MSE on val)."""
     spark = df.sparkSession
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)  # counted, ranked and scanned by the split
+    columns = df.columns
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)  # read by the split and the fits below
     work = SP.split_exact(df, key, split_ratios, seed) if split_ratios else df
-    work = work.persist(StorageLevel.MEMORY_AND_DISK)  # read by ~10 small statistics jobs below
     split_col = "split" if split_ratios else None
     cats = FE.category_table(work, [c for c in spec.categorical if c in work.columns]) if spec.categorical else None
     cat_path = f"{out_dir}/{name}_categories"
@@ -146,8 +147,7 @@ def export_bundle(
     counts = None
     if split_col:
         counts = {r["split"]: r["n"] for r in SP.split_counts(stored).collect()}
-    scaled = FE.apply_scaler(work, params).select(*[c for c in names if c in params.columns])
-    manifest = build_manifest(scaled, names, params, cats, spec.target, name, counts, split_ratios, diagnostics, preset, files, spec.encoding)
+    manifest = build_manifest(stored, names, params, cats, cat_path if cats is not None else None, columns, spec.target, name, counts, split_ratios, diagnostics, preset, files, spec.encoding)
     man_path = write_json(spark, manifest, f"{out_dir}/{name}_manifest")
     baseline: dict = {}
     if spec.target:
@@ -156,6 +156,7 @@ def export_bundle(
         res = MO.ridge_baseline(flat, [f"x{i}" for i in range(len(names))], "target", split_col).collect()
         if res:
             baseline = {"baseline_mse": res[0]["baseline_mse"]}
+    df.unpersist()
     return Bundle(feat_path, cat_path, man_path, manifest, baseline)
 
 
@@ -207,4 +208,5 @@ def write_report_tables(before: DataFrame, after: DataFrame, numeric: list[str],
     for k, t in tables.items():
         paths[k] = f"{out_dir}/{k}"
         t.write.mode("overwrite").parquet(paths[k])
+    after.unpersist()
     return paths

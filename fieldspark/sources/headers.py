@@ -19,8 +19,6 @@ from fieldspark.functions.columns import header_normalise
 
 # --- fixed values (must equal the reference's behaviour) --------------------------------------
 DEFAULT_THRESHOLD = 85.0
-PREFIX_SCORE = 90.0
-PREFIX_MIN_LEN = 3
 SYNONYMS = {
     "date": ["data", "data_rilevazione", "data rilevazione", "timestamp", "giorno", "date_recorded"],
     "field_id": ["campo", "appezzamento", "id_campo", "id appezzamento", "lotto", "field", "plot_id"],
@@ -31,6 +29,10 @@ SYNONYMS = {
     "rainfall": ["pioggia", "rainfall", "prec", "precipitazioni", "rain_mm"],
 }
 
+# own choices: a header that starts with a synonym of so many characters scores this
+PREFIX_SCORE = 90.0
+PREFIX_MIN_LEN = 3
+
 
 def _norm_py(s: str) -> str:
     import regex

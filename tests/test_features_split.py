@@ -89,3 +89,38 @@ def test_schema_hash_by_group_matches_lock(spark):
     cat = spark.createDataFrame([("f1", "b"), ("f1", "a"), ("f2", "a"), ("f2", "b"), ("f3", "a")], "g string, column string")
     got = {r["g"]: r["schema_hash"] for r in FE.schema_hash_by_group(cat, "g").collect()}
     assert got["f1"] == got["f2"] == FE.schema_lock(["a", "b"]) and got["f3"] == FE.schema_lock(["a"])
+
+
+def test_exact_split_moves_no_rows_and_matches_ranks(spark):
+    df = spark.range(997).withColumnRenamed("id", "k")
+    out = SP.split_exact(df, "k", (0.7, 0.2, 0.1), 7)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    import hashlib
+
+    order = sorted(range(997), key=lambda k: hashlib.md5(f"7:{k}".encode()).hexdigest())
+    got = {r["k"]: r["split"] for r in out.collect()}
+    assert [got[k] for k in order] == ["train"] * 697 + ["val"] * 200 + ["test"] * 100
+
+
+def test_exact_split_keeps_rows_of_one_key_together(spark):
+    df = spark.createDataFrame([(i // 10,) for i in range(100)] + [(None,)] * 5, "k int")
+    parts = SP.split_exact(df, "k").groupBy("k").agg({"split": "count"}).count()
+    assert parts == 11
+    assert SP.split_exact(df, "k").groupBy("k").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0
+    assert SP.split_exact(df.limit(0), "k").count() == 0
+
+
+def test_sparse_onehot_has_no_width_limit(spark):
+    df = spark.range(3000).selectExpr("id", "lpad(id % 1200, 5, '0') AS a", "IF(id % 2 = 0, NULL, 'x') AS b")
+    out = FE.onehot_sparse(df, ["a", "b"]).orderBy("id")
+    first, second = out.take(2)
+    assert first["onehot_size"] == 1202
+    assert list(first["onehot_indices"]) == [0, 1200] and list(second["onehot_indices"]) == [1, 1201]
+    wide, names = FE.onehot_encode(df, ["a"])
+    assert len(names) == 1200 and wide.where("a_00007 = 1").count() == df.where("a = '00007'").count()
+
+
+def test_feature_selection_takes_numeric_columns_but_the_target(spark):
+    df = spark.createDataFrame([(1, 2.0, 3.0, "a", 4)], "rid int, temp double, yield double, crop string, year int")
+    spec = FE.select_features(df, "yield", ["crop", "missing"])
+    assert spec.numeric == ["temp", "year"] and spec.categorical == ["crop"] and spec.target == "yield"
