@@ -789,6 +789,54 @@ def q_list_presets(spark, d):
     return j.groupBy("region").agg(F.sort_array(F.collect_set("name")).alias("presets"), F.count(F.lit(1)).cast("bigint").alias("n_rows"))
 
 
+@register(
+    "presets_of_region",
+    with_ctes(HARVEST_SQL, _presets_values_sql(), _MAP_SQL)
+    + """
+SELECT region, list_sort(list(name)) AS presets FROM (SELECT DISTINCT region, p.name FROM harvest JOIN m ON harvest.crop = m.flag JOIN p ON m.preset = p.name)
+WHERE lower(region) LIKE '%piem%' GROUP BY region""",
+)
+def q_presets_of_region(spark, d):
+    used = _harvest_with_preset(spark, d).select("preset").distinct()
+    p = PR.presets_table(spark)
+    return PR.list_presets(p.join(used, p["name"] == used["preset"], "left_semi"), "PIEM")
+
+
+@register(
+    "gdd_preset_base",
+    with_ctes(OBS_SQL)
+    + """
+SELECT rid, ROUND(gdd_daily, 6) AS gdd_daily,
+       ROUND(sum(gdd_daily) OVER (PARTITION BY field_id ORDER BY date, rid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS gdd_accumulated
+FROM (SELECT *, greatest(0.0, COALESCE(temp - """
+    + str(float(PR.CROP_T_BASE["rice"]))
+    + """, 0.0)) AS gdd_daily FROM obs)""",
+)
+def q_gdd_preset_base(spark, d):
+    plan = PR.plan_from_preset(PR.presets_table(spark), "riso_novarese")
+    out = gdd(obs(spark, d), plan.t_base, "temp", "date", "field_id", "rid")
+    return out.select("rid", r6("gdd_daily").alias("gdd_daily"), r6("gdd_accumulated").alias("gdd_accumulated"))
+
+
+@register(
+    "onehot_sparse",
+    with_ctes(HARVEST_SQL, "c AS (SELECT crop, field_id, rid, dense_rank() OVER (ORDER BY COALESCE(crop, 'nan')) - 1 AS a, dense_rank() OVER (ORDER BY field_id) - 1 AS b FROM harvest)")
+    + "SELECT rid, [CAST(a AS INTEGER), CAST(b + (SELECT max(a) + 1 FROM c) AS INTEGER)] AS onehot_indices, CAST((SELECT max(a) + max(b) + 2 FROM c) AS INTEGER) AS onehot_size FROM c",
+)
+def q_onehot_sparse(spark, d):
+    return FE.onehot_sparse(harvest(spark, d), ["crop", "field_id"]).select("rid", "onehot_indices", "onehot_size")
+
+
+@register(
+    "features_selected",
+    with_ctes(HARVEST_SQL, _std_sql(["ph", "temp"]))
+    + f"SELECT rid, [CAST({_scaled('ph')} AS FLOAT), CAST({_scaled('temp')} AS FLOAT)] AS features, CAST(yield AS FLOAT) AS target FROM harvest, s",
+)
+def q_features_selected(spark, d):
+    h = harvest(spark, d)
+    return FE.feature_matrix(h, FE.select_features(h, "yield", []), "rid")[0]
+
+
 _CAT_COLS = ["yield", "ph", "temp", "tax"]
 
 
@@ -1105,6 +1153,49 @@ def q_row_fingerprint(spark, d):
     return _label(files).select("source_file", "file_hash")
 
 
+_MIXED_SQL = """WITH mx AS (
+  SELECT o_orderkey AS k, 'file_id=' || CAST(floor(o_orderkey / 1000.0) AS BIGINT) AS source_file,
+    CASE o_orderkey % 7 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M') WHEN 1 THEN strftime(o_orderdate, '%Y-%-m-%-d')
+      WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') || 'T10:30:00.5' WHEN 3 THEN strftime(o_orderdate, '%d/%m/%Y')
+      WHEN 4 THEN strftime(o_orderdate, '%Y-%m-%d') || 'T06:00:00+02:00' WHEN 5 THEN 'n.d.' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS dt,
+    CASE o_orderkey % 7 WHEN 0 THEN date_trunc('minute', CAST(o_orderdate AS TIMESTAMP)) WHEN 2 THEN date_trunc('day', o_orderdate) + INTERVAL 37800500 MILLISECOND
+      WHEN 4 THEN date_trunc('day', o_orderdate) + INTERVAL 6 HOUR WHEN 5 THEN NULL ELSE CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) END AS date,
+    CASE WHEN o_orderkey % 5 >= 3 THEN CAST(o_custkey AS VARCHAR) END AS temp,
+    CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'NA' WHEN 2 THEN 'NaN' ELSE CAST(o_custkey AS VARCHAR) END AS raw_temp,
+    CASE WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN 'due, righe' || chr(10) || 'qui' ELSE o_orderstatus END AS note,
+    o_orderkey % 11 = 0 AS quoted, o_orderkey % 17 = 0 AS short, o_orderkey % 13 = 0 AND o_orderkey % 17 <> 0 AS long
+  FROM orders)
+"""
+
+
+def _mixed(spark, d):
+    return IN.ingest(spark, FF.write_mixed_files(spark, d), ("date", "field_id", "temp"))
+
+
+@register("ingest_dates_mixed", _MIXED_SQL + "SELECT source_file, CAST(k AS VARCHAR) AS field_id, date FROM mx WHERE date IS NOT NULL")
+def q_ingest_dates_mixed(spark, d):
+    return _label(_mixed(spark, d).df).select("source_file", "field_id", "date")
+
+
+@register(
+    "ingest_missing_cells",
+    _MIXED_SQL + "SELECT CAST(k AS VARCHAR) AS field_id, temp, note, short OR long AS malformed FROM mx WHERE date IS NOT NULL",
+)
+def q_ingest_missing_cells(spark, d):
+    return _mixed(spark, d).df.select("field_id", "temp", "note", "malformed")
+
+
+@register(
+    "ingest_rejected_rows",
+    _MIXED_SQL
+    + """SELECT source_file, CASE WHEN date IS NULL THEN 'no readable date' WHEN long THEN 'more cells than the header' ELSE 'fewer cells than the header' END AS reason,
+  concat_ws(',', dt, CAST(k AS VARCHAR), raw_temp, CASE WHEN quoted THEN '"' || note || '"' ELSE note END, CASE WHEN long THEN 'oltre' END) AS raw_line
+FROM mx WHERE date IS NULL OR long OR short""",
+)
+def q_ingest_rejected_rows(spark, d):
+    return _label(_mixed(spark, d).rejected).select("source_file", "reason", "raw_line")
+
+
 # --------------------------------------------------------------------------------------------
 # sinks: what Spark wrote is read back and compared
 

@@ -105,6 +105,35 @@ def write_field_files(spark: SparkSession, sf_dir: str) -> str:
     return out
 
 
+def write_mixed_files(spark: SparkSession, sf_dir: str) -> str:
+    """Comma files of ``orders`` with mixed date shapes, missing markers, quoted line breaks and lines
+    with too many or too few cells; returns the folder."""
+    key = (spark.sparkContext.applicationId, f"mixed:{sf_dir}")
+    if key in _CACHE:
+        return _CACHE[key]
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    date = (
+        F.when(k % 7 == 0, F.date_format(day, "yyyy-MM-dd HH:mm"))
+        .when(k % 7 == 1, F.date_format(day, "yyyy-M-d"))
+        .when(k % 7 == 2, F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T10:30:00.5")))
+        .when(k % 7 == 3, F.date_format(day, "dd/MM/yyyy"))
+        .when(k % 7 == 4, F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T06:00:00+02:00")))
+        .when(k % 7 == 5, F.lit("n.d."))
+        .otherwise(F.date_format(day, "yyyy-MM-dd"))
+    )
+    temp = F.when(k % 5 == 0, F.lit("")).when(k % 5 == 1, F.lit("NA")).when(k % 5 == 2, F.lit("NaN")).otherwise(F.col("o_custkey").cast("string"))
+    note = F.when(k % 11 == 0, F.lit('"due, righe\nqui"')).otherwise(F.col("o_orderstatus"))
+    line = F.concat_ws(",", date, k.cast("string"), temp, F.when(k % 17 != 0, note), F.when((k % 13 == 0) & (k % 17 != 0), F.lit("oltre")))
+    f = F.floor(k / F.lit(FILE_ROWS)).cast("bigint").alias("file_id")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    head = orders.select(f, F.lit(-1).cast("bigint").alias("ord"), F.lit("date,field_id,temp,note").alias("line")).distinct()
+    lines = orders.select(f, k.alias("ord"), line.alias("line")).unionByName(head)
+    out = scratch_path(spark, "mixed-files")
+    lines.repartition("file_id").sortWithinPartitions("file_id", "ord").select("file_id", "line").write.partitionBy("file_id").text(out)
+    _CACHE[key] = out
+    return out
+
+
 def file_label(source_file: Column) -> Column:
     """'file_id=N' from a relative path written by ``write_field_files``."""
     return F.regexp_extract(source_file, r"(file_id=[0-9]+)", 1)

@@ -3,7 +3,7 @@
 Pipeline (every step a Spark job over all files at once, not a driver loop over files):
 
 1. ``read_files``   binaryFile scan -> (source_file, content, file_hash = SHA-256 of the bytes)
-2. ``file_lines``   decode (UTF-8, else Latin-1) and explode into (source_file, line_no, line)
+2. ``file_lines``   decode (UTF-8, else Latin-1) and explode into records (source_file, line_no, line)
 3. ``sniff_layout`` per file, the separator among ``, ; TAB`` whose modal field count is largest
 4. ``header_rows``  of the first 15 lines, the one with most cells in hints + required names
 5. ``header_catalog`` (source_file, pos, header, name) with names trimmed/lower-cased and,
@@ -65,9 +65,26 @@ def decode_text(content: Column) -> Column:
     return F.when(F.is_valid_utf8(raw), raw).otherwise(F.decode(content, "ISO-8859-1"))
 
 
+HELD = "\ufdd0"  # stands for a separator or line break inside quotes while text is split (no character)
+
+
+def hold_quoted(text: Column, sep: Column) -> Column:
+    """``text`` with each ``sep`` inside double quotes held back, in linear time: of the pieces between
+    quotes, those with an odd number of quotes behind them are quoted."""
+    pieces = F.split(text, '"')
+    last = F.size(pieces) - 1
+    held = F.transform(pieces, lambda x, i: F.when((last - i) % 2 == 1, F.replace(x, sep, F.lit(HELD))).otherwise(x))
+    return F.when(text.contains('"'), F.array_join(held, '"')).otherwise(text)
+
+
 def file_lines(files: DataFrame) -> DataFrame:
-    lines = files.select("source_file", F.posexplode(F.split(decode_text(F.col("content")), r"\r?\n")).alias("line_no", "line"))
-    return lines.where(F.length(F.trim("line")) > 0)
+    """(source_file, line_no, line): records in file order. A line break inside quotes belongs to its
+    record; a file with an odd number of quotes is split at every line break."""
+    text = F.regexp_replace(decode_text(F.col("content")), r"\r\n", "\n")
+    paired = F.length(F.regexp_replace(text, '[^"]', "")) % 2 == 0
+    records = F.split(F.when(paired, hold_quoted(text, F.lit("\n"))).otherwise(text), "\n")
+    lines = files.select("source_file", F.posexplode(records).alias("line_no", "line"))
+    return lines.where(F.length(F.trim("line")) > 0).withColumn("line", F.replace("line", F.lit(HELD), F.lit("\n")))
 
 
 def sniff_layout(lines: DataFrame, seps: tuple[str, ...] = SEPARATORS) -> DataFrame:
@@ -75,7 +92,7 @@ def sniff_layout(lines: DataFrame, seps: tuple[str, ...] = SEPARATORS) -> DataFr
     non-empty lines; the separator with the largest modal count (> 1) wins, ties in list order."""
     counts = lines.select(
         "source_file",
-        F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.size(F.split("line", _sep_regex(s) + _OUTSIDE_QUOTES)).alias("n")) for i, s in enumerate(seps)])).alias("c"),
+        F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.size(F.split(hold_quoted(F.col("line"), F.lit(s)), _re_escape(s))).alias("n")) for i, s in enumerate(seps)])).alias("c"),
     ).groupBy("source_file", "c.k", "c.n").agg(F.count(F.lit(1)).alias("lines"))
     modal = counts.groupBy("source_file", "k").agg(F.max_by("n", F.struct("lines", "n")).alias("mode"))
     best = modal.where(F.col("mode") > 1).groupBy("source_file").agg(
@@ -85,23 +102,13 @@ def sniff_layout(lines: DataFrame, seps: tuple[str, ...] = SEPARATORS) -> DataFr
     return best.select("source_file", sep_of.alias("sep"), F.col("b.mode").alias("n_columns"))
 
 
-def _sep_regex(s: str) -> str:
-    import re
-
-    return re.escape(s)
-
-
-# a separator counts only outside double quotes (an even number of quotes follows it)
-_OUTSIDE_QUOTES = '(?=(?:[^"]*"[^"]*")*[^"]*$)'
-
-
 def split_cells(line: Column, sep: Column) -> Column:
     """Cells of a delimited line: separators inside double quotes are kept, quoted cells are
     unquoted (``""`` -> ``"``), cells are trimmed."""
-    parts = F.split(line, F.concat(F.lit("\\Q"), sep, F.lit("\\E" + _OUTSIDE_QUOTES)))
+    parts = F.split(hold_quoted(line, sep), F.concat(F.lit("\\Q"), sep, F.lit("\\E")))
 
     def unquote(c: Column) -> Column:
-        t = F.trim(c)
+        t = F.trim(F.replace(c, F.lit(HELD), sep))
         quoted = t.startswith('"') & t.endswith('"') & (F.length(t) >= 2)
         return F.when(quoted, F.replace(F.substring(t, 2, F.length(t) - 2), F.lit('""'), F.lit('"'))).otherwise(t)
 
