@@ -46,26 +46,21 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def ridge_fit(df: DataFrame, xcols: list[str], ycol: str, alpha: float = RIDGE_ALPHA):
-    """Ridge with an unpenalised intercept from one pass of sums: returns (n, w, b) or None."""
+    """Ridge with an unpenalised intercept from two passes, means and then centred cross sums:
+    returns (n, w, b) or None."""
     d = len(xcols)
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(ycol).alias("sy")]
-    aggs += [F.sum(c).alias(f"s{i}") for i, c in enumerate(xcols)]
-    aggs += [F.sum(F.col(c) * F.col(ycol)).alias(f"sy{i}") for i, c in enumerate(xcols)]
-    for i in range(d):
-        for j in range(i, d):
-            aggs.append(F.sum(F.col(xcols[i]) * F.col(xcols[j])).alias(f"x{i}_{j}"))
-    r = df.agg(*aggs).first()
-    n = r["n"]
+    m = df.agg(F.count(F.lit(1)).alias("n"), F.avg(ycol).alias("y"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(xcols)]).first()
+    n = m["n"]
     if n < MIN_TRAIN_ROWS:
         return None
-    mx = np.array([r[f"s{i}"] / n for i in range(d)])
-    my = r["sy"] / n
-    A = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            A[i, j] = A[j, i] = r[f"x{i}_{j}"] - n * mx[i] * mx[j]
+    mx, my = np.array([m[f"m{i}"] for i in range(d)]), m["y"]
+    cen = [F.col(c) - F.lit(m[f"m{i}"]) for i, c in enumerate(xcols)]
+    aggs = [F.sum(x * (F.col(ycol) - F.lit(my))).alias(f"y{i}") for i, x in enumerate(cen)]
+    aggs += [F.sum(cen[i] * cen[j]).alias(f"x{i}_{j}") for i in range(d) for j in range(i, d)]
+    r = df.agg(*aggs).first()
+    A = np.array([[r[f"x{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)], dtype=float).reshape(d, d)
     A += alpha * np.eye(d)
-    c = np.array([r[f"sy{i}"] - n * mx[i] * my for i in range(d)])
+    c = np.array([r[f"y{i}"] for i in range(d)])
     w = np.linalg.solve(A, c)
     b = my - float(mx @ w)
     return n, w, b

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldspark.functions.columns import coerce_numeric
+
 # --- fixed values (must equal the reference's behaviour) --------------------------------------
 LB_PER_ACRE_TO_KG_PER_HA = 1.12085
 INCH_TO_MM = 25.4
@@ -69,7 +71,7 @@ def convert_units(df: DataFrame, use_range_heuristic: bool = False) -> tuple[Dat
         if canonical in taken and canonical != c:
             continue
         conv = CONVERSIONS[(src, dst)]
-        exprs.append(conv(F.col(c).cast("double")).alias(canonical))
+        exprs.append(conv(coerce_numeric(c)).alias(canonical))
         taken.add(canonical)
         drop.add(c)
         converted.add(canonical)
@@ -80,14 +82,14 @@ def convert_units(df: DataFrame, use_range_heuristic: bool = False) -> tuple[Dat
         if rules:
             aggs = []
             for i, (c, *_rest) in enumerate(rules):
-                v = F.col(c).cast("string").try_cast("double")
+                v = coerce_numeric(c)
                 aggs += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}")]
             row = out.agg(*aggs).first()
             upd = {}
             for i, (c, lo, hi, s, d) in enumerate(rules):
                 mn, mx = row[f"mn{i}"], row[f"mx{i}"]
                 if mn is not None and mn >= lo and mx <= hi:
-                    upd[c] = CONVERSIONS[(s, d)](F.col(c).cast("double"))
+                    upd[c] = CONVERSIONS[(s, d)](coerce_numeric(c))
                     report.append((c, s, d, c))
             if upd:
                 out = out.withColumns(upd)

@@ -970,6 +970,25 @@ def q_inject_errors(spark, d):
     return CO.inject_errors(obs(spark, d).select("rid", "temp", "humidity"), "rid")
 
 
+def _injected_sql(c: str, spike: float | None) -> str:
+    kept = f"CASE WHEN {_u_sql('nan:' + c, 'rid')} >= 0.08 THEN {c} END"
+    if spike is None:
+        return kept
+    return f"CASE WHEN {_u_sql('spike:' + c, 'rid')} < 0.03 THEN ROUND({spike} * (0.5 + {_u_sql('amp:' + c, 'rid')}), 2) ELSE {kept} END"
+
+
+@register(
+    "inject_errors_soil",
+    with_ctes(HARVEST_SQL)
+    + f"""SELECT rid, {_injected_sql('yield', 50.0)} AS yield, {_injected_sql('rainfall', 5000.0)} AS rainfall,
+  CASE WHEN {_u_sql('viol:ph', 'rid')} < 0.02 THEN [-2.0, 17.5, 99.0][CAST(floor({_u_sql('phv', 'rid')} * 3) AS BIGINT) + 1] ELSE {_injected_sql('ph', None)} END AS ph
+FROM (SELECT rid, yield, ph, temp * 2.0 AS rainfall FROM harvest)""",
+)
+def q_inject_errors_soil(spark, d):
+    h = harvest(spark, d).select("rid", "yield", "ph", (F.col("temp") * 2.0).alias("rainfall"))
+    return CO.inject_errors(h, "rid")
+
+
 @register(
     "inject_duplicates",
     with_ctes(
@@ -1053,6 +1072,19 @@ def q_header_row(spark, d):
     return _label(IN.header_rows(lines, layout, _REQ_ALL)).select("source_file", "header_line")
 
 
+@register(
+    "schema_hash_files",
+    "WITH " + _FILES_SQL + """
+SELECT 'file_id=' || f AS source_file, substr(sha256(array_to_string(list_sort(list_filter(
+  [lower(trim(h_date)), lower(trim(h_field)), lower(trim(h_temp)), lower(trim(h_yield)), lower(trim(h_status))], lambda x: x IS NOT NULL)), ',')), 1, 16) AS schema_hash
+FROM hdr""",
+)
+def q_schema_hash_files(spark, d):
+    _p, _f, lines, layout = _field_files(spark, d)
+    cat = IN.header_catalog(IN.header_rows(lines, layout, _REQ_ALL))
+    return _label(FE.schema_hash_by_group(cat, "source_file", "name"))
+
+
 def _targets_sql() -> str:
     tg = HD.targets(list(_REQ_ALL), HD.SYNONYMS)
     canon = sorted({c for _, c in tg})
@@ -1275,6 +1307,35 @@ def q_manifest(spark, d):
     return _facts(spark, rows)
 
 
+TEXT_PLAN = CleanPlan(
+    auto_unit_conversion=True,
+    categorical_columns=("crop",),
+    date_columns=("date",),
+    dedup_keys=(),
+    missing_strategy="median",
+    outlier_method="iqr",
+    physical_bounds={"ph": (0.0, 8.0), "temp": (-15.0, 60.0)},
+)
+
+_TEXT_SQL = _BUNDLE_SQL[: _BUNDLE_SQL.index("z AS (")].rstrip().rstrip(",").replace(
+    _BUNDLE_SQL[_BUNDLE_SQL.index("c AS (") : _BUNDLE_SQL.index("s AS (")],
+    """c AS (SELECT rid, crop, CASE WHEN ph > 8.0 THEN NULL ELSE ph END AS ph, CASE WHEN t < -15.0 OR t > 60.0 THEN NULL ELSE t END AS temp,
+    yield * 1.12085 AS yield, field_id, date FROM (SELECT *, (temp - 32.0) * 5.0 / 9.0 AS t FROM harvest)),
+""",
+)
+
+
+@register("clean_text_input", _TEXT_SQL + " SELECT rid, crop, ROUND(yield, 6) AS yield, ROUND(ph, 6) AS ph, ROUND(temp, 6) AS temp FROM d")
+def q_clean_text_input(spark, d):
+    def comma(c):
+        return F.replace(F.col(c).cast("string"), F.lit("."), F.lit(","))
+
+    h = harvest(spark, d)
+    text = h.select("rid", "field_id", "date", "crop", comma("yield").alias("yield_lb_acre"), comma("ph").alias("ph"), comma("temp").alias("temp_f"))
+    out = clean(text, TEXT_PLAN).df
+    return out.select("rid", "crop", r6("yield").alias("yield"), r6("ph").alias("ph"), r6("temp").alias("temp"))
+
+
 @register(
     "bundle_split_rows",
     _BUNDLE_SQL + "SELECT rid, [CAST(ph AS FLOAT), CAST(temp AS FLOAT), CAST(crop AS FLOAT)] AS features, CAST(y AS FLOAT) AS target FROM parts WHERE split = 'val'",

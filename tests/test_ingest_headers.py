@@ -91,3 +91,23 @@ def test_malformed_lines_are_flagged(spark, tmp_path):
     _write(tmp_path, "m.csv", "date,field_id,temp,humidity,ph,yield\n2024-05-10,F1,20,50,6,2\n2024-05-11,F1,21,50\n")
     rows = {r["line_no"]: r for r in IN.ingest(spark, str(tmp_path), REQ).df.collect()}
     assert not rows[1]["malformed"] and rows[2]["malformed"] and rows[2]["ph"] is None
+
+
+def test_quoted_line_break_belongs_to_its_record(spark, tmp_path):
+    _write(tmp_path, "n.csv", 'date,field_id,temp,humidity,ph,yield,note\r\n2024-05-10,F1,20,50,6,2,"one, two\r\nthree"\r\n2024-05-11,F2,21,50,6,2,x\r\n')
+    rows = {r["field_id"]: r for r in IN.ingest(spark, str(tmp_path), REQ).df.collect()}
+    assert rows["F1"]["note"] == "one, two\nthree" and rows["F2"]["note"] == "x"
+    assert not rows["F1"]["malformed"]
+
+
+def test_a_stray_quote_loses_no_line(spark, tmp_path):
+    _write(tmp_path, "s.csv", 'date,field_id,temp,humidity,ph,yield\n2024-05-10,5" pipe,20,50,6,2\n2024-05-11,F2,21,50,6,2\n')
+    res = IN.ingest(spark, str(tmp_path), REQ)
+    got = {str(r["date"])[:10] for r in res.df.collect()} | {r["raw_line"][:10] for r in res.rejected.collect()}
+    assert got == {"2024-05-10", "2024-05-11"}
+
+
+def test_cells_of_a_very_long_line(spark):
+    line = ",".join(['"a,b"'] * 20000)
+    n = spark.createDataFrame([(line,)], "line string").select(F.size(IN.split_cells(F.col("line"), F.lit(",")))).first()[0]
+    assert n == 20000
