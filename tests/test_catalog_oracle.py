@@ -17,9 +17,8 @@ def test_query_matches_oracle(spark, con, sf001, name):
     assert r["match"], r
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
-def test_rows_only_queries_run(spark, sf001, name):
-    assert QUERIES[name](spark, sf001).count() >= 1
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_entry_smoke(spark):
