@@ -4,10 +4,12 @@
 2. Per document ``HASHES`` consistent weighted samples (Ioffe's method: a sample is equal in two
    documents with the probability of their weighted Jaccard similarity), cut into bands.
 3. Texts that are equal are one node. Nodes that share a band meet in a bucket: each is paired with
-   the bucket's least node and, in small random parts of the bucket, with each other, so the pairs
+   the bucket's least node and, in small random parts of the bucket, with each other, so these pairs
    grow with the bucket, not with its square.
 4. Pairs are verified by the weighted Jaccard similarity of the whole texts; connected components of
    the verified pairs are the classes.
+5. In buckets whose nodes are not in one class yet, the nodes with most links are paired with the
+   others. Then all pairs between nodes of different classes of a bucket are compared, in tiles.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ DF_BITS = 18
 IDF_STRENGTH = 0.5
 PART = 2  # expected nodes in a random part of a bucket of more than SMALL nodes
 SMALL = 4  # a bucket of at most so many nodes is one part
+PEELS = 2  # rounds with new heads before the tiles; they save comparisons and don't change classes
+TILE_NODES, TILE_BYTES = 64, 2 << 20  # expected nodes and bytes of text on a side of a tile at most
+TILE_FEATURES = 1 << 14  # features of a tile that are multiplied at a time
 TABLE_BITS = 16  # random numbers of a hash function: one triple for each value of so many bits
 _CACHE: dict[str, object] = {}
 
@@ -113,32 +118,36 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def band_keys(docs: DataFrame, weights) -> DataFrame:
-    """doc_id, _sha, _bands of every row; texts without words have null bands."""
+    """doc_id, _sha, _size, _bands of every row; texts without words have null bands."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in slices(batches, "_text"):
-            v = _vectors(b.column(2))
+            v = _vectors(b.column(3))
             some = [i for i, (x, _) in enumerate(v) if len(x)]
             bands: list = [None] * len(v)
             if some:
                 for i, row in zip(some, sketch([v[i] for i in some], weights.value)):
                     bands[i] = row
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "_sha", "_bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "_sha", "_size", "_bands"])
 
-    narrow = docs.select("doc_id", F.unhex(F.sha2(text_of().cast("binary"), 256)).alias("_sha"), text_of().alias("_text"))
-    return narrow.mapInArrow(run, f"doc_id {kind}, _sha binary, _bands array<long>")
+    narrow = docs.select("doc_id", F.unhex(F.sha2(text_of().cast("binary"), 256)).alias("_sha"), F.octet_length(text_of()).alias("_size"), text_of().alias("_text"))
+    return narrow.mapInArrow(run, f"doc_id {kind}, _sha binary, _size int, _bands array<long>")
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs of ``nodes`` (node, bands) to verify. A bucket of n nodes gives at most n
-    pairs with its least node and about n pairs inside its random parts; one of at most SMALL nodes
-    gives all its pairs. Counts and least nodes are gathered before the shuffle, and parts have keys of
-    their own, so no task gets a whole large bucket."""
-    rows = nodes.select("node", F.posexplode("bands").alias("i", "key")).select("node", F.xxhash64("i", "key").alias("bucket"))
+def bucket_rows(nodes: DataFrame) -> DataFrame:
+    """node, size, bucket, n, head of ``nodes`` (node, size, bands) in each bucket of n > 1 nodes; head
+    is the least. Counts and least nodes are gathered before the shuffle."""
+    rows = nodes.select("node", "size", F.posexplode("bands").alias("i", "key")).select("node", "size", F.xxhash64("i", "key").alias("bucket"))
     rows = cut_lineage(rows)
     heads = cut_lineage(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).where("n > 1"))
-    full = cut_lineage(rows.join(heads, "bucket"))
+    return cut_lineage(rows.join(heads, "bucket"))
+
+
+def candidate_pairs(full: DataFrame) -> DataFrame:
+    """(a, b), a < b: first pairs of ``bucket_rows`` to verify. A bucket of n nodes gives at most n pairs
+    with its least node and about n pairs inside its random parts; one of at most SMALL nodes gives all
+    its pairs. Parts have keys of their own, so no task gets a whole large bucket."""
     star = full.where(F.col("n") > SMALL).select(F.col("head").alias("a"), F.col("node").alias("b"))
     parts = F.when(F.col("n") <= SMALL, F.lit(1)).otherwise(F.ceil(F.col("n") / PART))
     part = F.xxhash64("bucket", F.pmod(F.xxhash64("node", "bucket"), parts))
@@ -147,12 +156,106 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
     return star.union(inside).where("a < b").distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, weights, threshold: float) -> DataFrame:
-    """The pairs whose whole texts are similar enough. Only texts whose id is in a bitmap of the pairs'
-    ids move, compressed."""
+def open_buckets(full: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, node, label, size of the large buckets whose nodes are in several classes, with the
+    bucket's class of most nodes (big), and nodes and bytes of all (n, bytes) and of the other classes
+    (m, rest)."""
+    rows = full.where(F.col("n") > SMALL).join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"), F.col("size").cast("long").alias("size"))
+    rows = cut_lineage(rows.groupBy("bucket", "node", "label").agg(F.sum("size").alias("size")))
+    sums = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("s"))
+    top = F.max(F.struct("k", "label", "s"))
+    found = sums.groupBy("bucket").agg(F.sum("k").alias("n"), F.sum("s").alias("bytes"), top.alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    found = found.select("bucket", "n", "bytes", F.col("top.label").alias("big"), (F.col("n") - F.col("top.k")).alias("m"), (F.col("bytes") - F.col("top.s")).alias("rest"))
+    return cut_lineage(rows.join(cut_lineage(found), "bucket"))
+
+
+def head_pairs(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b), a < b: pairs of the nodes with most links, of all of an open bucket and of those outside
+    its class of most nodes, with the bucket's nodes of other classes."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("d"))
+    rank = F.struct(F.coalesce("d", F.lit(0)).alias("d"), F.col("node").alias("head"), F.col("label").alias("of"))
+    best = rows.join(degree, "node", "left").groupBy("bucket").agg(F.max(rank).alias("all"), F.max(F.when(F.col("label") != F.col("big"), rank)).alias("rest"))
+    heads = cut_lineage(best.select("bucket", F.explode(F.array_distinct(F.array("all", "rest"))).alias("h")).select("bucket", "h.head", "h.of"))
+    return rows.join(heads, "bucket").where("label <> of").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+
+
+def _items(vectors: list[tuple[np.ndarray, np.ndarray]], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, weights, rows) of all vectors, where a shingle that stands n times gives n keys, and the
+    vectors' sums of weights."""
+    x, n = np.concatenate([v for v, _ in vectors]), np.concatenate([c for _, c in vectors])
+    row = np.repeat(np.repeat(np.arange(len(vectors)), [len(v) for v, _ in vectors]), n)
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    x = np.repeat(x, n)
+    w = weight[_feature(x)]
+    return x + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), w, row, np.bincount(row, w, len(vectors))
+
+
+def similar(a: list, b: list, weight: np.ndarray, threshold: float) -> np.ndarray:
+    """For each vector of ``a`` and of ``b``: is their ``similarity`` ``threshold`` or more? Lesser weights
+    are summed as products of 0/1 matrices; what is too near the threshold is computed pair by pair."""
+    (ka, wa, ra, ta), (kb, _, rb, tb) = _items(a, weight), _items(b, weight)
+    shared, place = np.intersect1d(ka, kb, return_indices=True)[:2]
+    shared_weight = wa[place]
+    both = np.zeros((len(a), len(b)))
+    for at in range(0, len(shared), TILE_FEATURES):
+        part = shared[at : at + TILE_FEATURES]
+        sides = []
+        for k, r, rows in ((ka, ra, len(a)), (kb, rb, len(b))):
+            to = np.minimum(np.searchsorted(part, k), len(part) - 1)
+            hit = part[to] == k
+            side = np.zeros((rows, len(part)))
+            side[r[hit], to[hit]] = 1
+            sides.append(side)
+        both += (sides[0] * shared_weight[at : at + TILE_FEATURES]) @ sides[1].T
+    s = both / (ta[:, None] + tb[None, :] - both)
+    out = s >= threshold
+    for i, j in np.argwhere(np.abs(s - threshold) < 1e-9):
+        out[i, j] = similarity(a[i], b[j], weight) >= threshold
+    return out
+
+
+def tile_links(docs: DataFrame, rows: DataFrame, weights, threshold: float) -> DataFrame:
+    """(a, b): the similar pairs among all pairs of nodes of different classes of each open bucket.
+    Nodes outside the class of most nodes are cut into parts, and so are all nodes; every two parts are
+    a tile, compared by a call of its own."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(F.xxhash64("id").alias("h"))
-    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids, "h"))
+
+    def parts(n: str, size: str):
+        return F.ceil(F.col(n) / TILE_NODES + F.col(size) / TILE_BYTES)
+
+    def side(of: DataFrame, number: int):
+        mine, other = (("m", "rest"), ("n", "bytes"))[:: 1 if number == 0 else -1]
+        own = F.pmod(F.xxhash64("node", "bucket", F.lit(number)), parts(*mine))
+        cut = of.select("bucket", "node", "label", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), parts(*other) - 1)).alias("other"))
+        return cut.select(F.xxhash64("bucket", *(("own", "other") if number == 0 else ("other", "own"))).alias("tile"), F.lit(number).alias("side"), "node", "label")
+
+    texts = texts_of(docs, rows.select(F.col("node").alias("id")).distinct())
+    tiles = side(rows.where("label <> big"), 0).union(side(rows, 1)).join(texts.withColumnRenamed("id", "node"), "node")
+
+    def run(t: pa.Table) -> pa.Table:
+        open_ = zstandard.ZstdDecompressor().decompress
+        number = t.column("side").to_numpy()
+        group = []
+        for k in (0, 1):
+            of = t.filter(pa.array(number == k))
+            v = _vectors(pa.array([open_(x).decode("utf-8", "replace") for x in of.column("text").to_pylist()], pa.large_string()))
+            some = [i for i, (x, _) in enumerate(v) if len(x)]
+            group.append((of.take(pa.array(some, pa.int64())), [v[i] for i in some]))
+        (a, va), (b, vb) = group
+        if not va or not vb:
+            return t.select(["node", "node"]).slice(0, 0).rename_columns(["a", "b"])
+        labels = pa.concat_tables([a, b]).column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        i, j = np.nonzero(similar(va, vb, weights.value, threshold) & (labels[: len(va), None] != labels[None, len(va) :]))
+        return pa.table({"a": a.column("node").take(pa.array(i)), "b": b.column("node").take(pa.array(j))})
+
+    found = tiles.select("tile", "side", "node", "label", "text").groupBy("tile").applyInArrow(run, f"a {kind}, b {kind}")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, text (compressed) of the rows whose id is in a bitmap of ``ids`` (id)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids.select(F.xxhash64("id").alias("h")), "h"))
 
     def pick(batches):
         press = zstandard.ZstdCompressor(level=3).compress
@@ -162,7 +265,14 @@ def verified(docs: DataFrame, pairs: DataFrame, weights, threshold: float) -> Da
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([press(t) for t in raw], pa.binary())], names=["id", "text"])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("doc_id").alias("h"), text_of().alias("text"))
-    texts = cut_lineage(rows.mapInArrow(pick, f"id {kind}, text binary"))
+    return cut_lineage(rows.mapInArrow(pick, f"id {kind}, text binary"))
+
+
+def verified(docs: DataFrame, pairs: DataFrame, weights, threshold: float) -> DataFrame:
+    """The pairs whose whole texts are similar enough. Only texts whose id is in a bitmap of the pairs'
+    ids move, compressed."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def check(batches):
@@ -191,6 +301,29 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.toDF("node", "label")
 
 
+def classes(docs: DataFrame, full: DataFrame, weights, threshold: float) -> DataFrame:
+    """(node, label) of the linked nodes. Nodes that share a bucket and are similar have one label,
+    whatever pairs are tried first: a bucket is left only when its nodes are in one class or all its
+    pairs between classes are compared."""
+    tried = cut_lineage(candidate_pairs(full))
+    links = cut_lineage(verified(docs, tried, weights, threshold))
+    labels = components(links)
+    rows = open_buckets(full, labels)
+    for _ in range(PEELS):
+        if rows.isEmpty():
+            return labels
+        fresh = cut_lineage(head_pairs(rows, links).join(tried, ["a", "b"], "left_anti"))
+        found = cut_lineage(verified(docs, fresh, weights, threshold))
+        if found.isEmpty():
+            break
+        tried, links = tried.union(fresh), links.union(found)
+        labels = components(links)
+        rows = open_buckets(full, labels)
+    if rows.isEmpty():
+        return labels
+    return components(links.union(cut_lineage(tile_links(docs, rows, weights, threshold))))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, kept for every row of ``docs``; class_id is the least doc_id of the class, whose
     row is kept.
@@ -206,9 +339,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     ship(spark)
     weights = spark.sparkContext.broadcast(idf_weights(*document_frequencies(docs)))
     keyed = cut_lineage(band_keys(docs, weights))
-    same = cut_lineage(keyed.where(F.col("doc_id").isNotNull()).groupBy("_sha").agg(F.min("doc_id").alias("node"), F.first("_bands").alias("bands")))
-    pairs = cut_lineage(candidate_pairs(same.where(F.col("bands").isNotNull())))
-    labels = components(verified(docs, pairs, weights, threshold))
+    same = cut_lineage(keyed.where(F.col("doc_id").isNotNull()).groupBy("_sha").agg(F.min("doc_id").alias("node"), F.first("_size").alias("size"), F.first("_bands").alias("bands")))
+    labels = classes(docs, bucket_rows(same.where(F.col("bands").isNotNull())), weights, threshold)
     of = cut_lineage(same.join(labels, "node", "left").select(F.col("_sha").alias("sha"), F.coalesce("label", "node").alias("class_id")))
     out = keyed.select("doc_id", "_sha").join(of, F.col("_sha") == F.col("sha"), "left")
     out = out.withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")))

@@ -15,7 +15,7 @@ from fieldspark.llm import op3_pii as pii
 from fieldspark.llm.common import table, window_hashes, word_hashes
 from fieldspark.llm.op2_exact import OP2_SQL, exact_groups, op2_exact_dedup, possibly_repeated
 from fieldspark.llm.op4_licenses import TEMPLATES, Scanner, candidate_blocks, op4_licenses
-from fieldspark.llm.op5_minhash import HASHES, SIMILARITY, components, idf_weights, near_duplicates, op5_minhash_dedup, similarity, sketch
+from fieldspark.llm.op5_minhash import HASHES, SIMILARITY, _vectors, components, document_frequencies, idf_weights, near_duplicates, op5_minhash_dedup, similar, similarity, sketch
 from fieldspark.llm.op6_quality import op6_quality
 from fieldspark.llm.op7_html import blocks, main_text, op7_html, train
 from fieldspark.llm.op8_toxicity import op8_toxicity
@@ -275,6 +275,37 @@ def test_large_class_of_different_near_copies(spark):
     assert {got[i] for i in range(300)} == {0} and all(got[i] == i for i in got if i >= 1000)
 
 
+@pytest.mark.parametrize("n", [100, 2000])
+def test_hub_that_is_not_the_least_id(spark, n):
+    rng = random.Random(5)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
+    rows = [(n + 7, " ".join(base))]
+    for i in range(n):  # each like the hub (0.86), but not like the others (0.74)
+        words = list(base)
+        for at in rng.sample(range(2, 198, 5), 3):
+            words[at] = f"new{i}x{at}"
+        rows.append((i, " ".join(words)))
+    rows += [(10**6 + i, " ".join(f"v{rng.randint(0, 10**6)}" for _ in range(100))) for i in range(3 * n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(docs).collect()}
+    weight = idf_weights(*document_frequencies(docs))
+    vectors = _vectors(pa.array([t for _, t in rows[: n + 1]]))
+    keys = sketch(vectors, weight)
+    meet = [i for i in range(1, n + 1) if (keys[i] == keys[0]).any() and similarity(vectors[i], vectors[0], weight) >= SIMILARITY]
+    assert len(meet) > 0.99 * n and {got[rows[i][0]] for i in [0, *meet]} == {rows[min(meet)][0]}
+    assert all(got[i] == i for i in got if i >= 10**6)
+
+
+def test_tiles_link_as_similarity_does():
+    rng = np.random.default_rng(3)
+    weight = idf_weights(rng.integers(0, 1000, 1 << 18), 1000)
+    pool = np.unique(rng.integers(0, 1 << 63, 60, dtype=np.uint64))
+    v = [(x, rng.integers(1, 4, len(x))) for x in (pool[rng.random(len(pool)) < 0.9] for _ in range(40))]
+    for threshold in (0.5, 0.6, similarity(v[0], v[21], weight)):
+        got = similar(v[:20], v[20:], weight, threshold)
+        assert (got == [[similarity(a, b, weight) >= threshold for b in v[20:]] for a in v[:20]]).all() and 0 < got.sum() < 400
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 105)], "a long, b long")
     got = {r["node"]: r["label"] for r in components(edges).collect()}
