@@ -36,7 +36,7 @@ TEMPLATES = {
 # fixed values: parts of words that stand in every template
 CUES = ("licen", "rights reserved", "permission", "redistribut", "copyright", "warrant", "public domain")
 
-NEAR = 600  # characters on either side of a cue that belong to its block, within its paragraph
+NEAR = 600  # characters on either side of a cue that belong to its block
 RANKED = 6  # templates a block that are compared word by word
 LEAST_SAVED = 1  # bytes of the compressed block that a template must save
 LEAST_WORDS = 0.8  # share of a template's words that must stand in the block, in order
@@ -48,16 +48,14 @@ _WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
 
 def candidate_blocks(text: str) -> list[tuple[int, int]]:
     """(start, end) of the blocks around cues. A block reaches NEAR characters to either side of a cue, to
-    word ends, but not over an empty line; blocks that touch are one, so a block has no greatest length."""
+    word ends, also over empty lines, as licenses have paragraphs; blocks that touch are one, so a block
+    has no greatest length."""
     low = text.lower()
     if len(low) != len(text):  # a few letters change their length in lower case
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
     out: list[tuple[int, int]] = []
     for m in _CUE.finditer(low):
         start, end = max(m.start() - NEAR, 0), min(m.end() + NEAR, len(text))
-        start = max(start, text.rfind("\n\n", start, m.start()) + 2 if text.find("\n\n", start, m.start()) >= 0 else start)
-        stop = text.find("\n\n", m.end(), end)
-        end = stop if stop >= 0 else end
         while start > 0 and not text[start - 1].isspace() and start > m.start() - 2 * NEAR:
             start -= 1
         while end < len(text) and not text[end].isspace() and end < m.end() + 2 * NEAR:

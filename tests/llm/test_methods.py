@@ -204,6 +204,25 @@ def test_license_wordings_and_differences():
     assert scanner.scan("a driving licence for the warranty") == []
 
 
+def test_licenses_in_paragraphs():
+    scanner = Scanner(TEMPLATES)
+    cuts = {
+        "MIT": ("The above copyright notice",),
+        "Apache-2.0-header": ("You may obtain", "http://www.apache.org", "Unless required"),
+        "BSD-2-Clause": ("1. Redistributions", "2. Redistributions"),
+    }
+    prose = "lorem ipsum dolor sit amet consetetur sadipscing " * 30
+    for name, parts in cuts.items():
+        wording = TEMPLATES[name]
+        for part in parts:
+            assert f" {part}" in wording
+            wording = wording.replace(f" {part}", f"\n\n{part}", 1)
+        for text in (wording, f"{prose}\n\n{wording}\n\n{prose}"):
+            assert [(f[2], text[f[0] : f[1]].split()[0], f[5]) for f in scanner.scan(text)] == [(name, wording.split()[0], [])]
+    two = scanner.scan("All rights reserved.\n\nReleased under the MIT License.")
+    assert [f[2] for f in two] == ["all-rights-reserved", "MIT-notice"]
+
+
 def test_op4_finds_every_planted_line(spark, sf001):
     lines = {"All rights reserved.", "Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3."}
     docs = table(spark, sf001, "documents").select("doc_id", "text").collect()
