@@ -1,11 +1,12 @@
 """Operator 4: license scan by conditional compression. Blocks of text with a license cue are compressed
-with each license template as a raw zstandard dictionary; the templates that shrink a block most are
-then confirmed by the exact differences between their wording and the block's."""
+with each license template as a raw zstandard dictionary; the templates that shrink a block are
+then confirmed, greatest saving first, by the exact differences between their wording and the block's."""
 
 from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 
 import pyarrow as pa
 import zstandard
@@ -37,7 +38,6 @@ TEMPLATES = {
 CUES = ("licen", "rights reserved", "permission", "redistribut", "copyright", "warrant", "public domain")
 
 NEAR = 600  # characters on either side of a cue that belong to its block
-RANKED = 6  # templates a block that are compared word by word
 LEAST_SAVED = 1  # bytes of the compressed block that a template must save
 LEAST_WORDS = 0.8  # share of a template's words that must stand in the block, in order
 LEVEL = 3
@@ -89,9 +89,12 @@ class Scanner:
 
     def compare(self, block: str, name: str) -> tuple[int, int, float, list[str]] | None:
         """(start, end, share of the template's words, differences) of the best place of the template in
-        the block; a difference is ``-word`` for a missing and ``+word`` for an added word."""
+        the block; a difference is ``-word`` for a missing and ``+word`` for an added word. None if the
+        block has too few of the template's words in any order."""
         found = list(_WORD.finditer(block))
         have, want = [m[0].lower() for m in found], self.words[name]
+        if sum((Counter(want) & Counter(have)).values()) / len(want) < LEAST_WORDS:
+            return None
         seed = difflib.SequenceMatcher(None, want, have, autojunk=False).find_longest_match()
         if not seed.size:
             return None
@@ -116,7 +119,7 @@ class Scanner:
             while rest:
                 a, z = rest.pop()
                 best = None
-                for reduction, name in self.rank(text[a:z])[:RANKED]:
+                for reduction, name in self.rank(text[a:z]):
                     hit = self.compare(text[a:z], name)
                     if hit and hit[2] >= LEAST_WORDS:
                         key = (hit[2] * len(self.words[name]) - len(hit[3]), hit[2], name)

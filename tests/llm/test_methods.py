@@ -223,6 +223,19 @@ def test_licenses_in_paragraphs():
     assert [f[2] for f in two] == ["all-rights-reserved", "MIT-notice"]
 
 
+def test_notice_behind_legal_prose_that_templates_share():
+    scanner = Scanner(TEMPLATES)
+    eula = (
+        "You may not use this software except in compliance with these terms. Permission is granted to use, copy and install the software without restriction on one device, "
+        "provided that the above copyright notice and this permission notice shall be included in all copies. Redistributions in binary form, with or without modification, are not permitted. "
+        "Unless required by applicable law or agreed to in writing, the software is distributed on an \"AS IS\" basis, without warranties or conditions of any kind, either express or implied, "
+        "and it is published in the hope that it will be useful under the terms of the General Public License of the vendor, version 2 or any later version. You can obtain a copy of this list of conditions at the vendor. All rights reserved."
+    )
+    place = [name for _, name in scanner.rank(eula)].index("all-rights-reserved")
+    assert place >= 6
+    assert [(f[2], eula[f[0] : f[1]], f[5]) for f in scanner.scan(eula)] == [("all-rights-reserved", "All rights reserved", [])]
+
+
 def test_op4_finds_every_planted_line(spark, sf001):
     lines = {"All rights reserved.", "Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3."}
     docs = table(spark, sf001, "documents").select("doc_id", "text").collect()
