@@ -3,7 +3,8 @@
 Archives are written by Spark tasks, a gzip member per record, to a folder that all executors share;
 only archives that a finished task has reported are read. The reader checks each record (version
 line, headers, lengths, digests); where a check fails it searches for the next gzip member or version
-line that gives a valid record, goes on from there, and logs the bytes between as a gap.
+line that gives a valid record, goes on from there, and logs the bytes between as a gap. Inside a member of
+several records it does the same, and keeps those before a damage of the member.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from fieldspark.session import cut_lineage, ensure_checkpoint_dir
 LEAST_REVISIT = 100  # payloads of fewer bytes are always stored
 ARCHIVE_BYTES = 64 << 20  # a task begins a new archive beyond this size
 CHUNK = 1 << 20
-HEADER_BYTES = 1 << 16  # of a record's or message's header at most
+STEP = 4096  # bytes inflated at a time where a chunk does not inflate
 DATE = "1970-01-01T00:00:00Z"  # a capture date, as pages have none
 # fixed values: names of the archive format
 VERSION, MAGIC = b"WARC/1.", b"\x1f\x8b\x08"
@@ -74,7 +75,7 @@ def parse(raw: bytes, at: int = 0) -> tuple[dict, int]:
     """The record at ``at`` and where it ends; raises ``Bad``."""
     if raw[at : at + len(VERSION)] != VERSION:
         raise Bad("no version line")
-    first, close = raw.find(b"\r\n", at, at + 64), raw.find(b"\r\n\r\n", at, at + HEADER_BYTES)
+    first, close = raw.find(b"\r\n", at, at + 64), raw.find(b"\r\n\r\n", at)
     if first < 0 or close < first:
         raise Bad("header without an end")
     head = _headers(raw[first + 2 : close]) if close > first else {}
@@ -102,31 +103,68 @@ def parse(raw: bytes, at: int = 0) -> tuple[dict, int]:
     return {"head": head, "payload": payload, "payload_bytes": size, "payload_digest": digest.partition(":")[2]}, end + 4
 
 
-def _records_at(file, at: int, size: int) -> tuple[list[dict], int]:
-    """The records of the member (or the plain record) at ``at``, and where it ends."""
+def _sound(z, chunk: bytes) -> bytes:
+    """What ``chunk``, which does not inflate as a whole, gives before its damage."""
+    out, step = [], STEP
+    while step:
+        at, keep = 0, z.copy()
+        try:
+            for at in range(0, len(chunk), step):
+                keep = z.copy() if step > 1 else None
+                out.append(z.decompress(chunk[at : at + step]))
+        except zlib.error:
+            z, chunk = keep, chunk[at : at + step]
+        step = 1 if step > 1 else 0
+    return b"".join(out)
+
+
+def _inside(raw: bytes) -> list[dict | str]:
+    """The records in the bytes of a member, and why what lies between them is none."""
+    out, p = [], 0
+    while 0 <= p < len(raw):
+        try:
+            r, p = parse(raw, p)
+            out.append(r)
+        except Bad as e:
+            out.append(str(e))
+            while (p := raw.find(VERSION, p + 1)) >= 0:
+                try:
+                    parse(raw, p)
+                    break
+                except Bad:
+                    continue
+    return out
+
+
+def _records_at(file, at: int, size: int) -> tuple[list[dict | str], int | None]:
+    """The records of the member (or the plain record) at ``at`` with the reasons of gaps between them,
+    and where it ends, None for a member that is damaged after its first records."""
     file.seek(at)
     chunk = file.read(min(CHUNK, size - at))
     if chunk[:3] == MAGIC:
-        z, out, pos = zlib.decompressobj(31), [], at
-        try:
-            while not z.eof:
-                if not chunk:
-                    raise Bad("member breaks off")
+        z, out, pos, damage = zlib.decompressobj(31), [], at, None
+        while not z.eof and damage is None:
+            if not chunk:
+                damage = "member breaks off"
+                break
+            before = z.copy()
+            try:
                 out.append(z.decompress(chunk))
-                pos += len(chunk)
-                if len(out) == 1 and len(out[0]) >= len(VERSION) and not out[0].startswith(VERSION):
-                    raise Bad("member without a record")
-                chunk = b"" if z.eof else file.read(min(CHUNK, size - pos))
-        except zlib.error as e:
-            raise Bad("member does not inflate") from e
-        raw, found, p = b"".join(out), [], 0
-        while p < len(raw):
-            r, p = parse(raw, p)
-            found.append(r)
-        return found, pos - len(z.unused_data)
+            except zlib.error:
+                damage = "member does not inflate"
+                out.append(_sound(before, chunk))
+            pos += len(chunk)
+            chunk = b"" if z.eof else file.read(min(CHUNK, size - pos))
+        found = _inside(b"".join(out))
+        if not any(isinstance(r, dict) for r in found):
+            raise Bad(damage or (found[0] if found else "member without a record"))
+        if damage is None:
+            return found, pos - len(z.unused_data)
+        return (found if isinstance(found[-1], dict) else found[:-1]) + [damage], None
     if chunk[: len(VERSION)] != VERSION:
         raise Bad("neither member nor version line")
-    close = chunk.find(b"\r\n\r\n")
+    while (close := chunk.find(b"\r\n\r\n")) < 0 and b"\r\n" in chunk[:64] and (more := file.read(min(len(chunk), size - at - len(chunk)))):
+        chunk += more
     m = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", chunk[: max(close, 0)])
     need = close + 8 + int(m[1]) if m else 0
     if need > size - at:
@@ -153,27 +191,25 @@ def _starts(file, at: int, size: int) -> Iterator[int]:
 
 def salvage(file, size: int) -> Iterator[tuple[str, int, int, object]]:
     """("record", start, end, record) and ("gap", start, end, reason) in the order of the bytes; together
-    they cover the file. An empty file gives nothing."""
+    they cover the file. Records and gaps of one member have its place. An empty file gives nothing."""
     at = 0
     while at < size:
         try:
             found, end = _records_at(file, at, size)
-            for r in found:
-                yield "record", at, end, r
-            at = end
-            continue
         except Bad as e:
-            reason = str(e)
-        for start in _starts(file, at + 1, size):
-            try:
-                _records_at(file, start, size)
+            found, end = [str(e)], None
+        if end is None:
+            end = size
+            for start in _starts(file, at + 1, size):
+                try:
+                    _records_at(file, start, size)
+                except Bad:
+                    continue
+                end = start
                 break
-            except Bad:
-                continue
-        else:
-            start = size
-        yield "gap", at, start, reason
-        at = start
+        for r in found:
+            yield "gap" if isinstance(r, str) else "record", at, end, r
+        at = end
 
 
 def write_archives(records: DataFrame, folder: str) -> DataFrame:

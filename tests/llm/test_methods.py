@@ -93,6 +93,33 @@ def test_salvage_of_plain_records():
     assert read(bytes(bad))[0] == [f"<urn:page:{i}>" for i in range(12) if i != 4]
 
 
+def test_very_long_urls_come_back(spark):
+    urls = ["data:," + "x" * n for n in (10, 70_000, 3_000_000)]
+    pages = spark.createDataFrame([(i, u, f"<p>{i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["uri"] for r in warc.archive_pages(pages).collect()} == dict(enumerate(urls))
+    plain = b"".join(warc.record("response", f"<urn:page:{i}>", u, b"p", __import__("hashlib").sha256(b"p").hexdigest(), None) for i, u in enumerate(urls))
+    assert len(read(plain)[0]) == 3
+
+
+def test_salvage_inside_a_member():
+    rng = random.Random(4)
+    payloads = [rng.randbytes(3000) for _ in range(30)]
+    records = [warc.record("response", f"<urn:page:{i}>", "http://h/", p, __import__("hashlib").sha256(p).hexdigest(), None) for i, p in enumerate(payloads)]
+    name = lambda numbers: [f"<urn:page:{i}>" for i in numbers]
+
+    def found(raw):
+        out = list(warc.salvage(io.BytesIO(raw), len(raw)))
+        return [w["head"]["warc-record-id"] for k, _, _, w in out if k == "record"], sum(k == "gap" for k, _, _, _ in out)
+
+    bad = [r.replace(payloads[7][:50], b"#" * 50) if i == 7 else r for i, r in enumerate(records)]
+    assert found(warc.member(b"".join(bad)) + warc.member(records[3])) == (name([*range(7), *range(8, 30), 3]), 1)
+    whole = warc.member(b"".join(records))
+    ids, gaps = found(whole[: len(whole) // 2] + warc.member(records[3]))
+    assert gaps == 1 and 13 <= len(ids) - 1 <= 15 and ids == name([*range(len(ids) - 1), 3])
+    ids, gaps = found(warc.member(b"junk" + b"".join(records)))
+    assert ids == name(range(30)) and gaps == 1
+
+
 def test_gaps_are_reported_by_the_reader(spark):
     raw, starts = archive()
     bad = bytearray(raw)
