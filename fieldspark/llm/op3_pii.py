@@ -77,6 +77,9 @@ _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
 _NUMBER = r"(?<![\w.,])[+(]?[0-9](?:[ ().-]{0,2}[0-9]){6,}(?!\w)"
 _SPELLED = r"(?i:(?<!\w)(?:at|\(at\)|\[at\]|arobase|arroba|klammeraffe)\s+[\w-]+\s+[\[(]?(?:dot|point|punto|punkt)[\])]?(?!\w)|[\[(](?:at|dot)[\])])"
 _NUMBERS, _BOTH = re.compile(_NUMBER), re.compile(f"{_NUMBER}|{_SPELLED}")
+_RUN = re.compile(r"[0-9](?:[^0-9\n]{0,6}[0-9])+")
+_ANY_AT = re.compile(r"(?i)(?<!\w)(?:at|arobase|arroba|klammeraffe)(?!\w)|@")
+_ANY_DOT = re.compile(r"(?i)(?<!\w)(?:dot|point|punto|punkt)(?!\w)|\.")
 _MAY_SPELL = re.compile(r"(?i)\b(?:dot|point|punto|punkt)\b|[\[(](?:at|dot)[\])]")
 _AT, _DOT = frozenset(("at", "arobase", "arroba", "klammeraffe", "@")), frozenset(("dot", "point", "punto", "punkt", "."))
 _CUES = {
@@ -142,15 +145,21 @@ def candidate(text: str, span: list[tuple[int, int]]) -> bool:
     return len(span) >= 4 and not low.isdisjoint(_AT) and not low.isdisjoint(_DOT) and text[span[-1][0]].isalnum()
 
 
-def features(text: str, toks: list[tuple[int, int]], i: int, j: int, kind: str) -> list[str]:
-    """Features of the segment of tokens i..j-1 as an entity of a kind."""
+def _parts(text: str, toks: list[tuple[int, int]], i: int, j: int) -> tuple:
+    """What the features of all kinds are made of."""
     part = text[toks[i][0] : toks[j - 1][1]]
     digits = _digits(part)
     groups = re.findall("[0-9]+", part)
     shape = re.sub(r"[^\W\d_]+", "a", re.sub("[0-9]+", "0", re.sub(r"\s+", " ", part)))
     low = [text[a:z].lower() for a, z in toks[i:j]]
     before = [text[a:z].lower() for a, z in toks[max(i - 3, 0) : i]]
-    out = [kind, f"{kind}|letters={any(c.isalpha() for c in part)}", f"{kind}|n={min(len(digits), 20)}", f"{kind}|groups={min(len(groups), 6)}", f"{kind}|shape={shape if len(shape) < 24 else 'long'}"]
+    return part, digits, groups, shape, low, before, any(c.isalpha() for c in part)
+
+
+def features(text: str, toks: list[tuple[int, int]], i: int, j: int, kind: str, parts: tuple | None = None) -> list[str]:
+    """Features of the segment of tokens i..j-1 as an entity of a kind."""
+    part, digits, groups, shape, low, before, letters = parts or _parts(text, toks, i, j)
+    out = [kind, f"{kind}|letters={letters}", f"{kind}|n={min(len(digits), 20)}", f"{kind}|groups={min(len(groups), 6)}", f"{kind}|shape={shape if len(shape) < 24 else 'long'}"]
     out.append(f"{kind}|cue={not _CUES[kind].isdisjoint(before)}")
     if kind == "email":
         ats = [k for k, w in enumerate(low) if w in _AT]
@@ -171,7 +180,20 @@ def features(text: str, toks: list[tuple[int, int]], i: int, j: int, kind: str)
 
 
 def _segments(text: str, toks: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    return [(i, j) for j in range(1, len(toks) + 1) for i in range(max(0, j - LONGEST), j) if candidate(text, toks[i:j])]
+    digits, ats, dots = [0], [0], [0]  # before each token; a candidate has digits, or a sign for ``@`` and one for a dot
+    for a, z in toks:
+        w = text[a:z].lower()
+        digits.append(digits[-1] + (z - a if "0" <= w[0] <= "9" else 0))
+        ats.append(ats[-1] + (w in _AT))
+        dots.append(dots[-1] + (w in _DOT))
+    if digits[-1] < 4 and not (ats[-1] and dots[-1]):
+        return []
+    return [
+        (i, j)
+        for j in range(1, len(toks) + 1)
+        for i in range(max(0, j - LONGEST), j)
+        if (digits[j] - digits[i] >= 4 or j - i >= 4 and ats[j] > ats[i] and dots[j] > dots[i]) and candidate(text, toks[i:j])
+    ]
 
 
 def _parse(marked: str) -> tuple[str, list[tuple[str, int, int]]]:
@@ -233,8 +255,9 @@ def decode(text: str, toks: list[tuple[int, int]], weights: dict[str, float]) ->
     for j in range(1, len(toks) + 1):
         best[j] = best[j - 1]
         for i in into[j]:
+            parts = _parts(text, toks, i, j)
             for kind in KINDS:
-                s = best[i] + sum(weights.get(f, 0.0) for f in features(text, toks, i, j, kind))
+                s = best[i] + sum(weights.get(f, 0.0) for f in features(text, toks, i, j, kind, parts))
                 if s > best[j] + 1e-9:
                     best[j], back[j] = s, (kind, i)
     out, j = [], len(toks)
@@ -248,21 +271,52 @@ def decode(text: str, toks: list[tuple[int, int]], weights: dict[str, float]) ->
     return out[::-1]
 
 
+def triggers(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Places outside base spans where a segment that ``candidate`` takes may lie: numbers and spelled
+    addresses, then runs of digits parted by up to six characters with seven digits, or four and three
+    dots, and signs or words for ``@`` with one for a dot on the same line nearby."""
+
+    def free(m) -> bool:
+        return not any(a < m.end() and m.start() < z for _, a, z in base)
+
+    first = [m.span() for m in (_BOTH if _MAY_SPELL.search(text) else _NUMBERS).finditer(text) if free(m)]
+    more = []
+    for m in _RUN.finditer(text):
+        d = len(_digits(m[0]))
+        if d >= 7 or d >= 4 and m[0].count(".") >= 3:
+            at = m.start()  # what lies between the base spans
+            for a, z in [*sorted((a, z) for _, a, z in base if a < m.end() and m.start() < z), (m.end(), m.end())]:
+                part = text[at:a]
+                d = len(_digits(part))
+                if d >= 7 or d >= 4 and part.count(".") >= 3:
+                    more.append((at, a))
+                at = max(at, z)
+    for m in _ANY_AT.finditer(text):
+        low, high = max(text.rfind("\n", 0, m.start()) + 1, m.start() - 12 * MARGIN), m.end() + 12 * MARGIN
+        line = text.find("\n", m.end(), high)
+        if free(m) and _ANY_DOT.search(text, low, line if line >= 0 else min(high, len(text))):
+            more.append(m.span())
+    out, reach = [], -1
+    known = set(first)
+    for a, z in sorted(known.union(more), key=lambda s: (s[0], -s[1])):
+        if (a, z) in known or z > reach:
+            out.append((a, z))
+            reach = max(reach, z)
+    return out
+
+
 def added_spans(text: str, base: list[tuple[str, int, int]], weights: dict[str, float]) -> list[tuple[str, int, int]]:
     """Spans of the field that touch no base span. Only the surroundings of triggers are segmented."""
     out = []
     last = -1
-    trigger = _BOTH if _MAY_SPELL.search(text) else _NUMBERS
-    for m in trigger.finditer(text):
-        if any(a < m.end() and m.start() < z for _, a, z in base):
-            continue
-        low, high = max(last, m.start() - 12 * MARGIN, 0), min(m.end() + 12 * MARGIN, len(text))
+    for start, stop in triggers(text, base):
+        low, high = max(last, start - 12 * MARGIN, 0), min(stop + 12 * MARGIN, len(text))
         while low > 0 and low > last and text[low - 1].isalnum():
             low -= 1
         region = text[low:high]
         toks = tokens(region)
-        first = next((k for k, t in enumerate(toks) if t[1] > m.start() - low), 0)
-        end = next((k for k, t in enumerate(toks) if t[0] >= m.end() - low), len(toks))
+        first = next((k for k, t in enumerate(toks) if t[1] > start - low), 0)
+        end = next((k for k, t in enumerate(toks) if t[0] >= stop - low), len(toks))
         toks = toks[max(first - MARGIN, 0) : end + MARGIN]
         for kind, a, z in decode(region, toks, weights):
             if low + a >= last and not any(x < low + z and low + a < y for _, x, y in base):

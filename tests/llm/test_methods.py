@@ -193,6 +193,19 @@ def test_field_learns_its_sentences_and_adds_spans():
     assert [(k, text[a:z]) for k, a, z in pii.added_spans(text, [], weights)] == [("phone", "(415) 222-9876"), ("email", "bob at gmail dot com")]
 
 
+def test_field_adds_its_sentences_on_whole_texts():
+    weights = pii.train()
+    for marked in pii.LABELLED:
+        text, spans = pii._parse(marked)
+        base = pii.base_spans(text)
+        free = [s for s in spans if not any(s[1] < z and a < s[2] for _, a, z in base)]
+        assert pii.added_spans(text, base, weights) == free
+    for text in ("mail bob @ firm . org now", "anna@mail dot com", "anna at mail.example dot com", "host 10 . 20 . 30 . 40 up"):
+        toks = pii.tokens(text)
+        whole = pii.decode(text, toks, weights)
+        assert pii.triggers(text, []) and pii.added_spans(text, [], weights) == whole
+
+
 def test_decode_is_the_best_segmentation():
     weights = pii.train()
 
