@@ -87,31 +87,34 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _CACHE["p"], _CACHE["q"]
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the texts, and row offsets into them.
-
-    A word is a maximal run of ASCII letters, digits and non-ASCII characters, in lower case.
-    Each block of the byte buffer takes one prefix sum of a polynomial hash, so the memory beside
-    the words themselves doesn't depend on a text's length.
-    """
-    arr = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+def text_bytes(texts: pa.Array, lower: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all texts and row offsets into them; nulls are empty. ``lower`` is None, "ascii"
+    (A-Z alone) or "unicode"."""
+    arr = pc.fill_null(texts.cast(pa.large_string()), "")
+    arr = pc.utf8_lower(arr) if lower == "unicode" else pc.ascii_lower(arr) if lower == "ascii" else arr
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
     offsets = np.frombuffer(arr.buffers()[1], np.int64)[arr.offset : arr.offset + len(arr) + 1]
     buf = arr.buffers()[2]
     data = np.frombuffer(buf, np.uint8)[offsets[0] : offsets[-1]] if buf is not None else np.zeros(0, np.uint8)
-    offsets = offsets - offsets[0]
+    return data, offsets - offsets[0]
+
+
+def run_hashes(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes, first and end positions of the maximal runs of bytes in ``member`` (256 flags); runs
+    end where a row ends. Each block of the buffer takes one prefix sum of a polynomial hash, so the
+    memory beside the runs themselves doesn't depend on a text's length (unless a run is as long)."""
     n = len(data)
     inner = offsets[1:-1]
-    hashes, firsts, at = [], [], 0
+    hashes, firsts, ends, at = [], [], [], 0
     while at < n:
         end = min(at + BLOCK_BYTES, n)
-        while end < n and _WORD[data[end]]:  # never cut a word
-            gap = np.flatnonzero(~_WORD[data[end : end + BLOCK_BYTES]])
+        while end < n and member[data[end]]:  # never cut a run
+            gap = np.flatnonzero(~member[data[end : end + BLOCK_BYTES]])
             end += int(gap[0]) if len(gap) else min(BLOCK_BYTES, n - end)
         block = data[at:end]
         word = np.zeros(len(block) + 2, bool)
-        word[1:-1] = _WORD[block]
+        word[1:-1] = member[block]
         fresh = word[1:-1] & ~word[:-2]
         last = word[1:-1] & ~word[2:]
         cuts = inner[np.searchsorted(inner, at, "left") : np.searchsorted(inner, end, "left")] - at
@@ -124,9 +127,21 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         np.cumsum(block * p[: len(block)], out=total[1:])
         hashes.append(mix((total[stop] - total[start]) * q[start] + (stop - start).astype(np.uint64)))
         firsts.append(start + at)
+        ends.append(stop + at)
         at = end
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    first = np.concatenate(firsts) if firsts else np.zeros(0, np.int64)
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(firsts), np.concatenate(ends)
+
+
+def word_hashes(texts: pa.Array, lower: str = "unicode") -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, and row offsets into them.
+
+    A word is a maximal run of ASCII letters, digits and non-ASCII characters, in lower case (of all
+    letters, or with ``lower="ascii"`` of A-Z alone).
+    """
+    data, offsets = text_bytes(texts, lower)
+    h, first, _ = run_hashes(data, offsets, _WORD)
     return h, np.searchsorted(first, offsets, "left")
 
 

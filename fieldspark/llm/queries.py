@@ -12,6 +12,9 @@ from fieldspark.llm.op7_html import op7_html
 from fieldspark.llm.op8_toxicity import op8_toxicity
 from fieldspark.llm.op9_pieces import op9_sentencepiece
 from fieldspark.llm.op10_decontaminate import op10_decontaminate
+from fieldspark.llm.op11_search import OP11_SQL, op11_search
+from fieldspark.llm.op12_variants import OP12_SQL, op12_variants
+from fieldspark.llm.op13_rules import OP13_SQL, op13_rules
 
 QUERIES = {
     "op1_warc": op1_warc,
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_decontaminate": op10_decontaminate,
+    "op11_search": op11_search,
+    "op12_variants": op12_variants,
+    "op13_rules": op13_rules,
 }
 
-ORACLE = {"op1_warc": OP1_SQL, "op2_exact_dedup": OP2_SQL}
+ORACLE = {"op1_warc": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op11_search": OP11_SQL, "op12_variants": OP12_SQL, "op13_rules": OP13_SQL}
