@@ -1008,6 +1008,7 @@ def q_inject_duplicates(spark, d):
 from fieldspark.plans import files as FF  # noqa: E402
 from fieldspark.sources import headers as HD  # noqa: E402
 from fieldspark.sources import ingest as IN  # noqa: E402
+from fieldspark.sources.ranges import file_records  # noqa: E402
 
 _REQ_ALL = ("date", "field_id", "temp", "yield")
 _REQ_MIN = ("date", "field_id", "yield")
@@ -1046,8 +1047,8 @@ lines AS (
 
 def _field_files(spark, d):
     path = FF.write_field_files(spark, d)
-    files = IN.read_files(spark, path)
-    lines = IN.file_lines(files)
+    files = IN.file_digests(spark, path)
+    lines = file_records(spark, path)
     layout = IN.sniff_layout(lines)
     return path, files, lines, layout
 

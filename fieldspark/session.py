@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +54,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python once a session (Spark distributes the archive);
+    nothing to do where it was submitted with ``--py-files``."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    sc = spark.sparkContext
+    if os.path.isdir(root) and getattr(sc, "_package_archive", None) is None:
+        sc._package_archive = os.path.join(tempfile.mkdtemp(prefix="package-"), "fieldspark_code")
+        sc.addPyFile(shutil.make_archive(sc._package_archive, "zip", os.path.dirname(root), os.path.basename(root)))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss); never ``localCheckpoint``."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -2,8 +2,9 @@
 
 Pipeline (every step a Spark job over all files at once, not a driver loop over files):
 
-1. ``read_files``   binaryFile scan -> (source_file, content, file_hash = SHA-256 of the bytes)
-2. ``file_lines``   decode (UTF-8, else Latin-1) and explode into records (source_file, line_no, line)
+1. ``ranges.file_records``  byte ranges of files of any size -> records (source_file, line_no, line),
+   decoded (UTF-8, else Latin-1), with line breaks inside quotes kept
+2. ``file_digests`` (source_file, file_hash = SHA-256 of the bytes, fed block by block)
 3. ``sniff_layout`` per file, the separator among ``, ; TAB`` whose modal field count is largest
 4. ``header_rows``  of the first 15 lines, the one with most cells in hints + required names
 5. ``header_catalog`` (source_file, pos, header, name) with names trimmed/lower-cased and,
@@ -22,12 +23,12 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions.columns import missing_to_null, name_normalise, normalise_date
-from fieldspark.session import ensure_checkpoint_dir
+from fieldspark.session import cut_lineage, ensure_checkpoint_dir
+from fieldspark.sources.ranges import RANGE_BYTES, file_records, load_ranges
 
 # --- fixed values (must equal the reference's behaviour) --------------------------------------
 REQUIRED_COLUMNS = ("date", "field_id", "temp", "humidity", "ph", "yield")
@@ -44,13 +45,9 @@ def _lit_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def read_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = FILE_EXTENSIONS) -> DataFrame:
-    """(source_file relative to ``path``, content, file_hash) for every matching file below ``path``."""
-    glob = "*.{" + ",".join(extensions) + "}"
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    root = path.rstrip("/")
-    rel = F.regexp_replace(F.col("path"), r"^.*?" + _re_escape(root.split("://")[-1]) + "/", "")
-    return raw.select(rel.alias("source_file"), "content", F.sha2(F.col("content"), 256).alias("file_hash"))
+def file_digests(spark: SparkSession, path: str, extensions: tuple[str, ...] = FILE_EXTENSIONS) -> DataFrame:
+    """(source_file relative to ``path``, file_hash) for every matching file below ``path``."""
+    return load_ranges(spark, path, "digests", extensions=extensions).select("source_file", "file_hash")
 
 
 def _re_escape(s: str) -> str:
@@ -59,12 +56,6 @@ def _re_escape(s: str) -> str:
     return re.escape(s)
 
 
-def decode_text(content: Column) -> Column:
-    """UTF-8 unless the bytes are not valid UTF-8, then Latin-1 (which never fails)."""
-    raw = content.cast("string")  # bytes as-is, not yet validated
-    return F.when(F.is_valid_utf8(raw), raw).otherwise(F.decode(content, "ISO-8859-1"))
-
-
 HELD = "\ufdd0"  # stands for a separator or line break inside quotes while text is split (no character)
 
 
@@ -77,16 +68,6 @@ def hold_quoted(text: Column, sep: Column) -> Column:
     return F.when(text.contains('"'), F.array_join(held, '"')).otherwise(text)
 
 
-def file_lines(files: DataFrame) -> DataFrame:
-    """(source_file, line_no, line): records in file order. A line break inside quotes belongs to its
-    record; a file with an odd number of quotes is split at every line break."""
-    text = F.regexp_replace(decode_text(F.col("content")), r"\r\n", "\n")
-    paired = F.length(F.regexp_replace(text, '[^"]', "")) % 2 == 0
-    records = F.split(F.when(paired, hold_quoted(text, F.lit("\n"))).otherwise(text), "\n")
-    lines = files.select("source_file", F.posexplode(records).alias("line_no", "line"))
-    return lines.where(F.length(F.trim("line")) > 0).withColumn("line", F.replace("line", F.lit(HELD), F.lit("\n")))
-
-
 def sniff_layout(lines: DataFrame, seps: tuple[str, ...] = SEPARATORS) -> DataFrame:
     """(source_file, sep, n_columns): per separator the modal field count over the file's
     non-empty lines; the separator with the largest modal count (> 1) wins, ties in list order."""
@@ -178,25 +159,26 @@ def ingest(
     threshold: float = 85.0,
     on_error: str = "raise",
     normalise_dates: bool = True,
+    range_bytes: int = RANGE_BYTES,
 ) -> IngestResult:
-    """Load every delimited file below ``path`` into one table (see module doc)."""
+    """Load every delimited file below ``path`` into one table (see module doc). Files are cut into
+    ranges of ``range_bytes``, so that one file of any size is read by many tasks; each step reads them
+    anew, and only tables of a row a file or header are kept (checkpointed)."""
     from fieldspark.sources.headers import match_headers
 
     if on_error not in ("raise", "skip"):
         raise ValueError("on_error must be 'raise' or 'skip'")
-    files = read_files(spark, path)
-    hashes = files.select("source_file", "file_hash").persist(StorageLevel.MEMORY_AND_DISK)  # one row per file
-    # decoded lines feed layout sniffing, header detection and parsing: decode once
-    lines = file_lines(files).persist(StorageLevel.MEMORY_AND_DISK)
-    layout = sniff_layout(lines).persist(StorageLevel.MEMORY_AND_DISK)
-    hdr = header_rows(lines, layout, required).persist(StorageLevel.MEMORY_AND_DISK)
+    hashes = cut_lineage(file_digests(spark, path))
+    lines = file_records(spark, path, range_bytes, FILE_EXTENSIONS)
+    layout = cut_lineage(sniff_layout(lines))
+    hdr = cut_lineage(header_rows(lines, layout, required))
     catalog = header_catalog(hdr)
     if fuzzy:
         matched = match_headers(catalog, list(required), synonyms or {}, threshold)
         catalog = matched.select("source_file", "pos", "header", F.coalesce("canonical", "name").alias("name"))
-    catalog = dedupe_names(catalog)
+    catalog = cut_lineage(dedupe_names(catalog))
     present = catalog.groupBy("source_file").agg(F.collect_set("name").alias("_names"))
-    report = (
+    report = cut_lineage(
         hashes
         .join(layout, "source_file", "left")
         .join(hdr.select("source_file", "header_line"), "source_file", "left")
@@ -210,9 +192,7 @@ def ingest(
             .otherwise(F.lit(None)),
         )
         .drop("_names")
-        .persist(StorageLevel.MEMORY_AND_DISK)  # one row per file, read by validation and parsing
     )
-    catalog = catalog.persist(StorageLevel.MEMORY_AND_DISK)
     if on_error == "raise":
         bad = report.where(~F.col("ok")).select("source_file", "reason")
         if first := bad.first():
