@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldspark.session import cut_lineage, ship  # noqa: F401 - ship is imported from here
+
 SLICE_BYTES = 4 << 20
 BLOCK_BYTES = 1 << 20
 _P = 0x9E3779B97F4A7C15
@@ -20,16 +19,6 @@ _Q = 0xD6E8FEB86659FD93
 _MASK = (1 << 64) - 1
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python once a session (Spark distributes the archive);
-    nothing to do where it was submitted with ``--py-files``."""
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    sc = spark.sparkContext
-    if os.path.isdir(root) and getattr(sc, "_corpus_code", None) is None:
-        sc._corpus_code = os.path.join(tempfile.mkdtemp(prefix="corpus-code-"), "fieldspark_code")
-        sc.addPyFile(shutil.make_archive(sc._corpus_code, "zip", os.path.dirname(root), os.path.basename(root)))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -165,16 +154,19 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
 
 FILTER_BITS = 26  # bitmaps sent to every task have 2^26 bits: 8 MB, whatever they are filled from
 _FILTER_MASK = (1 << FILTER_BITS) - 1
+BITMAP_ROW = 32768  # bits in a row of Spark's bitmap functions
+BROADCAST_ROWS = 1 << 12  # bitmap rows that are broadcast: 16 MB at most
 
 
 def bitmap_of(hashes: DataFrame, column: str) -> np.ndarray:
-    """Bitmap with one bit set for the low bits of each hash. The bytes that aren't 0 come to the
-    driver, 2^(FILTER_BITS - 3) at most; fuller bitmaps let more pass, they never lose a hash."""
+    """Bitmap with one bit set for the low bits of each hash, put together by Spark in rows of 4 KB; all
+    of it, 2^(FILTER_BITS - 3) bytes at most, comes to the driver. Fuller bitmaps let more pass, they
+    never lose a hash."""
     slot = F.col(column).bitwiseAND(_FILTER_MASK)
-    bit = F.call_function("shiftleft", F.lit(1), (slot % 8).cast("int"))
-    found = hashes.select(F.shiftright(slot, 3).cast("int").alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    found = hashes.select(F.floor(slot / BITMAP_ROW).cast("int").alias("at"), (slot % BITMAP_ROW).alias("bit")).groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits"))
     out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    out[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint8)
+    for at, bits in found.toLocalIterator():
+        out[at * (BITMAP_ROW // 8) : (at + 1) * (BITMAP_ROW // 8)] = np.frombuffer(bits, np.uint8)
     return out
 
 
@@ -182,3 +174,49 @@ def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Positions of the hashes whose bit is set."""
     slot = hashes.view(np.uint64) & np.uint64(_FILTER_MASK)
     return np.flatnonzero((bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
+
+
+def bit_is_set(bits: str, at: Column) -> Column:
+    """Is bit ``at`` of the binary column ``bits`` set? Null bits are not."""
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(F.coalesce(byte, F.lit(0)), (at % 8).cast("int")) == 1, F.lit(False))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
+def without(docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """``docs`` without the rows whose ``keys`` (nulls equal nulls) are a row of ``gone`` (each row once).
+    A bitmap of about 16 bits a row of ``gone``, broadcast up to 16 MB, lets nearly all other rows pass
+    where they are; only those that it may hold are joined, and moved."""
+    bucket, bits, maybe = unused(docs, "_bucket", "_bits", "_maybe")
+    names = unused(docs, *[f"_gone{i}" for i in range(len(keys))])
+    gone = cut_lineage(gone.toDF(*names))
+    rows = gone.count()
+    if not rows:
+        return docs
+    buckets = 1 << max(rows * 16 // BITMAP_ROW, 1).bit_length()
+    same = F.lit(True)
+    for k, g in zip(keys, names):
+        same = same & F.col(k).eqNullSafe(F.col(g))
+    if buckets > BROADCAST_ROWS:
+        return docs.join(gone, same, "left_anti")
+
+    def place(of: list[str]) -> tuple[Column, Column]:
+        h = F.xxhash64(*of)
+        return F.pmod(h, F.lit(buckets)), F.pmod(F.xxhash64(h), F.lit(BITMAP_ROW))
+
+    row, slot = place(names)
+    bitmap = cut_lineage(gone.select(row.alias(bucket), slot.alias("slot")).groupBy(bucket).agg(F.bitmap_construct_agg("slot").alias(bits)))
+    row, slot = place(keys)
+    probed = docs.join(F.broadcast(bitmap), row == F.col(bucket), "left").withColumn(maybe, bit_is_set(bits, slot))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return probed.where(~F.col(maybe)).select(*names).unionAll(probed.where(F.col(maybe)).join(gone, same, "left_anti").select(*names))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import bitmap_of, in_bitmap, ship, slices, table, text_of, window_hashes, word_hashes
+from fieldspark.llm.common import bitmap_of, in_bitmap, ship, slices, table, text_of, window_hashes, without, word_hashes
 from fieldspark.session import cut_lineage
 
 LEAST = 5  # words of a tile at least
@@ -148,8 +148,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """``docs`` without the documents that ``contaminated`` names; all columns stay, and rows with a
     null doc_id stay."""
-    gone = contaminated(docs, benchmark, coverage).select(F.col("doc_id").alias("__gone_key")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone_key"], "left_anti")
+    return without(docs, contaminated(docs, benchmark, coverage).select("doc_id").distinct(), ["doc_id"])
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

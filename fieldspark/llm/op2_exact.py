@@ -10,14 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import table, text_of
+from fieldspark.llm.common import BITMAP_ROW, BROADCAST_ROWS, bit_is_set, table, text_of, unused
 from fieldspark.session import cut_lineage
 
 HASHES = 2
 SLOTS_PER_ROW = 32
 MIN_SLOTS, MAX_SLOTS = 1 << 20, 1 << 36
-BUCKET = 32768  # bits in a row of the bitmap functions
-BROADCAST_SLOTS = 1 << 27  # bitmaps of at most 16 MB are broadcast, larger ones are joined by shuffle
 
 
 def slots_for(rows: int) -> int:
@@ -25,38 +23,44 @@ def slots_for(rows: int) -> int:
     return min(max(MIN_SLOTS, 1 << (max(rows, 1) * SLOTS_PER_ROW - 1).bit_length()), MAX_SLOTS)
 
 
-def _slots(sha: str, slots: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.col(sha), F.lit(i)), F.lit(slots)) for i in range(HASHES)]
+def _places(sha: Column, slots: int) -> tuple[Column, list[Column]]:
+    """(bitmap row, the HASHES slots in it) of a text: all its slots lie in one row of the bitmap, so one
+    look-up answers for all."""
+    row = F.pmod(F.xxhash64(sha, F.lit(0)), F.lit(max(slots // BITMAP_ROW, 1)))
+    return row, [F.pmod(F.xxhash64(sha, F.lit(1 + i)), F.lit(min(slots, BITMAP_ROW))) for i in range(HASHES)]
 
 
 def repeated_slots(keyed: DataFrame, slots: int, sha: str = "_sha") -> DataFrame:
-    """(bucket, bits): the slots that two rows or more have set. A slot is counted within each task
+    """(row, bits): the slots that two rows or more have set. A slot is counted within each task
     before the shuffle, so a text that a third of all rows share sends one row a task."""
-    hit = keyed.select(F.explode(F.array(*_slots(sha, slots))).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        hit.where(F.col("n") > 1)
-        .groupBy(F.floor(F.col("slot") / BUCKET).cast("long").alias("_bucket"))
-        .agg(F.bitmap_construct_agg(F.col("slot") % BUCKET).alias("_bits"))
-    )
+    row, places = _places(F.col(sha), slots)
+    hit = keyed.select(row.alias("row"), F.explode(F.array(*places)).alias("slot")).groupBy("row", "slot").agg(F.count(F.lit(1)).alias("n"))
+    return hit.where(F.col("n") > 1).groupBy("row").agg(F.bitmap_construct_agg("slot").alias("bits"))
+
 
+def possibly_repeated(rows: DataFrame, bitmap: DataFrame, slots: int, sha: Column) -> DataFrame:
+    """``rows`` with a last column (``_maybe``, if no other has that name): false only where no other row of the filter's table has the same hash.
+    A bitmap of up to 16 MB (4 million texts) is broadcast, and rows stay where they are; a larger one
+    is joined by its row number, for which the rows move once."""
+    at, bits, maybe = unused(rows, "_at", "_bits", "_maybe")
+    row, places = _places(sha, slots)
+    side = bitmap.toDF(at, bits)
+    side = F.broadcast(side) if slots <= BROADCAST_ROWS * BITMAP_ROW else side
+    hit = F.lit(True)
+    for place in places:
+        hit = hit & bit_is_set(bits, place)
+    return rows.join(side, row == F.col(at), "left").withColumn(maybe, hit).drop(at, bits)
 
-def _bit(bits: str, at: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.getbit(F.coalesce(byte, F.lit(0)), (at % 8).cast("int")) == 1
 
+def _digest(text: str) -> Column:
+    return F.unhex(F.sha2(text_of(text).cast("binary"), 256))
 
-def possibly_repeated(keyed: DataFrame, slots: int, sha: str = "_sha") -> DataFrame:
-    """``keyed`` with ``_maybe``: false only where no other row has the same hash."""
-    bitmap = repeated_slots(keyed, slots, sha)
-    out = keyed.withColumn("_maybe", F.lit(True))
-    for i, slot in enumerate(_slots(sha, slots)):
-        side = bitmap.select(F.col("_bucket").alias(f"_b{i}"), F.col("_bits").alias(f"_w{i}"))
-        side = F.broadcast(side) if slots <= BROADCAST_SLOTS else side
-        out = out.withColumn("_s", slot).withColumn(f"_b{i}", F.floor(F.col("_s") / BUCKET).cast("long"))
-        out = out.join(side, f"_b{i}", "left")
-        hit = F.col(f"_w{i}").isNotNull() & _bit(f"_w{i}", F.col("_s") % BUCKET)
-        out = out.withColumn("_maybe", F.col("_maybe") & hit).drop("_s", f"_b{i}", f"_w{i}")
-    return out
+
+def _filtered(docs: DataFrame, key: str, text: str, slots: int | None) -> tuple[DataFrame, DataFrame, int]:
+    """(key and digest of every row, bitmap of the repeated slots, slots): pass 1."""
+    keyed = cut_lineage(docs.select(F.col(key).alias("_key"), _digest(text).alias("_sha")))
+    slots = slots or slots_for(keyed.count())
+    return keyed, cut_lineage(repeated_slots(keyed, slots)), slots
 
 
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int | None = None) -> DataFrame:
@@ -67,9 +71,8 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", slots
     all null keeps all its rows, keep_id null. An empty table gives an empty result; other columns
     of ``docs`` are not looked at.
     """
-    keyed = cut_lineage(docs.select(F.col(key).alias("_key"), F.unhex(F.sha2(text_of(text).cast("binary"), 256)).alias("_sha")))
-    slots = slots or slots_for(keyed.count())
-    probed = cut_lineage(possibly_repeated(keyed, slots))
+    keyed, bitmap, slots = _filtered(docs, key, text, slots)
+    probed = cut_lineage(possibly_repeated(keyed, bitmap, slots, F.col("_sha")))
     again = probed.where("_maybe")
     sums = cut_lineage(again.groupBy("_sha").agg(F.max("_key").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     sums = sums.where("group_size > 1")
@@ -87,13 +90,20 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", slots
     )
 
 
-def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int | None = None) -> DataFrame:
     """``docs`` without the rows that ``exact_groups`` does not keep; all columns stay. A row goes by
-    key and text together, so a key that also stands on another text keeps that other row."""
-    gone = exact_groups(docs, key, text).where(~F.col("kept"))
-    gone = gone.select(F.col(key).alias("__gone_key"), F.col("text_sha256").alias("__gone_sha")).distinct()
-    same = docs[key].eqNullSafe(gone["__gone_key"]) & (F.sha2(text_of(text).cast("binary"), 256) == gone["__gone_sha"])
-    return docs.join(gone, same, "left_anti")
+    key and text together, so a key that also stands on another text keeps that other row. Rows that
+    the filter calls single pass straight through; of the others, those with a greater key on the
+    same text go."""
+    keyed, bitmap, slots = _filtered(docs, key, text, slots)
+    again = possibly_repeated(keyed, bitmap, slots, F.col("_sha")).where("_maybe")
+    keep = cut_lineage(again.groupBy("_sha").agg(F.max("_key").alias("_keep"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_sha", "_keep"))
+    digest, sha, greatest = unused(docs, "_digest", "_sha", "_keep")
+    probed = possibly_repeated(docs.withColumn(digest, _digest(text)), bitmap, slots, F.col(digest))
+    maybe = F.col(probed.columns[-1])
+    gone = (F.col(digest) == F.col(sha)) & ~F.col(key).eqNullSafe(F.col(greatest))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return probed.where(~maybe).select(*names).unionAll(probed.where(maybe).join(keep.toDF(sha, greatest), gone, "left_anti").select(*names))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

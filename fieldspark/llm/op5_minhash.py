@@ -8,8 +8,10 @@
    grow with the bucket, not with its square.
 4. Pairs are verified by the weighted Jaccard similarity of the whole texts; connected components of
    the verified pairs are the classes.
-5. In buckets whose nodes are not in one class yet, the nodes with most links are paired with the
-   others. Then all pairs between nodes of different classes of a bucket are compared, in tiles.
+5. In buckets whose nodes are not in one class yet, all pairs between nodes of different classes are
+   compared, in tiles.
+
+All tables here grow with the documents, so every join is stated to be a sort-merge join.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import bitmap_of, in_bitmap, mix, shingles, ship, slices, table, text_of, word_hashes
+from fieldspark.llm.common import bitmap_of, in_bitmap, mix, shingles, ship, slices, table, text_of, without, word_hashes
 from fieldspark.session import cut_lineage
 
 SHINGLE = 5
@@ -32,7 +34,6 @@ DF_BITS = 18
 IDF_STRENGTH = 0.5
 PART = 2  # expected nodes in a random part of a bucket of more than SMALL nodes
 SMALL = 4  # a bucket of at most so many nodes is one part
-PEELS = 2  # rounds with new heads before the tiles; they save comparisons and don't change classes
 TILE_NODES, TILE_BYTES = 64, 2 << 20  # expected nodes and bytes of text on a side of a tile at most
 TILE_FEATURES = 1 << 14  # features of a tile that are multiplied at a time
 TABLE_BITS = 16  # random numbers of a hash function: one triple for each value of so many bits
@@ -139,9 +140,8 @@ def bucket_rows(nodes: DataFrame) -> DataFrame:
     """node, size, bucket, n, head of ``nodes`` (node, size, bands) in each bucket of n > 1 nodes; head
     is the least. Counts and least nodes are gathered before the shuffle."""
     rows = nodes.select("node", "size", F.posexplode("bands").alias("i", "key")).select("node", "size", F.xxhash64("i", "key").alias("bucket"))
-    rows = cut_lineage(rows)
-    heads = cut_lineage(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).where("n > 1"))
-    return cut_lineage(rows.join(heads, "bucket"))
+    heads = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).where("n > 1")
+    return cut_lineage(rows.join(heads.hint("merge"), "bucket"))
 
 
 def candidate_pairs(full: DataFrame) -> DataFrame:
@@ -160,23 +160,13 @@ def open_buckets(full: DataFrame, labels: DataFrame) -> DataFrame:
     """bucket, node, label, size of the large buckets whose nodes are in several classes, with the
     bucket's class of most nodes (big), and nodes and bytes of all (n, bytes) and of the other classes
     (m, rest)."""
-    rows = full.where(F.col("n") > SMALL).join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"), F.col("size").cast("long").alias("size"))
-    rows = cut_lineage(rows.groupBy("bucket", "node", "label").agg(F.sum("size").alias("size")))
+    rows = full.where(F.col("n") > SMALL).join(labels.hint("merge"), "node", "left")
+    rows = cut_lineage(rows.select("bucket", "node", F.coalesce("label", "node").alias("label"), F.col("size").cast("long").alias("size")))
     sums = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("s"))
     top = F.max(F.struct("k", "label", "s"))
     found = sums.groupBy("bucket").agg(F.sum("k").alias("n"), F.sum("s").alias("bytes"), top.alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     found = found.select("bucket", "n", "bytes", F.col("top.label").alias("big"), (F.col("n") - F.col("top.k")).alias("m"), (F.col("bytes") - F.col("top.s")).alias("rest"))
-    return cut_lineage(rows.join(cut_lineage(found), "bucket"))
-
-
-def head_pairs(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs of the nodes with most links, of all of an open bucket and of those outside
-    its class of most nodes, with the bucket's nodes of other classes."""
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("d"))
-    rank = F.struct(F.coalesce("d", F.lit(0)).alias("d"), F.col("node").alias("head"), F.col("label").alias("of"))
-    best = rows.join(degree, "node", "left").groupBy("bucket").agg(F.max(rank).alias("all"), F.max(F.when(F.col("label") != F.col("big"), rank)).alias("rest"))
-    heads = cut_lineage(best.select("bucket", F.explode(F.array_distinct(F.array("all", "rest"))).alias("h")).select("bucket", "h.head", "h.of"))
-    return rows.join(heads, "bucket").where("label <> of").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+    return cut_lineage(rows.join(found.hint("merge"), "bucket"))
 
 
 def _items(vectors: list[tuple[np.ndarray, np.ndarray]], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -230,7 +220,7 @@ def tile_links(docs: DataFrame, rows: DataFrame, weights, threshold: float) -> D
         return cut.select(F.xxhash64("bucket", *(("own", "other") if number == 0 else ("other", "own"))).alias("tile"), F.lit(number).alias("side"), "node", "label")
 
     texts = texts_of(docs, rows.select(F.col("node").alias("id")).distinct())
-    tiles = side(rows.where("label <> big"), 0).union(side(rows, 1)).join(texts.withColumnRenamed("id", "node"), "node")
+    tiles = side(rows.where("label <> big"), 0).union(side(rows, 1)).join(texts.withColumnRenamed("id", "node").hint("merge"), "node")
 
     def run(t: pa.Table) -> pa.Table:
         open_ = zstandard.ZstdDecompressor().decompress
@@ -265,7 +255,9 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([press(t) for t in raw], pa.binary())], names=["id", "text"])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("doc_id").alias("h"), text_of().alias("text"))
-    return cut_lineage(rows.mapInArrow(pick, f"id {kind}, text binary"))
+    out = cut_lineage(rows.mapInArrow(pick, f"id {kind}, text binary"))
+    bitmap.destroy()
+    return out
 
 
 def verified(docs: DataFrame, pairs: DataFrame, weights, threshold: float) -> DataFrame:
@@ -273,7 +265,7 @@ def verified(docs: DataFrame, pairs: DataFrame, weights, threshold: float) -> Da
     ids move, compressed."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
 
     def check(batches):
         w = weights.value
@@ -283,45 +275,45 @@ def verified(docs: DataFrame, pairs: DataFrame, weights, threshold: float) -> Da
             keep = pa.array([similarity(x, y, w) >= threshold for x, y in zip(va, vb)], pa.bool_())
             yield pa.RecordBatch.from_arrays([pc.filter(b.column(0), keep), pc.filter(b.column(1), keep)], names=["a", "b"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(check, f"a {kind}, b {kind}").distinct()
+    return both.select("a", "b", "ta", "tb").mapInArrow(check, f"a {kind}, b {kind}")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node of each node's connected component. Every round takes the least
-    label among the neighbours, then the label of the label; all tables stay in Spark."""
-    e = cut_lineage(edges.union(edges.select("b", "a")).toDF("u", "v"))
+    """(node, label): the least node of each node's connected component. Every round takes the least of
+    the neighbours' labels and of the label's own label; all tables stay in Spark, and each round
+    writes one."""
+    e = edges.union(edges.select("b", "a")).toDF("u", "v")
     labels = cut_lineage(e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("label")))
     while True:
-        near = e.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("m"))
-        step = cut_lineage(labels.join(near, "u").select("u", "label", F.least("label", "m").alias("next")))
-        jump = step.select(F.col("u").alias("next"), F.col("next").alias("over"))
-        step = cut_lineage(step.join(jump, "next", "left").select("u", "label", F.least("next", F.coalesce("over", "next")).alias("next")))
+        near = e.join(labels.select(F.col("u").alias("v"), "label").hint("merge"), "v").groupBy("u").agg(F.min("label").alias("m"))
+        jump = labels.select(F.col("u").alias("label"), F.col("label").alias("over"))
+        step = labels.join(near.hint("merge"), "u").join(jump.hint("merge"), "label", "left").select("u", "label", F.least("label", "m", F.coalesce("over", "label")).alias("next"))
+        step = cut_lineage(step)
         labels = step.select("u", F.col("next").alias("label"))
         if step.where("label <> next").isEmpty():
             return labels.toDF("node", "label")
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after further ``links``: components of the classes that they join."""
+    of = [labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in ("a", "b")]
+    classes = links.join(of[0].hint("merge"), "a", "left").join(of[1].hint("merge"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    to = components(cut_lineage(classes.where("a <> b").distinct())).toDF("label", "to")
+    fresh = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("label"))
+    every = labels.union(fresh.join(labels, "node", "left_anti"))
+    return cut_lineage(every.join(to.hint("merge"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+
+
 def classes(docs: DataFrame, full: DataFrame, weights, threshold: float) -> DataFrame:
     """(node, label) of the linked nodes. Nodes that share a bucket and are similar have one label,
     whatever pairs are tried first: a bucket is left only when its nodes are in one class or all its
     pairs between classes are compared."""
     tried = cut_lineage(candidate_pairs(full))
-    links = cut_lineage(verified(docs, tried, weights, threshold))
-    labels = components(links)
+    labels = components(cut_lineage(verified(docs, tried, weights, threshold)))
     rows = open_buckets(full, labels)
-    for _ in range(PEELS):
-        if rows.isEmpty():
-            return labels
-        fresh = cut_lineage(head_pairs(rows, links).join(tried, ["a", "b"], "left_anti"))
-        found = cut_lineage(verified(docs, fresh, weights, threshold))
-        if found.isEmpty():
-            break
-        tried, links = tried.union(fresh), links.union(found)
-        labels = components(links)
-        rows = open_buckets(full, labels)
     if rows.isEmpty():
         return labels
-    return components(links.union(cut_lineage(tile_links(docs, rows, weights, threshold))))
+    return merged(labels, cut_lineage(tile_links(docs, rows, weights, threshold)))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -341,16 +333,15 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     keyed = cut_lineage(band_keys(docs, weights))
     same = cut_lineage(keyed.where(F.col("doc_id").isNotNull()).groupBy("_sha").agg(F.min("doc_id").alias("node"), F.first("_size").alias("size"), F.first("_bands").alias("bands")))
     labels = classes(docs, bucket_rows(same.where(F.col("bands").isNotNull())), weights, threshold)
-    of = cut_lineage(same.join(labels, "node", "left").select(F.col("_sha").alias("sha"), F.coalesce("label", "node").alias("class_id")))
-    out = keyed.select("doc_id", "_sha").join(of, F.col("_sha") == F.col("sha"), "left")
+    of = cut_lineage(same.join(labels.hint("merge"), "node", "left").select(F.col("_sha").alias("sha"), F.coalesce("label", "node").alias("class_id")))
+    out = keyed.select("doc_id", "_sha").join(of.hint("merge"), F.col("_sha") == F.col("sha"), "left")
     out = out.withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")))
     return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """One document of each class; all columns stay."""
-    gone = near_duplicates(docs, threshold).where(~F.col("kept")).select(F.col("doc_id").alias("__gone_key")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone_key"], "left_anti")
+    return without(docs, near_duplicates(docs, threshold).where(~F.col("kept")).select("doc_id").distinct(), ["doc_id"])
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

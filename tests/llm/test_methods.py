@@ -10,10 +10,12 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from fieldspark.llm import op1_warc as warc
 from fieldspark.llm import op3_pii as pii
-from fieldspark.llm.common import table, window_hashes, word_hashes
-from fieldspark.llm.op2_exact import OP2_SQL, exact_groups, op2_exact_dedup, possibly_repeated
+from fieldspark.llm.common import table, window_hashes, without, word_hashes
+from fieldspark.llm.op2_exact import OP2_SQL, drop_copies, exact_groups, op2_exact_dedup, possibly_repeated, repeated_slots
 from fieldspark.llm.op4_licenses import TEMPLATES, Scanner, candidate_blocks, op4_licenses
 from fieldspark.llm.op5_minhash import HASHES, SIMILARITY, _vectors, components, document_frequencies, idf_weights, near_duplicates, op5_minhash_dedup, similar, similarity, sketch
 from fieldspark.llm.op6_quality import op6_quality
@@ -153,7 +155,36 @@ def test_full_filter_loses_no_copy(spark, slots):
 
 def test_filter_passes_single_texts_straight_through(spark):
     keyed = spark.range(4000).selectExpr("id as _key", "unhex(sha2(cast(id as string), 256)) as _sha")
-    assert possibly_repeated(keyed, 1 << 20).where("_maybe").count() < 40
+    slots = 1 << 17
+    bitmap = repeated_slots(keyed, slots)
+    assert possibly_repeated(keyed, bitmap, slots, F.col("_sha")).where("_maybe").count() < 40
+    plan = possibly_repeated(keyed, bitmap, slots, F.col("_sha"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_large_filter_is_joined_by_row(spark):
+    keyed = spark.range(400).selectExpr("id % 300 as _key", "unhex(sha2(cast(id % 300 as string), 256)) as _sha")
+    slots = 1 << 30
+    out = possibly_repeated(keyed, repeated_slots(keyed, slots), slots, F.col("_sha"))
+    assert {r["_key"] for r in out.where("_maybe").collect()} == set(range(100)) and out.count() == 400
+
+
+def test_dropping_copies_moves_only_what_may_be_one(spark):
+    rows = [(i, f"text {i % 150}", "x") for i in range(300)] + [(1000 + i, "hot", "y") for i in range(150)] + [(None, None, "n"), (None, "", "n"), (5, "text 6", "z"), (7, None, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _bits string").repartition(5)
+    for slots in (64, 1 << 20, 1 << 30):
+        left = drop_copies(docs, slots=slots)
+        assert left.columns == docs.columns
+        got = {(r["doc_id"], r["text"] or "") for r in left.collect()}
+        assert got == {(r["doc_id"], t) for t in {t or "" for _, t, _ in rows} for r in exact_groups(docs.where(F.coalesce("text", F.lit("")) == t)).where("kept").collect()} and len(got) == 152
+
+
+def test_rows_outside_the_bitmap_stay(spark):
+    docs = spark.createDataFrame([(i, f"k{i % 3}", "x") for i in range(500)] + [(None, "k", "x"), (7, None, "x")], "doc_id long, _BITS string, _maybe string").repartition(4)
+    gone = spark.createDataFrame([(i, f"k{i % 3}") for i in range(0, 500, 7)] + [(None, "k"), (9999, "k")], "doc_id long, k string")
+    left = without(docs, gone, ["doc_id", "_BITS"])
+    assert left.columns == docs.columns and left.count() == 500 - 72 + 1
+    assert sorted(map(repr, without(docs, gone.where("false"), ["doc_id", "_BITS"]).collect())) == sorted(map(repr, docs.collect()))
 
 
 def test_exact_plan_has_no_python(spark, sf001):
