@@ -1130,6 +1130,73 @@ def q_header_match(spark, d):
     return _label(m).select("source_file", "pos", "header", "canonical", F.round("score", 4).alias("score"))
 
 
+# names derived from customers: synonyms as they are, with swapped words, an extra word, a letter less
+# or a letter twice
+_VARIANT_SYNONYMS = [s for c, syns in HD.SYNONYMS.items() for s in [c, *syns]]
+_HEADER_VARIANTS_SQL = f"""WITH syn AS (SELECT unnest({_VARIANT_SYNONYMS}) AS s, unnest(range({len(_VARIANT_SYNONYMS)})) AS i),
+cat AS (SELECT 'c' || (c_custkey % 40) AS source_file, CAST(c_custkey AS INTEGER) AS pos,
+  CASE (c_custkey // {len(_VARIANT_SYNONYMS)}) % 6 WHEN 0 THEN s WHEN 1 THEN array_to_string(list_reverse(string_split_regex(s, '[_ ]')), ' ')
+    WHEN 2 THEN s || ' media' WHEN 3 THEN 'Valore ' || s WHEN 4 THEN substr(s, 1, c_custkey % length(s)) || substr(s, c_custkey % length(s) + 2)
+    ELSE substr(s, 1, c_custkey % length(s) + 1) || substr(s, c_custkey % length(s) + 1) END AS header
+  FROM customer JOIN syn ON i = c_custkey % {len(_VARIANT_SYNONYMS)}),
+nrm AS (SELECT *, trim(regexp_replace(lower(header), '[^\\p{{L}}\\p{{N}}]', ' ', 'g')) AS h FROM cat)"""
+
+
+def _composite_sql() -> str:
+    tg = ", ".join(f"('{t}', '{c}')" for t, c in HD.targets(list(_REQ_ALL), HD.SYNONYMS))
+    words = "list_sort(list_distinct(string_split_regex(trim({0}), ' +')))"
+    mask = "((1::HUGEINT << length(a)) - 1)"
+    return (
+        _HEADER_VARIANTS_SQL
+        + f""",
+tg(t, cand) AS (VALUES {tg}),
+p0 AS (SELECT h, t, cand, {words.format('h')} AS wa, {words.format('t')} AS wb FROM (SELECT DISTINCT h FROM nrm WHERE h <> ''), tg),
+p AS (SELECT *, array_to_string(wa, ' ') AS sa, array_to_string(wb, ' ') AS sb, list_sort(list_intersect(wa, wb)) AS w2,
+  array_to_string(list_filter(wa, lambda x: NOT list_contains(wb, x)), ' ') AS ra, array_to_string(list_filter(wb, lambda x: NOT list_contains(wa, x)), ' ') AS rb,
+  greatest(length(h), length(t)) / least(length(h), length(t)) AS far FROM p0),
+two AS (SELECT h AS a, t AS b FROM p UNION SELECT sa, sb FROM p),
+so AS (SELECT a, b, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS x, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS y FROM two),
+win AS (SELECT a, b, x, unnest(list_concat(list_transform(range(1, length(y) - length(x) + 2), lambda i: substr(y, i, length(x))),
+  list_transform(range(1, length(x)), lambda k: substr(y, 1, k)), list_transform(range(1, length(x)), lambda k: right(y, k)))) AS w FROM so),
+need AS (SELECT a, b FROM two UNION SELECT ra, rb FROM p UNION SELECT x, w FROM win),
+l AS (SELECT a, b, CASE WHEN a = '' OR b = '' THEN 0 ELSE length(a) - bit_count(list_reduce(list_prepend({mask}, list_transform(string_split(b, ''),
+  lambda c: list_sum(list_transform(range(length(a)), lambda i: CASE WHEN substr(a, i + 1, 1) = c THEN 1::HUGEINT << i::INTEGER ELSE 0::HUGEINT END)))),
+  lambda v, m: ((v + (v & m)) | (v - (v & m))) & {mask})) END AS n FROM need),
+wr AS (SELECT win.a, win.b, max(200 * l.n / (length(x) + length(w))) AS best FROM win JOIN l ON l.a = x AND l.b = w GROUP BY win.a, win.b),
+parts AS (SELECT p.*, 200 * l1.n / (length(h) + length(t)) AS r, 200 * l2.n / (length(sa) + length(sb)) AS rs, w1.best AS u, w2_.best AS v,
+  length(array_to_string(w2, ' ')) AS sh, length(ra) + length(rb) - 2 * l3.n AS apart
+  FROM p JOIN l l1 ON l1.a = h AND l1.b = t JOIN l l2 ON l2.a = sa AND l2.b = sb JOIN l l3 ON l3.a = ra AND l3.b = rb
+  JOIN wr w1 ON w1.a = h AND w1.b = t JOIN wr w2_ ON w2_.a = sa AND w2_.b = sb),
+scored AS (SELECT h, cand, CASE WHEN h = t THEN 100.0
+  WHEN far < 1.5 THEN greatest(r, 0.95 * CASE WHEN len(w2) = 0 THEN rs WHEN ra = '' OR rb = '' THEN 100.0 ELSE greatest(rs, 100 * (1 - apart / (2 * sh + 2 + length(ra) + length(rb))),
+    200 * sh / (2 * sh + 1 + length(ra)), 200 * sh / (2 * sh + 1 + length(rb))) END)
+  ELSE greatest(r, CASE WHEN far <= 8 THEN 0.9 ELSE 0.6 END * u, 0.95 * CASE WHEN far <= 8 THEN 0.9 ELSE 0.6 END * CASE WHEN len(w2) > 0 THEN 100.0 ELSE v END) END AS score FROM parts),
+best AS (SELECT h, arg_min(cand, (-round(score, 6), cand)) AS cand, max(score) AS score FROM scored WHERE score >= 85 GROUP BY h),
+win2 AS (SELECT source_file, pos, header, cand, score, row_number() OVER (PARTITION BY source_file, cand ORDER BY score DESC, pos) AS rn FROM nrm LEFT JOIN best USING (h))
+SELECT source_file, pos, header, CASE WHEN rn = 1 THEN cand END AS canonical, round(score, 4) AS score FROM win2"""
+    )
+
+
+@register("header_match_composite", _composite_sql())
+def q_header_match_composite(spark, d):
+    n = len(_VARIANT_SYNONYMS)
+    k = F.col("c_custkey")
+    s = F.element_at(F.array(*[F.lit(x) for x in _VARIANT_SYNONYMS]), (k % n + 1).cast("int"))
+    at = (k % F.length(s)).cast("int")
+    header = (
+        F.when(F.floor(k / n) % 6 == 0, s)
+        .when(F.floor(k / n) % 6 == 1, F.array_join(F.reverse(F.split(s, "[_ ]")), " "))
+        .when(F.floor(k / n) % 6 == 2, F.concat(s, F.lit(" media")))
+        .when(F.floor(k / n) % 6 == 3, F.concat(F.lit("Valore "), s))
+        .when(F.floor(k / n) % 6 == 4, F.concat(F.substring(s, F.lit(1), at), F.substring(s, at + 2, F.length(s))))
+        .otherwise(F.concat(F.substring(s, F.lit(1), at + 1), F.substring(s, at + 1, F.length(s))))
+    )
+    cat = spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("c"), k % 40).alias("source_file"), k.cast("int").alias("pos"), header.alias("header"))
+    cat = cat.withColumn("name", F.lower(F.trim("header")))
+    m = HD.match_headers_composite(cat, list(_REQ_ALL), HD.SYNONYMS, 85.0)
+    return m.select("source_file", "pos", "header", "canonical", F.round("score", 4).alias("score"))
+
+
 @register(
     "missing_columns",
     "WITH " + _FILES_SQL + "\nSELECT 'file_id=' || f AS source_file, CASE WHEN f % 5 = 4 THEN ['temp'] ELSE CAST([] AS VARCHAR[]) END AS missing FROM ff",

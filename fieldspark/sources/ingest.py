@@ -164,7 +164,7 @@ def ingest(
     """Load every delimited file below ``path`` into one table (see module doc). Files are cut into
     ranges of ``range_bytes``, so that one file of any size is read by many tasks; each step reads them
     anew, and only tables of a row a file or header are kept (checkpointed)."""
-    from fieldspark.sources.headers import match_headers
+    from fieldspark.sources.headers import match_headers_composite
 
     if on_error not in ("raise", "skip"):
         raise ValueError("on_error must be 'raise' or 'skip'")
@@ -174,7 +174,7 @@ def ingest(
     hdr = cut_lineage(header_rows(lines, layout, required))
     catalog = header_catalog(hdr)
     if fuzzy:
-        matched = match_headers(catalog, list(required), synonyms or {}, threshold)
+        matched = match_headers_composite(catalog, list(required), synonyms or {}, threshold)
         catalog = matched.select("source_file", "pos", "header", F.coalesce("canonical", "name").alias("name"))
     catalog = cut_lineage(dedupe_names(catalog))
     present = catalog.groupBy("source_file").agg(F.collect_set("name").alias("_names"))
