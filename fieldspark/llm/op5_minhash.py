@@ -34,8 +34,8 @@ DF_BITS = 18
 IDF_STRENGTH = 0.5
 PART = 2  # expected nodes in a random part of a bucket of more than SMALL nodes
 SMALL = 4  # a bucket of at most so many nodes is one part
-TILE_NODES, TILE_BYTES = 64, 2 << 20  # expected nodes and bytes of text on a side of a tile at most
-TILE_FEATURES = 1 << 14  # features of a tile that are multiplied at a time
+TILE_NODES, TILE_BYTES = 256, 4 << 20  # expected nodes and bytes of text on a side of a tile at most
+TILE_FEATURES = 1 << 13  # features of a tile that are multiplied at a time
 TABLE_BITS = 16  # random numbers of a hash function: one triple for each value of so many bits
 _CACHE: dict[str, object] = {}
 
