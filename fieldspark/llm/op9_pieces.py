@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import ship, slices, table, text_of
+from fieldspark.llm.common import SLICE_BYTES, ship, slices, table, text_of
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -29,7 +29,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values:
 UNKNOWN_PENALTY = 10.0  # fixed value: below the least score of a normal piece
 LONG = 48  # longer stretches are segmented one by one
 ROWS = 8192  # short stretches segmented together
-MEMO = 400_000  # stretches remembered by a worker process between slices
+MEMO = 150_000  # stretches remembered by a worker process between slices
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
@@ -293,7 +293,7 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", v
 
     def run(batches):
         m, memo = model.value, {}
-        for b in slices(batches, "_text"):
+        for b in slices(batches, "_text", SLICE_BYTES // 4):
             texts = b.column(1).to_pylist()
             ids, rows = m.encode_batch(texts, memo)
             flat = ids.tolist()
