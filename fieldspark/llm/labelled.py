@@ -6,27 +6,30 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.llm.common import fold_of, ship, slices, text_of
 
-TRAIN_CHARS = 20_000  # of a training text at most; scoring always reads whole texts
+SAMPLE_BYTES = 16 << 20  # of all texts of a class at most; texts are taken whole
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, folds: int, held_out: int) -> tuple[dict[int, list[str]], dict[int, int]]:
-    """At most ``per_class`` texts of each label 0 and 1, by the hash of their ids, and how many rows
-    carry each label. Ids of the held-out fold are left out of both. Rows without id or label don't
-    count; of an id with several labels the greatest counts, of an id with several texts the least.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, folds: int, held_out: int, most_bytes: int = SAMPLE_BYTES) -> tuple[dict[int, list[str]], dict[int, int]]:
+    """At most ``per_class`` whole texts of each label 0 and 1, by the hash of their ids and as far as
+    ``most_bytes`` go, and how many rows carry each label. Ids of the held-out fold are left out of
+    both. Rows without id or label don't count; of an id with several labels the greatest counts, of
+    an id with several texts the least.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("_y"))
     known = known.where(fold_of("doc_id", folds) != held_out)
     count = {int(r["_y"]): r["n"] for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     texts: dict[int, list[str]] = {}
     for y in (0, 1):
-        ids = known.where(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id")
-        found = docs.select("doc_id", F.substring(text_of(), 1, TRAIN_CHARS).alias("_text")).join(F.broadcast(ids), "doc_id")
-        rows = found.groupBy("doc_id").agg(F.min("_text").alias("_text")).collect()  # per_class rows at most
+        ids = known.where(F.col("_y") == y).orderBy(*order).limit(per_class).select("doc_id")
+        found = docs.select("doc_id", text_of().alias("_text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("_text").alias("_text"))
+        upto = F.sum(F.octet_length("_text").cast("long")).over(Window.orderBy(*order))  # over per_class rows at most
+        rows = found.withColumn("_upto", upto).where(F.col("_upto") <= most_bytes).select("doc_id", "_text").collect()
         texts[y] = [r["_text"] for r in sorted(rows, key=lambda r: str(r["doc_id"]))]
     return texts, count
 

@@ -5,6 +5,7 @@ with the ratio of compressed to plain size, becomes a calibrated score."""
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ FOLDS, HELD_OUT = 3, 1
 PER_CLASS = 1600  # labelled texts of each class at most: half for the dictionaries, half for calibration
 DICTIONARY_BYTES = 32 << 10
 WINDOW = 512
+TRAIN_WINDOWS = 8000  # of a class at most
 LEVEL = 3
 
 
@@ -26,8 +28,9 @@ def _windows(raw: bytes) -> list[bytes]:
 
 
 def train_dictionary(texts: list[str]) -> bytes | None:
-    """Dictionary of the texts' windows; None if there is too little text to train one."""
-    parts = [w for t in texts for w in _windows(t.encode())[:12] if len(w) >= 8]
+    """Dictionary of the texts' windows, from anywhere in them by hash; None if there is too little text
+    to train one."""
+    parts = sorted((w for t in texts for w in _windows(t.encode()) if len(w) >= 8), key=lambda w: (zlib.crc32(w), w))[:TRAIN_WINDOWS]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes() if len(parts) >= 8 else None
     except zstandard.ZstdError:

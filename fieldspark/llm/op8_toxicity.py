@@ -1,12 +1,14 @@
-"""Operator 8: toxicity by compression distance. A zstandard dictionary of ordinary text and one that
-adds what toxic text has and ordinary text lacks compress every short window of a text; windows that
-the second shortens by some bytes are evidence, and calibrated thresholds turn it into a score."""
+"""Operator 8: toxicity by compression distance. Separate zstandard dictionaries, ``PARTS`` of ordinary and
+``PARTS`` of toxic labelled text, each from texts of its own, compress every short window of a text. A
+window is evidence by the bytes that half of the toxic dictionaries save against the best ordinary one:
+what only a few dictionaries happen to hold doesn't count. Calibrated thresholds turn the savings of
+all windows into a score."""
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+import zlib
 
 import numpy as np
 import zstandard
@@ -17,25 +19,19 @@ from fieldspark.llm.labelled import Logistic, labelled_sample, prior_weights, sc
 
 FOLDS, HELD_OUT = 5, 0
 PER_CLASS = 3000  # labelled texts of each class at most: half for the dictionaries, half for calibration
-WINDOW_WORDS = 10
-ORDINARY_BYTES, TOXIC_BYTES = 64_000, 16_000
-GRAMS = (5, 6)
-LEAST_TEXTS, LEAST_Z, MOST_SHARE = 6, 5.0, 0.05  # of a toxic gram: texts, z score, share of ordinary texts
-GAINS = (3, 4, 5, 6, 8)  # bytes that a window must lose to count, one feature pair for each
+PARTS = 8  # dictionaries of a class
+DICTIONARY_BYTES = 112 << 10  # of a dictionary at most
+PIECE_WORDS = 64  # a dictionary takes pieces of so many words by their hash, from anywhere in its texts
+WINDOW_WORDS = 8
+FIRST = 4  # bytes that the first toxic dictionaries must save against the first ordinary one
+THRESHOLDS = (0.5, 1, 1.5, 2, 3, 4, 5)  # bytes that a window must save to count, two features for each
 LEVEL = 3
-PARAMETERS = {"strategy": zstandard.STRATEGY_GREEDY, "min_match": 5, "window_log": 18, "hash_log": 17, "chain_log": 17}
-
-_WORDS = re.compile(r"[^\W_]+")
-
-
-def _grams(word: str) -> set[str]:
-    w = f"^{word}$"
-    return {w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)}
+PARAMETERS = {"strategy": zstandard.STRATEGY_GREEDY, "min_match": 4, "window_log": 18, "hash_log": 17, "chain_log": 17}
 
 
 def distinct_texts(texts: list[str]) -> list[str]:
-    """The texts without those of which most sentences stand in an earlier one: the words of a text
-    that is copied often would look as if they told the classes apart."""
+    """The texts without those of which most sentences stand in an earlier one: a text that is copied
+    often would fill the dictionaries of its class."""
     seen: set[str] = set()
     out = []
     for t in texts:
@@ -46,52 +42,62 @@ def distinct_texts(texts: list[str]) -> list[str]:
     return out
 
 
-def train_dictionaries(ordinary: list[str], toxic: list[str]) -> tuple[bytes, bytes]:
-    """(ordinary, toxic): the first holds pieces of ordinary texts; the second ends with the words of
-    toxic texts that carry letter sequences which far more toxic than ordinary texts have."""
-    ordinary, toxic = distinct_texts(ordinary), distinct_texts(toxic)
-    words = {"o": [set(_WORDS.findall(t.lower())) for t in ordinary], "t": [set(_WORDS.findall(t.lower())) for t in toxic]}
-    seen = {k: Counter(g for text in v for g in set().union(*map(_grams, text))) for k, v in words.items()}
-    n_o, n_t = max(len(ordinary), 1), max(len(toxic), 1)
+def _spaced(words: list[str]) -> bytes:
+    return f" {' '.join(words)} ".encode()
 
-    def z(g: str) -> float:
-        share = (seen["t"][g] + seen["o"][g] + 1) / (n_o + n_t + 2)
-        return (seen["t"][g] / n_t - seen["o"][g] / n_o) / math.sqrt(share * (1 - share) * (1 / n_o + 1 / n_t))
 
-    telling = {g: s for g, n in seen["t"].items() if n >= LEAST_TEXTS and seen["o"][g] / n_o <= MOST_SHARE * n / n_t and (s := z(g)) > LEAST_Z}
-    vocabulary = {w for text in words["t"] for w in text}
-    ranked = sorted((max(telling.get(g, 0.0) for g in _grams(w)), w) for w in vocabulary if len(w) >= min(GRAMS) - 2 and not telling.keys().isdisjoint(_grams(w)))
-    piece = max(ORDINARY_BYTES // n_o, 200)
-    base = " ".join(" ".join(t.lower().split())[:piece] for t in ordinary)[:ORDINARY_BYTES].encode()
-    tail = (" " + " ".join(w for _, w in ranked) + " ").encode()
-    return base, base + tail[-TOXIC_BYTES:]
+def dictionaries(texts: list[str]) -> list[bytes]:
+    """Raw dictionaries of the texts, which are dealt out to PARTS of them. One with more text than
+    DICTIONARY_BYTES takes the pieces of least hash."""
+    out = []
+    texts = distinct_texts(texts)
+    for part in range(PARTS):
+        words = [t.lower().split() for t in texts[part::PARTS]]
+        pieces = {_spaced(w[i : i + PIECE_WORDS]) for w in words for i in range(0, len(w), PIECE_WORDS)}
+        held, size = [], 0
+        for p in sorted(pieces, key=lambda p: (zlib.crc32(p), p)):
+            if size + len(p) <= DICTIONARY_BYTES:
+                held.append(p)
+                size += len(p)
+        if size >= 64:
+            out.append(b"".join(held))
+    return out
+
 
+class Savings:
+    """Feature row of a text from the bytes that its windows save under the toxic dictionaries."""
 
-class Gains:
-    """Feature row of a text from the bytes that its windows gain under the toxic dictionary."""
+    def __init__(self, ordinary: list[bytes], toxic: list[bytes]):
+        self.ordinary, self.toxic = ([self._compressor(d) for d in side] for side in (ordinary, toxic))
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        self.of = []
-        for d in (ordinary, toxic):
-            p = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_dict_id=0, **PARAMETERS)
-            data = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.of.append(zstandard.ZstdCompressor(dict_data=data, compression_params=p).compress)
+    @staticmethod
+    def _compressor(raw: bytes):
+        p = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_dict_id=0, **PARAMETERS)
+        data = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        data.precompute_compress(compression_params=p)
+        return zstandard.ZstdCompressor(dict_data=data, compression_params=p).compress
 
-    def gains(self, raw: bytes) -> list[int]:
-        ordinary, toxic = self.of
+    def windows(self, raw: bytes) -> list[bytes]:
         words = raw.decode("utf-8", "replace").lower().split()
-        out = []
-        for i in range(0, len(words), WINDOW_WORDS):
-            w = f" {' '.join(words[i : i + WINDOW_WORDS])} ".encode()
-            out.append(len(ordinary(w)) - len(toxic(w)))
-        return out
+        return [_spaced(words[i : i + WINDOW_WORDS]) for i in range(0, len(words), WINDOW_WORDS)]
+
+    def saving(self, window: bytes) -> float:
+        """Bytes between the shortest ordinary and the median toxic length; 0 if that is less, or if
+        the first dictionaries see no difference."""
+        plain = len(self.ordinary[0](window))
+        first = [len(f(window)) for f in self.toxic[:2]]
+        if plain - min(first) < FIRST:
+            return 0.0
+        plain = min(plain, *(len(f(window)) for f in self.ordinary[1:]))
+        toxic = sorted(first + [len(f(window)) for f in self.toxic[2:]])
+        n = len(toxic)
+        return max(plain - (toxic[(n - 1) // 2] + toxic[n // 2]) / 2, 0.0)
 
     def __call__(self, raw: bytes) -> tuple[float, ...]:
-        gains = np.array([*self.gains(raw), 0])
-        root = math.sqrt(len(gains))
-        over = [int((gains >= g).sum()) for g in GAINS]
-        total = gains[gains >= GAINS[0]].sum() / root
-        return (gains.max(), math.log(len(gains)), total, *(n / root for n in over), *(math.log1p(n) for n in over))
+        saved = np.sort([0.0, 0.0, 0.0, *(self.saving(w) for w in self.windows(raw))])[::-1]
+        root = math.sqrt(len(saved) - 2)
+        over = [int((saved >= t).sum()) for t in THRESHOLDS]
+        return (saved[0], saved[:3].mean(), 2 * math.log(root), saved.sum() / root, *(n / root for n in over), *(math.log1p(n) for n in over))
 
 
 def fit(docs: DataFrame, labels: DataFrame):
@@ -101,10 +107,12 @@ def fit(docs: DataFrame, labels: DataFrame):
     y = np.array([v for _, v in rest])
     if len(set(y.tolist())) < 2:
         return None, None
-    pair = train_dictionaries(texts[0][::2], texts[1][::2])
-    of = Gains(*pair)
+    pair = dictionaries(texts[0][::2]), dictionaries(texts[1][::2])
+    if min(map(len, pair)) < 2:
+        return None, None
+    of = Savings(*pair)
     x = np.array([of(t.encode()) for t, _ in rest])
-    return (lambda: Gains(*pair)), Logistic(x, y, prior_weights(y, count))
+    return (lambda: Savings(*pair)), Logistic(x, y, prior_weights(y, count))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
