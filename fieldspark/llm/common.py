@@ -70,7 +70,7 @@ for _lo, _hi in ((48, 58), (65, 91), (97, 123), (128, 256)):
 _CACHE: dict[str, np.ndarray] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_CACHE.get("p", ())) < n:
         _CACHE["p"], _CACHE["q"] = _powers(_P, n), _powers(pow(_P, -1, 1 << 64), n)
     return _CACHE["p"], _CACHE["q"]
@@ -111,7 +111,7 @@ def run_hashes(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tup
         cuts = cuts[cuts > 0]
         last[cuts - 1] = word[1:-1][cuts - 1]
         start, stop = np.flatnonzero(fresh), np.flatnonzero(last) + 1
-        p, q = _power_tables(len(block))
+        p, q = power_tables(len(block))
         total = np.zeros(len(block) + 1, np.uint64)
         np.cumsum(block * p[: len(block)], out=total[1:])
         hashes.append(mix((total[stop] - total[start]) * q[start] + (stop - start).astype(np.uint64)))

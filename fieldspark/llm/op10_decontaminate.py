@@ -11,61 +11,74 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import bitmap_of, in_bitmap, ship, slices, table, text_of, window_hashes, without, word_hashes
+from fieldspark.llm.common import bitmap_of, in_bitmap, power_tables, ship, slices, table, text_of, window_hashes, without, word_hashes
 from fieldspark.session import cut_lineage
 
 LEAST = 5  # words of a tile at least
 COVERAGE = 0.5  # of an item's words under tiles, from which a document counts as contaminated
 
 
-def matches(doc: np.ndarray, item: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document position, item position) of equal windows of ``size`` words: rolling hashes first,
-    then the words themselves."""
-    a, b = window_hashes(doc, size), window_hashes(item, size)
-    order = np.argsort(b, kind="stable")
-    low, high = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
-    n = high - low
-    i = np.repeat(np.arange(len(a)), n)
-    j = order[np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if len(i) else np.zeros(0, np.int64)
-    same = np.ones(len(i), bool)
-    for k in range(size):
-        same &= doc[i + k] == item[j + k]
-    return i[same], j[same]
+def running_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Karp-Rabin hashes of all windows of ``size`` words, each from two prefix sums."""
+    p, q = power_tables(len(words))
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * p[: len(words)], out=total[1:])
+    return (total[size:] - total[: len(total) - size]) * q[: len(words) - size + 1]
+
+
+def _free_windows(words: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the windows of ``size`` words without a marked word."""
+    if len(words) < size:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    marked = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(~free, out=marked[1:])
+    at = np.flatnonzero(marked[size:] == marked[: len(marked) - size])
+    return at, running_hashes(words, size)[at]
 
 
 def tiles(doc: np.ndarray, item: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (document position, item position, words) of the tiles, in the order in
     which they were marked. Of equally long matches the first in the document, then the first in the
-    item, is marked."""
+    item, is marked.
+
+    Each round looks for the greatest length at which unmarked windows still match, by halving, and
+    marks all matches of that length in one walk: a window of the item that is taken never comes back,
+    so a round is linear in both texts however often a window repeats.
+    """
     doc_free, item_free = np.ones(len(doc), bool), np.ones(len(item), bool)
-    start_i, start_j = matches(doc, item, least)
     out: list[tuple[int, int, int]] = []
-    while len(start_i):
-        free = np.ones(len(start_i), bool)
-        for k in range(least):
-            free &= doc_free[start_i + k] & item_free[start_j + k]
-        start_i, start_j = start_i[free], start_j[free]
-        length = np.full(len(start_i), least)
-        grows = np.arange(len(start_i))
-        while len(grows):
-            i, j = start_i[grows] + length[grows], start_j[grows] + length[grows]
-            inside = (i < len(doc)) & (j < len(item))
-            grows, i, j = grows[inside], i[inside], j[inside]
-            more = (doc[i] == item[j]) & doc_free[i] & item_free[j]
-            grows = grows[more]
-            length[grows] += 1
-        if not len(length):
+    longest = min(len(doc), len(item))
+    while longest >= least:
+        low, high = least - 1, longest  # windows of ``low`` words match (or are too short), longer than ``high`` don't
+        while low < high:
+            size = (low + high + 1) // 2
+            if np.intersect1d(_free_windows(doc, doc_free, size)[1], _free_windows(item, item_free, size)[1]).size:
+                low = size
+            else:
+                high = size - 1
+        if low < least:
             break
-        best = length.max()
-        for x in np.lexsort((start_j, start_i)):
-            i, j = int(start_i[x]), int(start_j[x])
-            if length[x] == best and doc_free[i : i + best].all() and item_free[j : j + best].all():
-                doc_free[i : i + best] = False
-                item_free[j : j + best] = False
-                out.append((i, j, int(best)))
+        places: dict[int, list[int]] = {}
+        at, h = _free_windows(item, item_free, low)
+        for j, x in zip(at[::-1].tolist(), h[::-1].tolist()):
+            places.setdefault(x, []).append(j)  # the first in the item last
+        at, h = _free_windows(doc, doc_free, low)
+        end = 0
+        for i, x in zip(at.tolist(), h.tolist()):
+            stack = places.get(x)
+            if i < end or not stack:
+                continue
+            while stack and not item_free[stack[-1] : stack[-1] + low].all():
+                stack.pop()
+            if stack and np.array_equal(doc[i : i + low], item[stack[-1] : stack[-1] + low]):
+                j, end = stack.pop(), i + low
+                doc_free[i:end] = False
+                item_free[j : j + low] = False
+                out.append((i, j, low))
+        longest = low - 1
     return out
 
 
@@ -127,9 +140,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
     narrow = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_of().alias("_text"))
     near = cut_lineage(narrow.mapInArrow(candidates, f"doc_id {kind}, text string, seeds array<long>"))
-    shared = near.select("doc_id", F.explode("seeds").alias("seed")).join(seeds, "seed").groupBy("doc_id", "item_id").agg(F.max("item_words").alias("n"), F.countDistinct("position").alias("k"))
-    # each word under a tile lies in a shared seed, and a seed covers LEAST words
-    pairs = cut_lineage(shared.where(F.col("k") * LEAST >= F.col("n") * coverage).select("doc_id", "item_id"))
+    # each word under a tile lies in a shared seed, and a seed covers LEAST words: a pair shares at least
+    # ``needed`` positions of the item, so one of them is left when the needed - 1 most frequent go
+    found = near.select("doc_id", F.explode("seeds").alias("seed"))
+    often = found.groupBy("seed").agg(F.count(F.lit(1)).alias("often"))
+    needed = F.greatest(F.ceil(F.col("item_words") * coverage / LEAST), F.lit(1))
+    nth = F.row_number().over(Window.partitionBy("item_id", "item_words").orderBy(F.desc("often"), "position"))
+    rare = seeds.join(often, "seed").withColumn("needed", needed).withColumn("nth", nth).where("nth >= needed").select("seed", "item_id", "item_words", "needed").distinct()
+    pairs = found.join(rare, "seed").select("doc_id", "item_id", "item_words", "needed").distinct()
+    whole = seeds.groupBy("item_id", "item_words").agg(F.collect_list("seed").alias("all"))  # of one item
+    pairs = cut_lineage(pairs.join(whole, ["item_id", "item_words"]).join(near.select("doc_id", "seeds"), "doc_id")
+        .where(F.size(F.filter("all", lambda x: F.array_contains("seeds", x))) >= F.col("needed")).select("doc_id", "item_id").distinct())
     both = pairs.join(items.select("item_id", text_of().alias("item_text")), "item_id").join(near.select("doc_id", "text"), "doc_id")
 
     def tile(batches):

@@ -5,6 +5,7 @@ import os
 import random
 import re
 import tempfile
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from fieldspark.llm.op6_quality import op6_quality
 from fieldspark.llm.op7_html import blocks, main_text, op7_html, train
 from fieldspark.llm.op8_toxicity import op8_toxicity
 from fieldspark.llm.op9_pieces import MARK, PieceModel, decode_documents, encode_documents, read_vocabulary
-from fieldspark.llm.op10_decontaminate import op10_decontaminate, tiles
+from fieldspark.llm.op10_decontaminate import contaminated, op10_decontaminate, tiles
 from fieldspark.plans.compare import compare, duckdb_connect
 
 
@@ -588,6 +589,29 @@ def test_tiles_against_plain_tiling():
     assert len(window_hashes(np.zeros(3, np.uint64), 5)) == 0
 
 
+def test_tiles_of_repeated_words_are_linear():
+    one = np.full(8000, 7, np.uint64)
+    start = time.process_time()
+    assert tiles(one, one[:800]) == [(0, 0, 800)]
+    runs = np.tile(np.array([7, 7, 7, 7, 7, 7, 9], np.uint64), 1200)
+    item = np.tile(np.array([8, 7, 7, 7, 7, 7, 7], np.uint64), 150)
+    found = tiles(runs, item)
+    assert len(found) == 150 and {n for _, _, n in found} == {6}
+    rng = np.random.default_rng(1)
+    tiles(rng.integers(0, 2, 8000).astype(np.uint64), rng.integers(0, 2, 800).astype(np.uint64))
+    assert time.process_time() - start < 3
+
+
+def test_stock_phrases_make_few_pairs(spark):
+    """A phrase of all items and all documents isn't enough for a pair; every real one is found."""
+    phrase = "the same five words here"
+    items = [(i, f"{phrase} " + " ".join(f"i{i}w{k}" for k in range(25))) for i in range(30)]
+    docs = [(i, f"{phrase} " + " ".join(f"d{i}w{k}" for k in range(30))) for i in range(100)]
+    docs += [(1000 + i, "before " + " ".join(items[i][1].split()[10:]) + " after") for i in range(30)]
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["covered_words"]) for r in got} == {(1000 + i, i, 20) for i in range(30)}
+
+
 def test_op10_against_plain_search(spark, sf001):
     items = {r["item_id"]: split_words(r["text"]) for r in table(spark, sf001, "benchmark").collect()}
     docs = {r["doc_id"]: split_words(r["text"] or "") for r in table(spark, sf001, "documents").collect()}
