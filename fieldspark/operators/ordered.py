@@ -2,9 +2,11 @@
 
 A window with no ``partitionBy`` (or partitioned by one hot key) puts every row of the group on
 one task. Instead the rows are range-partitioned on ``(partition keys, order keys)`` into
-contiguous, balanced buckets; each bucket is scanned with an ordinary window, and what a bucket
-needs from earlier/later buckets (last value seen, first value ahead, rows before, running sum)
-comes from a per-bucket carry table of at most ``#groups + #buckets`` rows.
+contiguous, balanced buckets, each is scanned with an ordinary window, and what a bucket needs
+from earlier/later buckets (last value seen, first value ahead, rows before, running sum) is a
+carry. Carries are a tree: FAN neighbouring buckets are summed up to one node of the next level until
+one node is left (up-sweep), then every node hands its own carry down to its buckets (down-sweep),
+so no window at any level sees more than FAN rows of a group.
 
 Kinds of scan output (``specs`` = list of ``(name, kind, expr)``):
 
@@ -17,21 +19,27 @@ Kinds of scan output (``specs`` = list of ``(name, kind, expr)``):
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldspark.session import cut_lineage
+
 BUCKET = "_b"
-BUCKET_ROWS = 50_000  # rows of a bucket (conf fieldspark.scan.bucketRows)
-BROADCAST_BUCKETS = 20_000  # a group-free carry table of at most so many rows is broadcast
+PARTITION_BYTES = 128 << 20  # of rows in a range partition (conf fieldspark.scan.partitionBytes)
+FAN = 1024  # nodes that one node of the next level sums up (conf fieldspark.scan.fan)
+BROADCAST_CARRIES = 100_000  # a carry table of at most so many rows is broadcast, a larger one joined by shuffle
+
+
+def _conf(df: DataFrame, name: str, default: int) -> int:
+    return int(df.sparkSession.conf.get(f"fieldspark.scan.{name}", str(default)))
 
 
-def _n_buckets(df: DataFrame, n: int | None) -> int:
-    """Buckets from the counted rows, as many as they need."""
-    if n:
-        return n
-    target = int(df.sparkSession.conf.get("fieldspark.scan.bucketRows", str(BUCKET_ROWS)))
-    return max(1, -(-df.count() // target))
+def _partitions(df: DataFrame) -> tuple[int, int]:
+    """(partitions that the counted bytes need, rows)."""
+    wide = [F.octet_length(f.name) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    size = sum((F.coalesce(F.sum(w.cast("long")), F.lit(0)) for w in wide), F.count(F.lit(1)) * 8 * max(len(df.columns) - len(wide), 1))
+    total, rows = df.agg(size, F.count(F.lit(1))).first()
+    return max(1, -(-total // _conf(df, "partitionBytes", PARTITION_BYTES))), rows
 
 
 def _sort_cols(cols: list[str]) -> list[Column]:
@@ -39,16 +47,20 @@ def _sort_cols(cols: list[str]) -> list[Column]:
 
 
 def bucketize(df: DataFrame, part_cols: list[str], order_cols: list[str], n: int | None = None) -> DataFrame:
-    """Range-partition on (part, order) and tag every row with its contiguous bucket id.
+    """Range-partition on (part, order) and tag every row with its contiguous bucket id: the partition,
+    or with conf ``fieldspark.scan.bucketRows`` stretches of so many rows of one.
 
-    The result is persisted: the scan reads it twice (bucket windows and carry table) and both
-    reads must see the same bucket of every row. Two separate range exchanges would each sample
-    their own boundaries; the persisted RDD keeps one partitioner, also when a lost block is
-    recomputed after an executor failure. (A user-fixed partition count is never coalesced by AQE.)
+    The result is checkpointed: the scan reads it twice (bucket windows and carries) and both reads must
+    see the same bucket of every row. Two separate range exchanges would each sample their own
+    boundaries; the written table also outlives executors. Number of partitions: by counted bytes.
     """
-    n = _n_buckets(df, n)
-    out = df.repartitionByRange(n, *_sort_cols(part_cols + order_cols)).withColumn(BUCKET, F.spark_partition_id())
-    return out.persist(StorageLevel.MEMORY_AND_DISK)
+    parts, rows = (n, None) if n else _partitions(df)
+    out = df.repartitionByRange(parts, *_sort_cols(part_cols + order_cols)).withColumn(BUCKET, F.spark_partition_id().cast("long"))
+    if stretch := _conf(df, "bucketRows", 0):
+        rows = df.count() if rows is None else rows
+        w = Window.partitionBy(BUCKET).orderBy(*_sort_cols(part_cols + order_cols))
+        out = out.withColumn(BUCKET, F.col(BUCKET) * (rows // stretch + 1) + F.floor((F.row_number().over(w) - 1) / stretch))
+    return cut_lineage(out)
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], prefix: str) -> DataFrame:
@@ -115,27 +127,9 @@ def ordered_scan(
     else:
         carry = b.groupBy(*keys).agg(*aggs)
 
-    wc = Window.partitionBy(*part_cols).orderBy(BUCKET) if part_cols else Window.orderBy(BUCKET)
-    before = wc.rowsBetween(Window.unboundedPreceding, -1)
-    back = Window.partitionBy(*part_cols).orderBy(F.desc(BUCKET)) if part_cols else Window.orderBy(F.desc(BUCKET))
-    after = back.rowsBetween(Window.unboundedPreceding, -1)  # the buckets behind, as a running frame
-    carry = carry.withColumn("_prefix", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
-    c_cols: dict[str, Column] = {}
-    for name, kind, e in specs:
-        if kind == "last":
-            c_cols[f"_c_{name}"] = F.last(F.col(f"_a_{name}.v"), True).over(before)
-        elif kind == "first":
-            c_cols[f"_c_{name}"] = F.last(F.col(f"_a_{name}.v"), True).over(after)
-        elif kind == "sum":
-            c_cols[f"_c_{name}"] = F.sum(f"_a_{name}").over(before)
-        elif kind == "last_pos":
-            c_cols[f"_c_{name}"] = F.last(F.col("_prefix") + F.col(f"_a_{name}"), True).over(before)
-    if c_cols:
-        carry = carry.withColumns(c_cols)
-    carry = carry.select(*keys, "_prefix", *c_cols.keys())
-
-    if not part_cols and b.rdd.getNumPartitions() <= BROADCAST_BUCKETS:
-        carry = F.broadcast(carry)  # one small row per bucket
+    carry = _carries(carry, part_cols, [(name, kind) for name, kind, _ in specs])
+    if carry.count() <= BROADCAST_CARRIES:
+        carry = F.broadcast(carry)
     out = _null_safe_join(local, carry, keys, "_k")
     res: dict[str, Column] = {}
     for name, kind, e in specs:
@@ -157,6 +151,58 @@ def ordered_scan(
     return out.drop(*drop)
 
 
+def _carries(nodes: DataFrame, part_cols: list[str], specs: list[tuple[str, str]]) -> DataFrame:
+    """part_cols, BUCKET, _prefix (rows before) and _c_<name> of every node (see module doc)."""
+    nodes = cut_lineage(nodes.withColumns({f"_a_{n}": F.col(f"_a_{n}.v") for n, k in specs if k in ("last", "first")}))
+    fan = _conf(nodes, "fan", FAN)
+    top = nodes.agg(F.max(BUCKET)).first()[0] or 0
+    local = nodes.withColumn("_up", F.floor(F.col(BUCKET) / fan))
+    w = Window.partitionBy(*part_cols, "_up")
+    before = w.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    after = w.orderBy(F.desc(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)  # the nodes behind, as a running frame
+    local = local.withColumn("_prefix", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
+    carry: dict[str, Column] = {}
+    for n, kind in specs:
+        a = F.col(f"_a_{n}") if kind != "pos" else None
+        if kind == "last":
+            carry[f"_c_{n}"] = F.last(a, True).over(before)
+        elif kind == "first":
+            carry[f"_c_{n}"] = F.last(a, True).over(after)
+        elif kind == "sum":
+            carry[f"_c_{n}"] = F.sum(a).over(before)
+        elif kind == "last_pos":
+            carry[f"_c_{n}"] = F.last(F.col("_prefix") + a, True).over(before)
+    local = local.withColumns(carry) if carry else local
+    names = ["_prefix", *carry]
+    if top < fan:
+        return local.select(*part_cols, BUCKET, *names)
+    sums = [F.sum("_cnt").alias("_cnt")]
+    for n, kind in specs:
+        a = F.col(f"_a_{n}") if kind != "pos" else None
+        at = F.struct(F.col(BUCKET).alias("b"), (F.col("_prefix") + a if kind == "last_pos" else a).alias("v")) if a is not None else None
+        if kind in ("last", "last_pos"):
+            sums.append(F.max(F.when(a.isNotNull(), at)).alias(f"_a_{n}"))
+        elif kind == "first":
+            sums.append(F.min(F.when(a.isNotNull(), at)).alias(f"_a_{n}"))
+        elif kind == "sum":
+            sums.append(F.sum(a).alias(f"_a_{n}"))
+    local = cut_lineage(local)
+    upper = local.groupBy(*part_cols, F.col("_up").alias(BUCKET)).agg(*sums)
+    upper = upper.withColumns({f"_a_{n}": F.col(f"_a_{n}.v") for n, k in specs if k == "last_pos"})
+    upper = _carries(upper, part_cols, specs).withColumnRenamed(BUCKET, "_up")
+    out = _null_safe_join(local, upper, [*part_cols, "_up"], "_u")
+    res: dict[str, Column] = {"_prefix": F.col("_prefix") + F.col("_u_prefix")}
+    for n, kind in specs:
+        mine, theirs = F.col(f"_c_{n}"), F.col(f"_u_c_{n}")
+        if kind in ("last", "first"):
+            res[f"_c_{n}"] = F.coalesce(mine, theirs)
+        elif kind == "sum":
+            res[f"_c_{n}"] = F.when(mine.isNull(), theirs).otherwise(mine + F.coalesce(theirs, F.lit(0)))
+        elif kind == "last_pos":
+            res[f"_c_{n}"] = F.coalesce(mine + F.col("_u_prefix"), theirs)
+    return out.select(*part_cols, BUCKET, *[res[n].alias(n) for n in names])
+
+
 def fill_forward_backward(
     df: DataFrame, cols: list[str], part_cols: list[str], order_cols: list[str], n_buckets: int | None = None
 ) -> DataFrame:

@@ -1,15 +1,29 @@
 import random
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fieldspark.operators.ordered import ordered_scan
+from fieldspark.operators.ordered import bucketize, ordered_scan
 from fieldspark.operators.quantiles import quantiles
 
 
+@contextmanager
+def conf(spark, values):
+    for k, v in values.items():
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k in values:
+            spark.conf.unset(k)
+
+
 def _frame(spark, n=400, groups=3, seed=1):
     rnd = random.Random(seed)
     rows = []
@@ -49,6 +63,43 @@ def test_global_scan_without_groups(spark):
     assert (out.sort_values("rid")["pos"].diff().dropna() == 1).all()
 
 
+@pytest.mark.parametrize("fan, rows, parts", [(2, 1, 3), (3, 7, 5), (2, 0, 40), (1024, 1, 4)])
+def test_tree_of_carries(spark, fan, rows, parts):
+    """Many levels of carries give what one window a group gives, with null keys and order values too."""
+    rnd = random.Random(fan + rows)
+    data = [(i, rnd.choice(["hot", "hot", "a", None]), rnd.choice([None, *range(30)]), rnd.choice([None, None, rnd.randrange(50)])) for i in range(300)]
+    df = spark.createDataFrame(data, "rid long, g string, t long, v long").repartition(4)
+    specs = [("last", "last", F.col("v")), ("first", "first", F.col("v")), ("run", "sum", F.col("v")), ("pos", "pos", None), ("lp", "last_pos", F.col("v").isNotNull())]
+    for part in (["g"], []):
+        with conf(spark, {"fieldspark.scan.fan": fan, "fieldspark.scan.bucketRows": rows}):
+            got = ordered_scan(df, part, ["t", "rid"], specs, n_buckets=parts)
+            plan = got._jdf.queryExecution().optimizedPlan().toString()
+            got = sorted(map(tuple, got.select("rid", "last", "first", "run", "pos", "lp").collect()))
+        w = Window.partitionBy(*part).orderBy(F.col("t").asc_nulls_last(), "rid")
+        up, down = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+        n = F.row_number().over(w)
+        want = df.withColumn("n", n).select("rid", F.last("v", True).over(up), F.first("v", True).over(down), F.sum("v").over(up), "n", F.last(F.when(F.col("v").isNotNull(), F.col("n")), True).over(up))
+        assert got == sorted(map(tuple, want.collect()))
+        assert all("], [" in line for line in plan.splitlines() if "Window [" in line)  # partitioned and ordered
+
+
+def test_fills_with_a_bucket_a_row(spark):
+    from fieldspark.plans.catalog import ORACLE, QUERIES
+    from fieldspark.plans.compare import compare, duckdb_connect
+
+    con = duckdb_connect("/root/testdata/sf0.001")
+    with conf(spark, {"fieldspark.scan.fan": 16, "fieldspark.scan.bucketRows": 1}):
+        for name in ("impute_time", "impute_ffill", "gdd", "impute_categorical"):
+            assert compare(QUERIES[name](spark, "/root/testdata/sf0.001"), con, ORACLE[name])["match"], name
+
+
+def test_partitions_follow_bytes(spark):
+    df = spark.range(20_000).select("id", F.repeat(F.lit("x"), 100).alias("s"))
+    with conf(spark, {"fieldspark.scan.partitionBytes": 1 << 18}):
+        assert 7 <= bucketize(df, [], ["id"]).rdd.getNumPartitions() <= 9
+    assert bucketize(df, [], ["id"]).rdd.getNumPartitions() == 1
+
+
 def _np_quant(vals, p):
     return float(np.quantile(np.array(vals, dtype=float), p))
 
