@@ -89,6 +89,32 @@ _CLEAN_CHAIN = (
 )
 
 
+from fieldspark.streaming import incremental as INC  # noqa: E402
+from fieldspark.streaming import state as ST  # noqa: E402
+
+MERGED_PLAN = OBS_PLAN.with_(categorical_columns=(), missing_strategy="mean", outlier_method="zscore")
+
+
+@register(
+    "clean_merged_state",
+    with_ctes(
+        OBS_SQL,
+        """b AS (SELECT rid, CASE WHEN temp < -30.0 OR temp > 60.0 THEN NULL ELSE temp END AS temp, CASE WHEN humidity < 0.0 OR humidity > 100.0 THEN NULL ELSE humidity END AS humidity FROM obs)""",
+        """s AS (SELECT avg(temp) AS mt, stddev_samp(temp) AS st, avg(humidity) AS mh, stddev_samp(humidity) AS sh FROM b)""",
+        """o AS (SELECT rid, CASE WHEN abs(temp - mt) / st > 3.0 THEN NULL ELSE temp END AS temp, CASE WHEN abs(humidity - mh) / sh > 3.0 THEN NULL ELSE humidity END AS humidity FROM b, s)""",
+        """m AS (SELECT avg(temp) AS ft, avg(humidity) AS fh FROM o)""",
+    )
+    + "SELECT rid, ROUND(COALESCE(temp, ft), 6) AS temp, ROUND(COALESCE(humidity, fh), 6) AS humidity FROM o, m",
+)
+def q_clean_merged_state(spark, d):
+    """Statistics of three batches, each read alone; their merged states clean all rows."""
+    df = obs(spark, d)
+    batches = [df.where(F.pmod("rid", F.lit(3)) == k) for k in range(3)]
+    limits = ST.outliers_of(ST.merge_states(*[ST.raw_state(b, MERGED_PLAN) for b in batches]), MERGED_PLAN)
+    frozen = ST.freeze_merged(ST.merge_states(*[ST.kept_state(b, MERGED_PLAN, limits) for b in batches]), MERGED_PLAN, limits)
+    return INC.apply_frozen(df, frozen).select("rid", r6("temp").alias("temp"), r6("humidity").alias("humidity"))
+
+
 @register("clean_full", _CLEAN_CHAIN + "SELECT rid, date, field_id, crop, temp, humidity, day FROM d WHERE rn = 1")
 def q_clean_full(spark, d):
     return clean(obs(spark, d), OBS_PLAN).df
@@ -490,6 +516,26 @@ def q_histogram_before_after(spark, d):
     return P.histogram_before_after(before, clean(before, OBS_PLAN).df, ["temp", "humidity"], 20)
 
 
+from fieldspark.operators import density as DE  # noqa: E402
+
+
+@register(
+    "density_before_after",
+    _BEFORE_AFTER_SQL
+    + f""", fit AS (SELECT state, "column", count(*) AS n, stddev_samp(v) * power(count(*), -0.2) AS h, min(v) AS lo, max(v) AS hi FROM l GROUP BY state, "column"),
+g AS (SELECT *, lo - {DE.CUT} * h AS x0, (hi - lo + {2 * DE.CUT} * h) / {DE.GRID - 1} AS step FROM fit),
+pl AS (SELECT l.state, l."column", (v - x0) / step AS u, least(CAST(floor((v - x0) / step) AS INTEGER), {DE.GRID - 2}) AS i FROM l JOIN g ON l.state = g.state AND l."column" = g."column"),
+w AS (SELECT state, "column", i, sum(w) AS w FROM (SELECT state, "column", i, 1 - (u - i) AS w FROM pl UNION ALL SELECT state, "column", i + 1, u - i FROM pl) GROUP BY ALL)
+SELECT g.state, g."column", CAST(p AS INTEGER) AS point, ROUND(x0 + p * step, 6) AS x,
+       ROUND(sum(w * exp(-power((p - i) * step / h, 2) / 2)) / (n * h * sqrt(2 * pi())), 8) AS density
+FROM g JOIN w ON g.state = w.state AND g."column" = w."column", range({DE.GRID}) r(p) GROUP BY g.state, g."column", p, x0, step, n, h""",
+)
+def q_density_before_after(spark, d):
+    before = obs(spark, d)
+    out = DE.density_before_after(before, clean(before, OBS_PLAN).df, ["temp", "humidity"])
+    return out.select("state", "column", "point", r6("x").alias("x"), F.round("density", 8).alias("density"))
+
+
 @register(
     "raw_anomaly_counts",
     with_ctes(HARVEST_SQL)
@@ -696,6 +742,26 @@ def q_correlation_matrix(spark, d):
     return c.select("feature_i", "feature_j", (r6("corr") + F.lit(0.0)).alias("corr"))
 
 
+from fieldspark.operators import gram as GR  # noqa: E402
+
+_WIDE = [f"f{k}" for k in range(40)]
+_WIDE_SQL = ", ".join(f"CAST((l_partkey * {7 * k + 3} + l_linenumber * {k}) % {11 + k} AS DOUBLE) + l_quantity * {k % 5} AS f{k}" for k in range(40))
+
+
+@register(
+    "correlation_blocks",
+    f"WITH w AS (SELECT {_WIDE_SQL} FROM lineitem), c AS (SELECT "
+    + ", ".join(f"corr({a}, {b}) AS {a}_{b}" for a in _WIDE for b in _WIDE if a <= b)
+    + " FROM w), l AS (UNPIVOT c ON COLUMNS(*) INTO NAME k VALUE corr), s AS (SELECT string_split(k, '_') AS k, ROUND(corr, 6) + 0.0 AS corr FROM l)\n"
+    "SELECT k[1] AS feature_i, k[2] AS feature_j, corr FROM s UNION ALL SELECT k[2], k[1], corr FROM s WHERE k[1] <> k[2]",
+)
+def q_correlation_blocks(spark, d):
+    """40 features of the line items, in blocks of 16 columns."""
+    wide = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr(*_WIDE_SQL.split(", "))
+    c = GR.correlation_table(wide, _WIDE, block=16)
+    return c.select("feature_i", "feature_j", (r6("corr") + F.lit(0.0)).alias("corr"))
+
+
 _RIDGE_SQL = with_ctes(
     HARVEST_SQL,
     _std_sql(["ph", "temp"]),
