@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.session import cut_lineage, ship  # noqa: F401 - ship is imported from here
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 BLOCK_BYTES = 1 << 20
 _P = 0x9E3779B97F4A7C15
 _Q = 0xD6E8FEB86659FD93
@@ -45,6 +46,17 @@ def slices(batches, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.Re
             end = max(int(np.searchsorted(total, base + max_bytes, "right")), at + 1)
             yield b.slice(at, end - at)
             at = end
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Spark's Python workers live on and serve later stages, and
+    without this each keeps the peak of all tasks so far."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
 
 
 def mix(x: np.ndarray) -> np.ndarray:

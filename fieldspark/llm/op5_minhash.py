@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import bitmap_of, in_bitmap, mix, shingles, ship, slices, table, text_of, without, word_hashes
+from fieldspark.llm.common import bitmap_of, give_back, in_bitmap, mix, shingles, ship, slices, table, text_of, without, word_hashes
 from fieldspark.session import cut_lineage
 
 SHINGLE = 5
@@ -236,6 +236,7 @@ def tile_links(docs: DataFrame, rows: DataFrame, weights, threshold: float) -> D
             return t.select(["node", "node"]).slice(0, 0).rename_columns(["a", "b"])
         labels = pa.concat_tables([a, b]).column("label").combine_chunks().dictionary_encode().indices.to_numpy()
         i, j = np.nonzero(similar(va, vb, weights.value, threshold) & (labels[: len(va), None] != labels[None, len(va) :]))
+        give_back()
         return pa.table({"a": a.column("node").take(pa.array(i)), "b": b.column("node").take(pa.array(j))})
 
     found = tiles.select("tile", "side", "node", "label", "text").groupBy("tile").applyInArrow(run, f"a {kind}, b {kind}")
