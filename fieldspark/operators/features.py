@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from fieldspark.functions.columns import is_finite, schema_hash
 from fieldspark.operators.ordered import global_position
+from fieldspark.session import cut_lineage
 from fieldspark.operators.quantiles import quantiles
 
 # --- fixed values (must equal the reference's behaviour) --------------------------------------
@@ -91,6 +92,34 @@ def label_encode(df: DataFrame, cols: list[str], suffix: str = "_code", categori
     return out
 
 
+FREQUENT = 256  # values that are looked up by broadcast at most
+TRACKED = 8192  # values that the summary of frequent values counts at a time
+
+
+def frequent_values(df: DataFrame, value: Column, most: int = FREQUENT) -> DataFrame:
+    """(value): at most ``most`` of the most frequent texts of ``df``, from one pass with Spark's mergeable
+    summary. Any value on more than 2 / TRACKED of all rows is among the first it keeps."""
+    top = df.select(value.alias("value")).agg(F.expr(f"approx_top_k(value, {most}, {TRACKED})").alias("t"))
+    return top.select(F.explode("t").alias("t")).select(F.col("t.item").alias("value"))
+
+
+def label_encode_skewed(df: DataFrame, cols: list[str], suffix: str = "_code", categories: DataFrame | None = None) -> DataFrame:
+    """``label_encode`` for columns of many categories of which a few fill most rows: rows with one of
+    the FREQUENT most frequent values take their code by broadcast and stay where they are; the others
+    move to the table of all categories, at most a small share of all rows for each value."""
+    out = df
+    for c in cols:
+        fitted = cut_lineage(categories.where(F.col("column") == c).select("value", "code") if categories is not None else fit_categories(df, c))
+        cats = fitted.select(F.col("value").alias("_v"), F.col("code").alias(c + suffix))
+        often = cut_lineage(frequent_values(df, category_text(c)))
+        first = F.broadcast(often.join(fitted, "value", "left").select(F.col("value").alias("_f"), F.col("code").alias("_fc")))
+        marked = out.join(first, category_text(out[c]) == F.col("_f"), "left")
+        held = marked.where("_f is not null").withColumn(c + suffix, F.col("_fc")).drop("_f", "_fc")
+        rest = marked.where("_f is null").drop("_f", "_fc")
+        out = held.unionByName(rest.join(cats, category_text(rest[c]) == cats["_v"], "left").drop("_v"))
+    return out
+
+
 def onehot_categories(df: DataFrame, col: str) -> list[str]:
     """Sorted category texts: they name the columns of the wide form."""
     return [r["v"] for r in df.select(category_text(col).alias("v")).distinct().orderBy("v").collect()]

@@ -627,6 +627,18 @@ def q_label_encode(spark, d):
     return FE.label_encode(harvest(spark, d), ["crop", "field_id"]).select("rid", "crop", "field_id", "crop_code", "field_id_code")
 
 
+@register(
+    "label_encode_skewed",
+    """WITH v AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'hot' WHEN event_id % 101 = 0 THEN NULL ELSE event_type || ':' || event_id END AS tag FROM events)
+SELECT event_id, tag, CAST(dense_rank() OVER (ORDER BY COALESCE(tag, 'nan')) - 1 AS INTEGER) AS tag_code FROM v""",
+)
+def q_label_encode_skewed(spark, d):
+    """One value on half of all rows, and about as many others as there are rows."""
+    e = F.col("event_id")
+    tag = F.when(e % 2 == 0, "hot").when(e % 101 == 0, None).otherwise(F.concat_ws(":", "event_type", "event_id"))
+    return FE.label_encode_skewed(spark.read.parquet(f"{d}/events.parquet").select("event_id", tag.alias("tag")), ["tag"])
+
+
 @register(
     "onehot_encode",
     with_ctes(HARVEST_SQL)
@@ -1343,6 +1355,37 @@ def q_ingest_dates_mixed(spark, d):
     return _label(_mixed(spark, d).df).select("source_file", "field_id", "date")
 
 
+_ORDERED_SQL = """WITH r AS (SELECT CAST(floor(o_orderkey / 1000.0) AS BIGINT) AS f, o_orderkey AS k, o_orderdate AS d FROM orders),
+o AS (SELECT 'file_id=' || f AS source_file, f, k, d, count(*) FILTER (WHERE day(d) > 12) OVER (PARTITION BY f) AS telling FROM r)
+"""
+
+
+@register(
+    "ingest_date_order",
+    _ORDERED_SQL
+    + """SELECT source_file, CAST(k AS VARCHAR) AS field_id, CASE WHEN f % 3 = 2 OR telling = 0 THEN 'ambiguous' WHEN f % 3 = 0 THEN 'day' ELSE 'month' END AS date_order,
+  CAST(CASE WHEN f % 3 = 2 THEN make_date(year(d), month(d), CAST(1 + k % 12 AS BIGINT)) WHEN f % 3 = 1 AND telling = 0 THEN make_date(year(d), day(d), month(d)) ELSE CAST(d AS DATE) END AS TIMESTAMP) AS date FROM o""",
+)
+def q_ingest_date_order(spark, d):
+    """Files with the day first, the month first, or nothing that tells: each read in its own order."""
+    res = IN.ingest(spark, FF.write_ordered_files(spark, d), ("date", "field_id", "temp"))
+    rows = res.df.join(res.files.select("source_file", "date_order"), "source_file")
+    return _label(rows).select("source_file", "field_id", "date_order", "date")
+
+
+@register(
+    "ingest_split_ranges",
+    _MIXED_SQL
+    + """, line AS (SELECT source_file, k, dt || ',' || k || ',' || raw_temp || CASE WHEN short THEN '' WHEN quoted THEN ',"' || note || '"' ELSE ',' || note END || CASE WHEN long THEN ',oltre' ELSE '' END AS line FROM mx
+  UNION ALL SELECT DISTINCT source_file, -1, 'date,field_id,temp,note' FROM mx)
+SELECT source_file, CAST(row_number() OVER (PARTITION BY source_file ORDER BY k) - 1 AS BIGINT) AS line_no, line FROM line""",
+)
+def q_ingest_split_ranges(spark, d):
+    """Records of files cut into ranges of 700 bytes, some of them inside quoted line breaks."""
+    lines = file_records(spark, FF.write_mixed_files(spark, d), range_bytes=700)
+    return _label(lines).select("source_file", F.col("line_no").cast("bigint").alias("line_no"), "line")
+
+
 @register(
     "ingest_missing_cells",
     _MIXED_SQL + "SELECT CAST(k AS VARCHAR) AS field_id, temp, note, short OR long AS malformed FROM mx WHERE date IS NOT NULL",

@@ -134,6 +134,25 @@ def write_mixed_files(spark: SparkSession, sf_dir: str) -> str:
     return out
 
 
+def write_ordered_files(spark: SparkSession, sf_dir: str) -> str:
+    """Comma files of ``orders`` with the day first, with the month first, and with days up to 12 only (by
+    file number); returns the folder."""
+    key = (spark.sparkContext.applicationId, f"ordered:{sf_dir}")
+    if key in _CACHE:
+        return _CACHE[key]
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    f = F.floor(k / F.lit(FILE_ROWS)).cast("bigint")
+    low = F.concat(F.lpad((1 + k % 12).cast("string"), 2, "0"), F.date_format(day, "/MM/yyyy"))
+    date = F.when(f % 3 == 0, F.date_format(day, "dd/MM/yyyy")).when(f % 3 == 1, F.date_format(day, "MM/dd/yyyy")).otherwise(low)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    lines = orders.select(f.alias("file_id"), k.alias("ord"), F.concat_ws(",", date, k.cast("string"), F.lit("1")).alias("line"))
+    head = orders.select(f.alias("file_id"), F.lit(-1).cast("bigint").alias("ord"), F.lit("date,field_id,temp").alias("line")).distinct()
+    out = scratch_path(spark, "ordered-files")
+    lines.unionByName(head).repartition("file_id").sortWithinPartitions("file_id", "ord").select("file_id", "line").write.partitionBy("file_id").text(out)
+    _CACHE[key] = out
+    return out
+
+
 def file_label(source_file: Column) -> Column:
     """'file_id=N' from a relative path written by ``write_field_files``."""
     return F.regexp_extract(source_file, r"(file_id=[0-9]+)", 1)

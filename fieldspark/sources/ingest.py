@@ -12,8 +12,8 @@ Pipeline (every step a Spark job over all files at once, not a driver loop over
 6. ``parse_rows``   data lines after the header -> map(name -> cell) -> one column per name
    (outer union by name: a file without a column gives NULLs)
 7. ``validate``     per-file required-column check; ``raise`` or ``skip`` (left-semi on good files)
-8. date normalisation (Excel serials, text formats); rows without a valid date are
-   not in ``df``; ``rejected`` lists them, and lines with too few or too many cells, with a reason.
+8. date normalisation (Excel serials, text formats, the order of day and month by file: see ``dates``);
+   rows without a valid date are not in ``df``; ``rejected`` lists them, and lines with too few or too many cells, with a reason.
 
 Row identity is explicit: ``(source_file, line_no)``, also as the text ``rid``.
 """
@@ -26,8 +26,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldspark.functions.columns import missing_to_null, name_normalise, normalise_date
+from fieldspark.functions.columns import missing_to_null, name_normalise
 from fieldspark.session import cut_lineage, ensure_checkpoint_dir
+from fieldspark.sources.dates import date_orders, parse_ordered
 from fieldspark.sources.ranges import RANGE_BYTES, file_records, load_ranges
 
 # --- fixed values (must equal the reference's behaviour) --------------------------------------
@@ -145,7 +146,7 @@ def parse_rows(lines: DataFrame, layout: DataFrame, header_lines: DataFrame, cat
 @dataclass
 class IngestResult:
     df: DataFrame  # validated rows, one column per name (text), provenance, ``malformed`` flag
-    files: DataFrame  # (source_file, file_hash, sep, header_line, n_columns, missing, ok, reason)
+    files: DataFrame  # (source_file, file_hash, sep, header_line, n_columns, missing, ok, reason[, date_order])
     catalog: DataFrame  # (source_file, pos, header, name)
     rejected: DataFrame  # (source_file, line_no, reason, raw_line): lines that are not in ``df`` as a whole
 
@@ -160,6 +161,7 @@ def ingest(
     on_error: str = "raise",
     normalise_dates: bool = True,
     range_bytes: int = RANGE_BYTES,
+    infer_date_order: bool = True,
 ) -> IngestResult:
     """Load every delimited file below ``path`` into one table (see module doc). Files are cut into
     ranges of ``range_bytes``, so that one file of any size is read by many tasks; each step reads them
@@ -211,8 +213,13 @@ def ingest(
     ).join(hashes, "source_file")
     no_date = F.lit(False)
     if normalise_dates and "date" in all_names:
-        no_date = normalise_date(F.col("cells").getItem("date")).isNull()
-        out = out.withColumn("date", normalise_date(F.col("date"))).where(F.col("date").isNotNull())
+        cell, order = F.col("cells").getItem("date"), F.lit(None).cast("string")
+        if infer_date_order:
+            orders = cut_lineage(date_orders(rows.select("source_file", cell.alias("cell")), ["source_file"]).select("source_file", "date_order"))
+            rows, out, report = (x.join(orders, "source_file", "left") for x in (rows, out, report))
+            order = F.col("date_order")
+        no_date = parse_ordered(cell, order).isNull()
+        out = out.withColumn("date", parse_ordered(F.col("date"), order)).where(F.col("date").isNotNull()).drop("date_order")
     reason = F.when(no_date, F.lit("no readable date")).when(F.size("extra_cells") > 0, F.lit("more cells than the header")).when(F.col("malformed"), F.lit("fewer cells than the header"))
     rejected = rows.select("source_file", "line_no", reason.alias("reason"), "raw_line").where(F.col("reason").isNotNull())
     return IngestResult(out, report, catalog, rejected)

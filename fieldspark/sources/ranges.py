@@ -31,7 +31,7 @@ from fieldspark.session import cut_lineage, ship
 
 RANGE_BYTES = 128 << 20
 READ_BYTES = 1 << 20  # a task holds one block of so many bytes, and the line that it is in
-PACKED_RANGES = 512  # small files share a task, so many at most
+PACKED_RANGES, PACKED_BYTES = 512, 1 << 20  # small files or ranges share a task up to these (and a range's size)
 
 SCHEMAS = {
     "lines": "source_file string, range_no int, pos long, line binary, odd_before boolean, odd_after boolean, k0 long, k1 long",
@@ -118,7 +118,7 @@ class RangeReader(DataSourceReader):
         for name, path, size in self.files():
             for number, first in enumerate(range(0, max(size, 1), cut)):
                 end = min(first + cut, size)
-                if part and (held + end - first > self.range_bytes or len(part) >= PACKED_RANGES):
+                if part and (held + end - first > max(self.range_bytes, PACKED_BYTES) or len(part) >= PACKED_RANGES):
                     out.append(Ranges(tuple(part)))
                     part, held = [], 0
                 part.append((name, path, number, first, end))

@@ -84,7 +84,14 @@ def test_no_row_holds_a_file(spark, folder):
     states = {(r["source_file"], r["range_no"]): r for r in range_states(ranges).collect()}
     assert not states["b.csv", 0]["paired"] and states["a.csv", 0]["paired"]
     assert not states["c.txt", 0]["utf8"] and states["f.csv", 3]["odd_start"] and states["f.csv", 3]["records_before"] == 0
-    assert load_ranges(spark, path, "lines", 100).rdd.getNumPartitions() > 30
+    longest = load_ranges(spark, path, "lines", 100).agg(F.max(F.octet_length("line"))).first()[0]
+    assert longest == max(len(x) for raw in files.values() for x in raw.split(b"\n"))
+
+
+def test_a_large_file_is_read_by_many_tasks(spark, tmp_path):
+    (tmp_path / "big.csv").write_bytes(b"0123456789\n" * 800_000)
+    lines = load_ranges(spark, str(tmp_path), "lines", 1 << 20)
+    assert lines.rdd.getNumPartitions() == 9 and lines.count() == 800_000
 
 
 def test_digests(spark, folder):
