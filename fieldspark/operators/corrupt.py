@@ -71,10 +71,9 @@ def inject_errors(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
 def inject_duplicates(df: DataFrame, key: str, rate: float = DUPLICATE_RATE, seed: int = 42, copy_col: str = "copy") -> DataFrame:
     """Append ``int(n * rate)`` copies of distinct rows (least hashes, no replacement); ``copy_col``
     is 0 for originals and 1 for the appended copies. Rows of one key are copied together."""
-    k = int(df.count() * rate)
     base = df.withColumn(copy_col, F.lit(0))
-    if k == 0:
-        return base
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("dup"), F.col(key).cast("string")))
-    (last,) = hash_boundaries(df, h, [k])
+    _, (last,) = hash_boundaries(df, h, lambda n: [int(n * rate)])
+    if not last:
+        return base
     return base.unionByName(df.where(h <= F.lit(last)).withColumn(copy_col, F.lit(1)))

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.operators.quantiles import order_statistics
-
 
 def split_sizes(n: int, ratios: tuple[float, float, float]) -> tuple[int, int, int]:
     """``floor(n * train)`` rows for train; of the rest ``floor(rest * val / (val + test))`` for val."""
@@ -25,34 +24,53 @@ def split_hash(key: str, seed: int = 42) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
 
 
-def hash_boundaries(df: DataFrame, hashed: Column, positions: list[int]) -> list[str]:
-    """The md5 texts at the given 1-based positions of the ascending order ('' for position 0).
+DIGITS = 4  # hexadecimal digits that a counting pass looks at: 65 536 counts come to the driver
+FEW = 100_000  # rows of a range of hashes whose whole texts are counted
+
+
+def hash_boundaries(df: DataFrame, hashed: Column, positions: Callable[[int], list[int]]) -> tuple[int, list[str]]:
+    """The number of rows, and the hash texts at the 1-based ``positions`` (a function of that number) of
+    the ascending order ('' for position 0).
 
-    Positions are found by counting, so no row moves: order statistics of the first 13 digits (52
-    bits, exact as doubles), then the whole texts of the few rows that share those digits.
+    Positions are found by counting, so no row moves: the first pass counts rows by their first
+    digits, each further one looks at the next digits within the ranges that hold a position. Hashes
+    are uniform, so up to some billion rows a second pass already counts the texts themselves.
     """
     h = df.select(hashed.alias("h"))
-    lead = F.conv(F.substring("h", 1, 13), 16, 10).cast("double")
-    row = h.agg(F.count(lead).alias("n"), F.min(lead).alias("lo"), F.max(lead).alias("hi")).first()
-    wanted = sorted({p - 1 for p in positions if p > 0})
-    if not wanted:
-        return ["" for _ in positions]
-    got = order_statistics(h, {"h": lead}, {"h": set(wanted)}, {"h": (row["n"], row["lo"], row["hi"])})
-    leads = sorted({got["h", r] for r in wanted})
-    below = h.agg(*[F.count_if(lead < F.lit(v)).alias(f"b{i}") for i, v in enumerate(leads)]).first()
-    shared: dict[float, list] = {}
-    for r in h.where(lead.isin(leads)).groupBy("h", lead.alias("lead")).count().orderBy("h").collect():
-        shared.setdefault(r["lead"], []).append((r["h"], r["count"]))
-    at: dict[int, str] = {}
-    for rank in wanted:
-        i = leads.index(got["h", rank])
-        passed = below[f"b{i}"]
-        for text, n in shared[leads[i]]:
-            passed += n
-            if rank < passed:
-                at[rank] = text
-                break
-    return [at[p - 1] if p > 0 else "" for p in positions]
+
+    def counts(depth: int, ranges: set[str]) -> list:
+        rows = h.where(F.substring("h", 1, depth).isin(*ranges)) if depth else h
+        return rows.groupBy(F.substring("h", 1, depth + DIGITS).alias("k")).count().orderBy("k").collect()
+
+    found = counts(0, set())
+    n = sum(r["count"] for r in found)
+    wanted = positions(n)
+    at = {p: ("", 0) for p in wanted if p > 0}  # position -> (first digits, rows before that range)
+    depth = 0
+    while at:
+        size: dict[str, int] = {}
+        for p, (range_, passed) in at.items():
+            for r in found:
+                if r["k"].startswith(range_):
+                    if passed + r["count"] >= p:
+                        at[p] = (r["k"], passed)
+                        size[r["k"]] = r["count"]
+                        break
+                    passed += r["count"]
+        depth += DIGITS
+        if max(size.values()) <= FEW or depth >= 32:
+            break
+        found = counts(depth, set(size))
+    texts = h.where(F.substring("h", 1, depth).isin(*{k for k, _ in at.values()})).groupBy("h").count().orderBy("h").collect() if at else []
+    out: dict[int, str] = {}
+    for p, (range_, passed) in at.items():
+        for r in texts:
+            if r["h"].startswith(range_):
+                passed += r["count"]
+                if passed >= p:
+                    out[p] = r["h"]
+                    break
+    return n, [out.get(p, "") for p in wanted]
 
 
 def split_exact(df: DataFrame, key: str, ratios=(0.7, 0.2, 0.1), seed: int = 42, col: str = "split") -> DataFrame:
@@ -61,9 +79,14 @@ def split_exact(df: DataFrame, key: str, ratios=(0.7, 0.2, 0.1), seed: int = 42,
     Each row is labelled by comparing its hash with the hashes at the two boundaries, so no row is
     shuffled. Sizes are exact where keys are unique; rows of one key stay together, in the earlier
     part where a boundary falls among them."""
-    n_train, n_val, _ = split_sizes(df.count(), ratios)
+    split_sizes(0, ratios)  # checks them
     h = split_hash(key, seed)
-    last_train, last_val = hash_boundaries(df, h, [n_train, n_train + n_val])
+
+    def ends(n: int) -> list[int]:
+        n_train, n_val, _ = split_sizes(n, ratios)
+        return [n_train, n_train + n_val]
+
+    _, (last_train, last_val) = hash_boundaries(df, h, ends)
     return df.withColumn(col, F.when(h <= F.lit(last_train), "train").when(h <= F.lit(last_val), "val").otherwise("test"))
 
 

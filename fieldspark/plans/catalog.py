@@ -754,6 +754,28 @@ def q_correlation_matrix(spark, d):
     return c.select("feature_i", "feature_j", (r6("corr") + F.lit(0.0)).alias("corr"))
 
 
+from fieldspark.operators import sparse as SR  # noqa: E402
+
+
+@register(
+    "ridge_sparse",
+    with_ctes(
+        HARVEST_SQL,
+        "c AS (SELECT COALESCE(field_id, 'nan') AS value, count(*) AS n, avg(yield) AS y FROM harvest WHERE yield IS NOT NULL GROUP BY 1)",
+        "b AS (SELECT sum(n / (n + 1.0) * y) / sum(n / (n + 1.0)) AS b FROM c)",
+    )
+    + """SELECT 'field_id' AS "column", value, ROUND(n * (y - b) / (n + 1.0), 6) + 0.0 AS weight FROM c, b
+UNION ALL SELECT NULL, NULL, ROUND(b, 6) FROM b""",
+)
+def q_ridge_sparse(spark, d):
+    """Yield by plot: for one encoded column the ridge weights are known in closed form."""
+    h = harvest(spark, d)
+    cats = FE.category_table(h, ["field_id"])
+    rows = FE.onehot_sparse(h, ["field_id"], cats)
+    out = SR.ridge_weights(rows.where("yield is not null"), cats.select("column", "value", F.col("code").alias("slot")), "onehot_indices", "yield")
+    return out.select("column", "value", (r6("weight") + F.lit(0.0)).alias("weight"))
+
+
 from fieldspark.operators import gram as GR  # noqa: E402
 
 _WIDE = [f"f{k}" for k in range(40)]
