@@ -92,6 +92,7 @@ def label_encode(df: DataFrame, cols: list[str], suffix: str = "_code", categori
     return out
 
 
+WIDE_CATEGORIES = 1000  # columns that the wide one-hot form makes at most
 FREQUENT = 256  # values that are looked up by broadcast at most
 TRACKED = 8192  # values that the summary of frequent values counts at a time
 
@@ -121,8 +122,12 @@ def label_encode_skewed(df: DataFrame, cols: list[str], suffix: str = "_code", c
 
 
 def onehot_categories(df: DataFrame, col: str) -> list[str]:
-    """Sorted category texts: they name the columns of the wide form."""
-    return [r["v"] for r in df.select(category_text(col).alias("v")).distinct().orderBy("v").collect()]
+    """Sorted category texts: they name the columns of the wide form, WIDE_CATEGORIES at most. A column with
+    more raises an error; ``onehot_sparse`` encodes any number."""
+    found = [r["v"] for r in df.select(category_text(col).alias("v")).distinct().limit(WIDE_CATEGORIES + 1).collect()]
+    if len(found) > WIDE_CATEGORIES:
+        raise ValueError(f"{col!r} has more than {WIDE_CATEGORIES} categories; use onehot_sparse")
+    return sorted(found)
 
 
 def onehot_sparse(df: DataFrame, cols: list[str], categories: DataFrame | None = None) -> DataFrame:

@@ -6,12 +6,12 @@ aggregate expression per column and unpivoting the single result row with ``stac
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldspark.operators.quantiles import quantiles_with_stats
+from fieldspark.session import cut_lineage
 
 BOX_WHISKER = 1.5
 
@@ -49,6 +49,20 @@ def null_ratio_table(df: DataFrame, threshold: float = 0.5, cols: list[str] | No
     return out.withColumn("dropped", F.col("null_ratio") > F.lit(float(threshold)))
 
 
+def _text_tops(df: DataFrame, cols: list[str]) -> dict[str, dict]:
+    """unique, top (ties: the least value) and freq of every text column: one aggregation of (column,
+    value) pairs for all of them, which a task's partial counts shrink before the shuffle."""
+    out: dict[str, dict] = {c: {"unique": 0, "top": None, "freq": None} for c in cols}
+    if not cols:
+        return out
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])
+    counts = df.select(F.explode(each).alias("r")).where("r.value is not null").groupBy("r.column", "r.value").agg(F.count(F.lit(1)).alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("neg"), F.col("value")))
+    for r in counts.groupBy("column").agg(F.count(F.lit(1)).alias("unique"), best.alias("b")).collect():  # a row a column
+        out[r["column"]] = {"unique": r["unique"], "top": r["b"]["value"], "freq": -r["b"]["neg"]}
+    return out
+
+
 def describe(df: DataFrame, cols: list[str] | None = None, digits: int = 3) -> DataFrame:
     """describe(include='all'): numeric columns get count/mean/std/min/quartiles/max, text
     columns count/unique/top/freq (most frequent value, ties to the smallest value)."""
@@ -62,8 +76,6 @@ def describe(df: DataFrame, cols: list[str] | None = None, digits: int = 3) -> D
         if c in num:
             v = F.col(c).cast("double")
             aggs += [F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"), F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}")]
-        else:
-            aggs.append(F.count_distinct(c).alias(f"u{i}"))
     row = df.agg(*aggs).first()
     stats = {c: (row[f"n{cols.index(c)}"], row[f"mn{cols.index(c)}"], row[f"mx{cols.index(c)}"]) for c in num}
     q = quantiles_with_stats(df, {c: F.col(c) for c in num}, [0.25, 0.5, 0.75], stats)
@@ -74,20 +86,9 @@ def describe(df: DataFrame, cols: list[str] | None = None, digits: int = 3) -> D
         if c in num:
             vals = [row[f"m{i}"], row[f"s{i}"], row[f"mn{i}"]] + q[c] + [row[f"mx{i}"]]
             rec.update(zip(["mean", "std", "min", "p25", "p50", "p75", "max"], vals))
-        else:
-            rec["unique"] = row[f"u{i}"]
         recs.append(rec)
-    for c in txt:  # most frequent value: partial aggregation, then a distributed top-1
-        top = (
-            df.where(F.col(c).isNotNull())
-            .groupBy(F.col(c).cast("string").alias("top"))
-            .agg(F.count(F.lit(1)).alias("freq"))
-            .orderBy(F.col("freq").desc(), F.col("top").asc())
-            .limit(1)
-            .collect()
-        )
-        rec = recs[cols.index(c)]
-        rec["top"], rec["freq"] = (top[0]["top"], top[0]["freq"]) if top else (None, None)
+    for c, tops in _text_tops(df, txt).items():
+        recs[cols.index(c)].update(tops)
     stat_names = ["mean", "std", "min", "p25", "p50", "p75", "max"]
     schema = T.StructType(
         [T.StructField("column", T.StringType()), T.StructField("count", T.LongType()), T.StructField("unique", T.LongType())]
@@ -123,7 +124,7 @@ def labelled_union(before: DataFrame, after: DataFrame, cols: list[str]) -> Data
 def boxplot_stats(before: DataFrame, after: DataFrame, cols: list[str]) -> DataFrame:
     """Five-number box per (state, column): quartiles, whiskers at the furthest points within
     1.5 IQR of the box, and the number of fliers outside the whiskers."""
-    u = labelled_union(before, after, cols).persist(StorageLevel.MEMORY_AND_DISK)  # 4 passes read it
+    u = cut_lineage(labelled_union(before, after, cols))  # 4 passes read it
     targets: dict[str, Column] = {}
     for st in ("before", "after"):
         for c in cols:
@@ -161,7 +162,7 @@ def boxplot_stats(before: DataFrame, after: DataFrame, cols: list[str]) -> DataF
 
 def histogram_before_after(before: DataFrame, after: DataFrame, cols: list[str], bins: int = 20) -> DataFrame:
     """Fixed-width histogram per (column, state) over the column's combined [min, max]."""
-    u = labelled_union(before, after, cols).persist(StorageLevel.MEMORY_AND_DISK)  # range pass + counts
+    u = cut_lineage(labelled_union(before, after, cols))  # range pass + counts
     row = u.agg(*[F.min(c).alias(f"mn{i}") for i, c in enumerate(cols)], *[F.max(c).alias(f"mx{i}") for i, c in enumerate(cols)]).first()
     items = []
     for i, c in enumerate(cols):

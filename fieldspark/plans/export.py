@@ -1,7 +1,8 @@
 """Sinks: feature bundle (Parquet, one folder per split), JSON manifest, runs table, report tables.
 
-Everything heavy is written by executors; only small aggregates (per-feature statistics, the
-d x d correlation matrix, split counts, diagnostics) are assembled on the driver for the manifest.
+Everything heavy is written by executors; only small aggregates (per-feature statistics, correlations
+of up to MANIFEST_FEATURES features, split counts, diagnostics) are assembled on the driver for the
+manifest.
 """
 
 from __future__ import annotations
@@ -12,15 +13,18 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldspark.operators import features as FE
+from fieldspark.operators import gram as GR
 from fieldspark.operators import model as MO
 from fieldspark.operators import profile as P
 from fieldspark.operators import split as SP
 
 SCHEMA_VERSION = 1
+MANIFEST_FEATURES = 64  # features whose correlations stand in the manifest itself
 
 
 @dataclass
@@ -51,8 +55,10 @@ def build_manifest(
     preset: dict | None = None,
     files: list[tuple[str, str]] | None = None,
     encoding: str = "label",
+    correlations_path: str | None = None,
 ) -> dict:
-    """Statistics and correlations are those of the written features, encoded ones included; the
+    """Statistics and correlations are those of the written features, encoded ones included; those of
+    more than MANIFEST_FEATURES are written as a table, which the manifest names. The
     lock hash covers the input columns. Categories are named by the written table at any number."""
     num = [c for c in feature_names if c in params.columns]
     flat = stored.select(*[F.col("features")[i].cast("double").alias(c) for i, c in enumerate(feature_names)])
@@ -65,8 +71,11 @@ def build_manifest(
             "name": c, "index": i, "unit": unit, "description": desc, "normalized": True,
             "stats": None if r is None else {"mean": r["mean"], "std": r["std"], "min": r["min"], "max": r["max"]},
         })
-    corr: dict[str, dict[str, float | None]] = {}
-    if len(feature_names) > 1:
+    corr: dict = {}
+    if len(feature_names) > MANIFEST_FEATURES and correlations_path:
+        GR.correlation_table(flat, feature_names).write.mode("overwrite").parquet(correlations_path)
+        corr = {"table": correlations_path}
+    elif len(feature_names) > 1:
         for r in MO.correlation_matrix(flat, feature_names).collect():
             corr.setdefault(r["feature_i"], {})[r["feature_j"]] = r["corr"]
     mappings: dict = {}
@@ -147,7 +156,7 @@ def export_bundle(
     counts = None
     if split_col:
         counts = {r["split"]: r["n"] for r in SP.split_counts(stored).collect()}
-    manifest = build_manifest(stored, names, params, cats, cat_path if cats is not None else None, columns, spec.target, name, counts, split_ratios, diagnostics, preset, files, spec.encoding)
+    manifest = build_manifest(stored, names, params, cats, cat_path if cats is not None else None, columns, spec.target, name, counts, split_ratios, diagnostics, preset, files, spec.encoding, f"{out_dir}/{name}_correlations")
     man_path = write_json(spark, manifest, f"{out_dir}/{name}_manifest")
     baseline: dict = {}
     if spec.target:
@@ -189,6 +198,11 @@ def log_run(
         rows.append(("tag", k, str(v)))
     now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     df = spark.createDataFrame([(run_id, now, *r) for r in rows], "run_id string, logged_at timestamp_ntz, kind string, key string, value string")
+    try:  # a run that is there already (a repeated job) is not appended again
+        df = df.join(spark.read.parquet(runs_path).select("run_id").distinct(), "run_id", "left_anti")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
     df.write.mode("append").parquet(runs_path)
     return run_id
 
