@@ -30,6 +30,7 @@ CHUNK = 1 << 20
 STEP = 4096  # bytes inflated at a time where a chunk does not inflate
 DATE = "1970-01-01T00:00:00Z"  # a capture date, as pages have none
 # fixed values: names of the archive format
+HEADER = 4 << 10  # first bytes read where a record may begin
 VERSION, MAGIC = b"WARC/1.", b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -61,24 +62,32 @@ def member(raw: bytes) -> bytes:
     return z.compress(raw) + z.flush()
 
 
-def _headers(raw: bytes) -> dict[str, str]:
-    out = {}
-    for line in raw.split(b"\r\n"):
-        name, colon, value = line.partition(b":")
+def _headers(raw: bytes, at: int = 0, end: int | None = None) -> dict[str, str]:
+    """The header lines from ``at`` to ``end``, read one by one: the first that is none ends the search."""
+    out, end = {}, len(raw) if end is None else end
+    while at < end:
+        stop = raw.find(b"\r\n", at, end)
+        stop = end if stop < 0 else stop
+        name, colon, value = raw[at:stop].partition(b":")
         if not colon:
             raise Bad("header line without a colon")
         out[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        at = stop + 2
     return out
 
 
-def parse(raw: bytes, at: int = 0) -> tuple[dict, int]:
-    """The record at ``at`` and where it ends; raises ``Bad``."""
+def parse(raw: bytes, at: int = 0, close: int | None = None) -> tuple[dict, int]:
+    """The record at ``at`` and where it ends; raises ``Bad``. ``close`` is where the next empty line after
+    ``at`` begins, if that is known."""
     if raw[at : at + len(VERSION)] != VERSION:
         raise Bad("no version line")
-    first, close = raw.find(b"\r\n", at, at + 64), raw.find(b"\r\n\r\n", at)
-    if first < 0 or close < first:
+    first = raw.find(b"\r\n", at, at + 64)
+    if first < 0:
         raise Bad("header without an end")
-    head = _headers(raw[first + 2 : close]) if close > first else {}
+    close = raw.find(b"\r\n\r\n", at) if close is None else close
+    if close < first:
+        raise Bad("header without an end")
+    head = _headers(raw, first + 2, close)
     if not head.get("content-length", "").isdigit() or "warc-type" not in head:
         raise Bad("no length or type")
     start = close + 4
@@ -120,16 +129,24 @@ def _sound(z, chunk: bytes) -> bytes:
 
 def _inside(raw: bytes) -> list[dict | str]:
     """The records in the bytes of a member, and why what lies between them is none."""
-    out, p = [], 0
+    out, p, close = [], 0, -1
+
+    def at(p: int) -> tuple[dict, int]:
+        nonlocal close
+        if close < p:  # one search for all starts before the next empty line
+            close = raw.find(b"\r\n\r\n", p)
+            close = len(raw) if close < 0 else close
+        return parse(raw, p, close if close < len(raw) else -1)
+
     while 0 <= p < len(raw):
         try:
-            r, p = parse(raw, p)
+            r, p = at(p)
             out.append(r)
         except Bad as e:
             out.append(str(e))
             while (p := raw.find(VERSION, p + 1)) >= 0:
                 try:
-                    parse(raw, p)
+                    at(p)
                     break
                 except Bad:
                     continue
@@ -140,7 +157,7 @@ def _records_at(file, at: int, size: int) -> tuple[list[dict | str], int | None]
     """The records of the member (or the plain record) at ``at`` with the reasons of gaps between them,
     and where it ends, None for a member that is damaged after its first records."""
     file.seek(at)
-    chunk = file.read(min(CHUNK, size - at))
+    chunk = file.read(min(HEADER, size - at))
     if chunk[:3] == MAGIC:
         z, out, pos, damage = zlib.decompressobj(31), [], at, None
         while not z.eof and damage is None:
@@ -163,7 +180,14 @@ def _records_at(file, at: int, size: int) -> tuple[list[dict | str], int | None]
         return (found if isinstance(found[-1], dict) else found[:-1]) + [damage], None
     if chunk[: len(VERSION)] != VERSION:
         raise Bad("neither member nor version line")
-    while (close := chunk.find(b"\r\n\r\n")) < 0 and b"\r\n" in chunk[:64] and (more := file.read(min(len(chunk), size - at - len(chunk)))):
+    seen = chunk.find(b"\r\n", 0, 64) + 2  # header lines up to here have a colon
+    while (close := chunk.find(b"\r\n\r\n", max(seen - 4, 0))) < 0 and seen > 1:
+        last = chunk.rfind(b"\r\n", seen)
+        if last >= 0:
+            _headers(chunk, seen, last)
+            seen = last + 2
+        if not (more := file.read(min(len(chunk), size - at - len(chunk)))):
+            break
         chunk += more
     m = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", chunk[: max(close, 0)])
     need = close + 8 + int(m[1]) if m else 0

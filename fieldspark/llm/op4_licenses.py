@@ -79,6 +79,7 @@ class Scanner:
             data.precompute_compress(level=LEVEL)
             self.with_[name] = zstandard.ZstdCompressor(level=LEVEL, dict_data=data, **options).compress
         self.words = {name: [w.lower() for w in _WORD.findall(t)] for name, t in templates.items()}
+        self.margin = 2 * max([NEAR, *map(len, templates.values())])  # longer than any wording with its differences
 
     def rank(self, block: str) -> list[tuple[float, str]]:
         """(size reduction, template) of the templates that save enough, greatest first, then by name."""
@@ -110,27 +111,58 @@ class Scanner:
                 differences += [f"-{w}" for w in want[a:b]] + [f"+{w}" for w in have[low + max(c, first) : low + min(d, last)]]
         return found[low + first].start(), found[low + last - 1].end(), share, differences
 
+    def places(self, block: str, name: str) -> list[tuple[int, int]]:
+        """(start, end) of all places of the template's words in the block without a difference."""
+        found, want = list(_WORD.finditer(block)), self.words[name]
+        have = [m[0].lower() for m in found]
+        out, i = [], 0
+        while i <= len(have) - len(want):
+            if have[i] == want[0] and have[i : i + len(want)] == want:
+                out.append((found[i].start(), found[i + len(want) - 1].end()))
+                i += len(want)
+            else:
+                i += 1
+        return out
+
     def scan(self, text: str) -> list[tuple[int, int, str, float, float, list[str]]]:
         """(start, end, template, reduction, share, differences) of the confirmed licenses, by place. Of
-        places that overlap, the one with more equal words stays, then the one with fewer differences."""
+        places that overlap, the one with more equal words stays, then the one with fewer differences.
+        Long blocks are scanned in windows that overlap by two margins; what ends in the last margin of a
+        window is left to the next one, so that no wording is cut."""
         out = []
         for start, end in candidate_blocks(text):
-            rest, found = [(start, end)], []
-            while rest:
-                a, z = rest.pop()
-                best = None
-                for reduction, name in self.rank(text[a:z]):
-                    hit = self.compare(text[a:z], name)
-                    if hit and hit[2] >= LEAST_WORDS:
-                        key = (hit[2] * len(self.words[name]) - len(hit[3]), hit[2], name)
-                        best = max(best, (key, hit, name, reduction)) if best else (key, hit, name, reduction)
-                if best:
-                    (s, e, share, differences), name, reduction = best[1:]
-                    found.append((a + s, a + e, name, reduction, share, differences))
-                    rest += [r for r in ((a, a + s), (a + e, z)) if _CUE.search(text[r[0] : r[1]].lower())]
-            out += sorted(found)
+            at = start
+            while at < end:
+                stop = min(at + 3 * self.margin, end)
+                found = self._scan(text, at, stop)
+                if stop < end:
+                    found = [f for f in found if f[1] <= stop - self.margin]
+                out += sorted(found)
+                at = end if stop == end else max([stop - 2 * self.margin, *(f[1] for f in found)])
         return out
 
+    def _scan(self, text: str, start: int, end: int) -> list[tuple[int, int, str, float, float, list[str]]]:
+        rest, found = [(start, end)], []
+        while rest:
+            a, z = rest.pop()
+            best = None
+            for reduction, name in self.rank(text[a:z]):
+                hit = self.compare(text[a:z], name)
+                if hit and hit[2] >= LEAST_WORDS:
+                    key = (hit[2] * len(self.words[name]) - len(hit[3]), hit[2], name)
+                    best = max(best, (key, hit, name, reduction)) if best else (key, hit, name, reduction)
+            if not best:
+                continue
+            (s, e, share, differences), name, reduction = best[1:]
+            # no wording of the block has more equal words, so all its other exact places win too
+            for s, e in [(s, e)] if differences else self.places(text[a:z], name):
+                found.append((a + s, a + e, name, reduction, share, differences))
+            ends = sorted(f[:2] for f in found if a <= f[0] and f[1] <= z)
+            for x, y in zip([a, *(e for _, e in ends)], [*(s for s, _ in ends), z]):
+                if _CUE.search(text[x:y].lower()):
+                    rest.append((x, y))
+        return found
+
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """doc_id, start, end, license, reduction, word_share, exact, differences: a row for each license

@@ -1,5 +1,6 @@
 """Each operator's own method against a brute-force version, an exact round trip or held-out rows."""
 
+import hashlib
 import io
 import os
 import random
@@ -141,6 +142,16 @@ def test_op1_sql(spark, sf001):
     assert compare(warc.op1_warc(spark, sf001), duckdb_connect(sf001), warc.OP1_SQL)["match"]
 
 
+@pytest.mark.parametrize("junk", [b"WARC/1.1\r\nno header line ", b"WARC/1.1 x ", b"WARC/1.1\r\na: b\r\n", b"WARC/1.1\r\na: b\r\n\r\n"])
+def test_false_starts_are_linear(junk):
+    raw = warc.record("response", "<urn:x>", "u", b"body" * 40, hashlib.sha256(b"body" * 40).hexdigest(), None)
+    start = time.process_time()
+    for whole in (junk * 4000 + raw, warc.member(junk * 4000 + raw)):
+        out = list(warc.salvage(io.BytesIO(whole), len(whole)))
+        assert [k for k, *_ in out][-1] == "record" and sum(k == "record" for k, *_ in out) == 1
+    assert time.process_time() - start < 4
+
+
 # 2
 
 
@@ -320,6 +331,18 @@ def test_op4_finds_every_planted_line(spark, sf001):
     assert all(z > a for a, z in candidate_blocks("x license " * 500))
 
 
+def test_repeated_notices_are_linear():
+    scanner = Scanner(TEMPLATES)
+    notice = "Released under the MIT License. "
+    start = time.process_time()
+    found = scanner.scan(notice * 800)
+    assert len(found) == 800 and all(f[2] == "MIT-notice" and not f[5] for f in found)
+    assert [f[0] for f in found] == [len(notice) * i for i in range(800)]
+    assert time.process_time() - start < 2
+    mixed = "".join(f"{TEMPLATES[n]} some words between them " for n in ("MIT", "ISC", "GPL-3.0-notice", "Apache-2.0-header") * 8)
+    assert [f[2] for f in scanner.scan(mixed)] == ["MIT", "ISC", "GPL-3.0-notice", "Apache-2.0-header"] * 8
+
+
 # 5
 
 
