@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.operators.ordered import bucketize, fill_forward_backward, ordered_scan
 from fieldspark.operators.quantiles import quantiles_with_stats
+from fieldspark.session import cut_lineage
 
 # --- fixed values (must equal the reference's behaviour) --------------------------------------
 TIME_GAP_LIMIT = 3  # at most this many consecutive missing cells are interpolated
@@ -128,6 +128,6 @@ def impute_time(
     helper = [x for x in s2.columns if x.startswith(("_pv_", "_nv_", "_pp_", "_gk_", "_i_", "_v3_"))] + ["_pos", "_b"]
     out = s2.withColumns(final).drop(*helper)
     if residual == "median":
-        out = out.persist(StorageLevel.MEMORY_AND_DISK)  # the residual statistics re-read it
+        out = cut_lineage(out)  # the residual statistics re-read it
         out = impute_constant(out, cols, "median")
     return out

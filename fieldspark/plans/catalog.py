@@ -10,7 +10,6 @@ import functools
 import json
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +20,7 @@ from fieldspark.operators.gdd import gdd
 from fieldspark.plans.clean import clean
 from fieldspark.plans.config import CleanPlan
 from fieldspark.plans.views import HARVEST_SQL, OBS_SQL, harvest, obs, with_ctes
+from fieldspark.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -820,7 +820,7 @@ FROM z, w WHERE split = 'val'"""
 def q_ridge_baseline(spark, d):
     h = harvest(spark, d)
     z = FE.apply_scaler(h, FE.fit_scaler(h, ["ph", "temp"], "standard"))
-    z = SP.split_exact(z, "rid", (0.7, 0.2, 0.1), 42).persist(StorageLevel.MEMORY_AND_DISK)
+    z = cut_lineage(SP.split_exact(z.select("rid", "ph", "temp", "yield"), "rid", (0.7, 0.2, 0.1), 42))
     out = MO.ridge_baseline(z, ["ph", "temp"], "yield", "split")
     return out.select(r6("baseline_mse").alias("baseline_mse"), "n_train", "n_val")
 

@@ -57,6 +57,13 @@ class CleanResult:
     fill_values: dict[str, float | None] = field(default_factory=dict)
     pre_dedup: DataFrame | None = None
     observations: dict | None = None
+    persisted: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Unpersist what the clean kept in memory for ``df`` and ``diagnostics``, once both are written."""
+        for df in self.persisted:
+            df.unpersist()
+        self.persisted.clear()
 
     def observed(self) -> dict[str, int]:
         """Diagnostics gathered in flight (``clean(..., observe=True)``): no extra pass over the
@@ -122,6 +129,14 @@ def clean(df: DataFrame, plan: CleanPlan = CleanPlan(), observe: bool = False) -
         raise ValueError(f"row identity column {rid!r} is required (assign it at ingest)")
     date_col = plan.date_col
 
+    kept: list[DataFrame] = []
+
+    def keep(frame: DataFrame) -> DataFrame:
+        if plan.checkpoint:
+            return cut_lineage(frame)
+        kept.append(frame.persist(StorageLevel.MEMORY_AND_DISK))
+        return frame
+
     df = init_confidence(df, plan.soft_cleaning)
     unit_report: list = []
     # text cells of columns that units, bounds or the plan treat as numbers become numbers first
@@ -151,7 +166,7 @@ def clean(df: DataFrame, plan: CleanPlan = CleanPlan(), observe: bool = False) -
     if to_fill:
         df = impute_categorical(df, to_fill, date_col, rid, list(plan.categorical_by) or None)
         # the window-heavy fill feeds several statistics passes: keep it instead of recomputing
-        df = cut_lineage(df) if plan.checkpoint else df.persist(StorageLevel.MEMORY_AND_DISK)
+        df = keep(df)
         left = df.agg(*[F.count(F.col(c)).alias(f"_c{i}") for i, c in enumerate(to_fill)]).first()
         nulls.update({c: n - left[f"_c{i}"] for i, c in enumerate(to_fill)})
     ratio = {c: nulls[c] / n if n else 0.0 for c in cols}
@@ -199,7 +214,7 @@ def clean(df: DataFrame, plan: CleanPlan = CleanPlan(), observe: bool = False) -
     else:
         work = impute_time(work, numeric, date_col, plan.field_col, rid)
     if strategy in ("ffill", "time"):
-        work = cut_lineage(work) if plan.checkpoint else work.persist(StorageLevel.MEMORY_AND_DISK)
+        work = keep(work)
     if observe:
         work = work.observe(observations["post"], F.count(F.lit(1)).alias("rows"), F.sum(null_expr).alias("nulls"))
     imputed = work
@@ -231,4 +246,4 @@ def clean(df: DataFrame, plan: CleanPlan = CleanPlan(), observe: bool = False) -
     )
     final = _long(out, {"duplicates_removed": -F.count(F.lit(1))})
     diag = pre.unionByName(post).unionByName(final).groupBy("metric").agg(F.sum("value").cast("bigint").alias("value"))
-    return CleanResult(out, diag, strategy, numeric, dropped, unit_report, ost, fills, imputed, observations)
+    return CleanResult(out, diag, strategy, numeric, dropped, unit_report, ost, fills, imputed, observations, kept)

@@ -38,3 +38,20 @@ def test_describe_of_text_columns(spark):
     assert (got["t"]["count"], got["t"]["unique"], got["t"]["top"], got["t"]["freq"]) == (4, 2, "a", 2)
     assert (got["e"]["count"], got["e"]["unique"], got["e"]["top"], got["e"]["freq"]) == (0, 0, None, None)
     assert (got["n"]["count"], got["n"]["p50"]) == (5, 3.0)
+
+
+def test_a_clean_releases_what_it_kept(spark):
+    import datetime as dt
+
+    from fieldspark.plans.clean import clean
+    from fieldspark.plans.config import CleanPlan
+
+    rows = [(i, dt.datetime(2024, 1, 1 + i % 28), f"F{i % 3}", "wheat" if i % 4 else None, float(i % 17) if i % 5 else None) for i in range(80)]
+    df = spark.createDataFrame(rows, "rid long, date timestamp_ntz, field_id string, crop string, temp double")
+    spark.catalog.clearCache()
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    res = clean(df, CleanPlan(numeric_columns=("temp",), categorical_columns=("crop",), date_columns=("date",), dedup_keys=("rid",), missing_strategy="time"))
+    assert res.df.count() == 80 and res.df.where("temp is null or crop is null").isEmpty()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() > before
+    res.release()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before and res.df.count() == 80
