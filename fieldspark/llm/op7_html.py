@@ -20,10 +20,17 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 CONTAINERS = frozenset("article aside body div dl fieldset figure footer form header main menu nav ol section table ul".split())
 SKIPPED = frozenset("button canvas iframe noscript object script select style svg template textarea title".split())
 ASIDE = frozenset("aside fieldset footer form menu nav".split())
-HINTS = re.compile(
-    r"""(?:class|id|role|aria-label)\s*=\s*["']?[^"'>]*?(?<![a-z])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|complementary|contentinfo|cookies?|consent|disqus|footer|masthead|menu|nav|navbar|navigation|newsletter|notice|pagination|popup|promo|related|replies|reply|responses|search|share|sharing|sidebar|side|skip|social|sponsor\w*|subscribe|toolbar|widget|alert)(?![a-z])""",
-    re.I,
+# fixed values: words of class names, ids and roles around what is no article; words of layout beside them
+HINTS = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus footer masthead menu nav navbar navigation newsletter"
+    " notice pagination popup promo promotion related replies reply responses search share sharing sidebar side skip social sponsor sponsored subscribe toolbar widget widgets alert".split()
 )
+LAYOUT = frozenset(
+    "area articles bar block bottom box button buttons column container content form global group header inner item items left link links list main media outer page panel post posts primary reader region right row"
+    " rail secondary section site slot top user visitor wrap wrapper".split()
+)
+NAMES = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+WORDS = re.compile(r"[a-z]+")
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 TOKEN = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)(?:>|\Z)""",
@@ -53,6 +60,17 @@ LABELLED = (
 )
 
 
+def hinted(attributes: str) -> bool:
+    """Does a name of the element say that it is no article? A name counts if it has a word of HINTS and
+    otherwise words of HINTS and LAYOUT alone: ``comments-list`` does, ``comments-on-method`` does not."""
+    for m in NAMES.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
+            if not HINTS.isdisjoint(words) and all(w in HINTS or w in LAYOUT for w in words):
+                return True
+    return False
+
+
 def grow(x: np.ndarray, y: np.ndarray):
     """Classification tree by Gini impurity: a leaf's label, or (feature, threshold, low, high)."""
     if len(set(y.tolist())) == 1:
@@ -135,7 +153,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
                 if not end:
                     stack.append((tag, article, aside, hidden))
                     article = article or tag in ("article", "main")
-                    aside = aside or tag in ASIDE or (tag == "header" and not article) or (tag != "body" and HINTS.search(attributes) is not None)
+                    aside = aside or tag in ASIDE or (tag == "header" and not article) or (tag != "body" and hinted(attributes))
                     hidden = hidden or HIDDEN.search(attributes) is not None
                 elif any(s[0] == tag for s in stack):
                     while True:

@@ -505,6 +505,36 @@ def test_blocks_and_main_text():
     assert main_text(f"<div class=menu><a>x</a></div><div><p>{long}<p>{long}</div><div id=sidebar>{long}</div>", tree) == f"{long.strip()}\n\n{long.strip()}"
 
 
+@pytest.mark.parametrize("name", ['class="share-price"', 'id="comments-on-method"', 'class="related-work"', 'class="adsorption side-effects"', 'id="researchMethods"'])
+def test_class_names_that_only_look_like_furniture(name):
+    long = "word " * 40
+    assert main_text(f"<article><p>{long}</p><section {name}><p>{long}<p>{long}</section></article>", train()).count("word") == 120
+    assert main_text(f"<div {name}><p>{long}</p><p>{long}</p></div>", train()).count("word") == 80
+
+
+@pytest.mark.parametrize("name", ['class="comments"', 'id=comment-list', 'class="x share-buttons"', 'class="site-footer"', 'class="adBanner"', 'role="navigation"', 'class="cookie_notice box"', 'class="related-posts"'])
+def test_class_names_of_furniture(name):
+    long = "word " * 40
+    assert main_text(f"<article><p>{long}</p><section {name}><p>{long}<p>{long}</section></article>", train()).count("word") == 40
+
+
+def test_pages_without_an_article_element(spark, sf001):
+    """Of the paragraphs of the article, and of all others, what is kept where only its tag is missing."""
+    import html
+
+    tree, kept, want, extra = train(), 0, 0, 0
+    for r in table(spark, sf001, "pages").collect():
+        inner = re.search(r"<article>(.*?)(</article>|\Z)", r["html"], re.S)[1]
+        true = [" ".join(html.unescape(re.sub(r"</?b>", "", p.replace("<br>", " "))).split()) for p in re.split(r"</?(?:p|h1)>", inner)]
+        true = [p for p in true if p]
+        got = main_text(re.sub(r"</?article>", lambda m: m[0].replace("article", "div"), r["html"]), tree).split("\n\n")
+        kept += sum(p in got for p in true)
+        want += len(true)
+        extra += sum(p not in true for p in got if p)
+    print(f"kept {kept} of {want}, {extra} others")
+    assert kept > 0.85 * want and extra < 0.02 * want
+
+
 def test_op7_against_the_article_element(spark, sf001):
     pages = {r["page_id"]: r["html"] for r in table(spark, sf001, "pages").collect()}
     import html
