@@ -92,7 +92,7 @@ def label_encode(df: DataFrame, cols: list[str], suffix: str = "_code", categori
     return out
 
 
-WIDE_CATEGORIES = 1000  # columns that the wide one-hot form makes at most
+WIDE_CATEGORIES = 4096  # columns that the wide one-hot form makes at most
 FREQUENT = 256  # values that are looked up by broadcast at most
 TRACKED = 8192  # values that the summary of frequent values counts at a time
 
