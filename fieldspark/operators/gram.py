@@ -20,9 +20,11 @@ ROWS = 4096  # rows that a task multiplies at a time
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
-    """Rows by columns; the one column holds arrays of one length."""
-    flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(batch.num_rows, -1)
+    """Rows by columns, without rows that hold a null or not finite value; the one column of the batch
+    holds arrays of one length."""
+    flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)  # nulls become NaN
+    m = flat.reshape(batch.num_rows, -1)
+    return m[np.isfinite(m).all(axis=1)]
 
 
 def column_means(rows: DataFrame) -> DataFrame:
@@ -31,8 +33,7 @@ def column_means(rows: DataFrame) -> DataFrame:
     def run(batches):
         n, total = 0, None
         for b in batches:
-            if b.num_rows:
-                m = _matrix(b)
+            if b.num_rows and len(m := _matrix(b)):
                 n, total = n + len(m), m.sum(axis=0) if total is None else total + m.sum(axis=0)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(np.full(len(total), n)), pa.array(total)], names=["i", "n", "s"])
@@ -50,7 +51,7 @@ def cross_products(rows: DataFrame, centre: list[float], block: int = BLOCK) ->
     def run(batches):
         total: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
-            m = _matrix(b) - mean
+            m = _matrix(b) - mean if b.num_rows else np.zeros((0, len(mean)))
             for at in range(0, len(m), ROWS):
                 part = [m[at : at + ROWS, s : s + block] for s in starts]
                 for p in pairs:
@@ -80,8 +81,7 @@ def correlation_table(df: DataFrame, cols: list[str], block: int = BLOCK) -> Dat
     """feature_i, feature_j, corr of every two of ``cols``, both ways, as a table. Rows with a null or not
     finite value in any of them are left out; a constant column has null correlations."""
     each = [F.col(f"`{c}`").cast("double") for c in cols]
-    ok = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    rows = df.select(F.array(*each).alias("x")).where(ok)
+    rows = df.select(F.array(*each).alias("x"))
     means = {r["i"]: r["mean"] for r in column_means(rows).collect()}  # a number a column
     if not means:
         return df.sparkSession.createDataFrame([(a, b, None) for a in cols for b in cols], "feature_i string, feature_j string, corr double")
