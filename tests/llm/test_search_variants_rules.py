@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldspark.llm import op11_search as search_module
+from fieldspark.llm.common import word_hashes
 from fieldspark.llm.op11_search import Postings, best_of_chunk, search, term_weight
 from fieldspark.llm.op12_variants import RUN, near_pairs, roots, single_edits, spelling_variants, tiles, variants, vocabulary
 from fieldspark.llm.op13_rules import COUNTS, bucket_end, bucket_of, features, limits, merge, quality_rules, sketch, text_counts
@@ -68,6 +69,23 @@ def test_search_is_brute_force(spark):
     assert sorted(map(tuple, search(one, q).collect())) == want
 
 
+def test_search_reads_every_slice(spark):
+    """Documents behind the first slice of an Arrow batch are ranked and counted as well."""
+    texts = ["Aa bB, É-é @[`{ zZ9", "", None, "ÀZ az AZ"]
+    whole = pa.array(texts * 3, pa.string())
+    h, rows = word_hashes(whole, "ascii")
+    for at in range(12):
+        part, inner = word_hashes(whole.slice(at, 3), "ascii")
+        end = min(at + 3, 12)
+        assert part.tolist() == h[rows[at] : rows[end]].tolist() and inner.tolist() == (rows[at : end + 1] - rows[at]).tolist()
+    g = random.Random(9)
+    docs = [(i, " ".join(g.choices([f"W{j}" for j in range(40)], k=3000))) for i in range(300)]  # 3 MB: two slices
+    d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    items = [(i, " ".join(g.choices([f"w{j}" for j in range(40)], k=5))) for i in range(4)]
+    got = search(d, spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == brute_search(docs, items, 10)
+
+
 def test_string_ids(spark):
     d = spark.createDataFrame([("b", "x y"), ("a", "x y"), ("c", "z")], "doc_id string, text string")
     q = spark.createDataFrame([("q", "x")], "item_id string, text string")
