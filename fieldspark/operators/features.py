@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldspark.functions.columns import is_finite, schema_hash
+from fieldspark.operators.lookup import frequent_values, lookup
 from fieldspark.operators.ordered import global_position
 from fieldspark.session import cut_lineage
 from fieldspark.operators.quantiles import quantiles
@@ -80,28 +81,19 @@ def category_table(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def label_encode(df: DataFrame, cols: list[str], suffix: str = "_code", categories: DataFrame | None = None) -> DataFrame:
-    """Adds ``<col><suffix>`` with the category code (join on the small category table; a
-    fitted ``category_table`` can be passed to reuse codes, unseen values get NULL)."""
+    """Adds ``<col><suffix>`` with the category code, looked up in the category table without moving all
+    rows of a value to one task; a fitted ``category_table`` can be passed to reuse codes, unseen
+    values get NULL."""
     out = df
     for c in cols:
         fitted = (
             categories.where(F.col("column") == c).select("value", "code") if categories is not None else fit_categories(df, c)
         )
-        cats = fitted.withColumnRenamed("value", "_v").withColumnRenamed("code", c + suffix)
-        out = out.join(cats, category_text(out[c]) == cats["_v"], "left").drop("_v")
+        out = lookup(out, category_text(c), fitted.select(F.col("value").alias("_v"), F.col("code").alias(c + suffix)), "_v")
     return out
 
 
 WIDE_CATEGORIES = 4096  # columns that the wide one-hot form makes at most
-FREQUENT = 256  # values that are looked up by broadcast at most
-TRACKED = 8192  # values that the summary of frequent values counts at a time
-
-
-def frequent_values(df: DataFrame, value: Column, most: int = FREQUENT) -> DataFrame:
-    """(value): at most ``most`` of the most frequent texts of ``df``, from one pass with Spark's mergeable
-    summary. Any value on more than 2 / TRACKED of all rows is among the first it keeps."""
-    top = df.select(value.alias("value")).agg(F.expr(f"approx_top_k(value, {most}, {TRACKED})").alias("t"))
-    return top.select(F.explode("t").alias("t")).select(F.col("t.item").alias("value"))
 
 
 def label_encode_skewed(df: DataFrame, cols: list[str], suffix: str = "_code", categories: DataFrame | None = None) -> DataFrame:
@@ -135,7 +127,7 @@ def onehot_sparse(df: DataFrame, cols: list[str], categories: DataFrame | None =
     (in the order of ``cols``, each by sorted category), and its length ``onehot_size``. For any number
     of categories: one slot a column and row, nothing but a count per column on the driver. Unseen
     values have no slot."""
-    cats = category_table(df, cols) if categories is None else categories
+    cats = cut_lineage(category_table(df, cols)) if categories is None else categories
     counts = {r["column"]: r["n"] for r in cats.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     out, slots, start = label_encode(df, cols, "_slot", cats), [], 0
     for c in cols:
