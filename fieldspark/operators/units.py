@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.functions.columns import coerce_numeric
+from fieldspark.operators.lookup import lookup
 
 # --- fixed values (must equal the reference's behaviour) --------------------------------------
 LB_PER_ACRE_TO_KG_PER_HA = 1.12085
@@ -99,8 +100,8 @@ def convert_units(df: DataFrame, use_range_heuristic: bool = False) -> tuple[Dat
 def range_heuristic_by_source(df: DataFrame, col: str = "temp", source_col: str = "source_file") -> DataFrame:
     """Per-source variant: a source whose ``col`` values all lie in the °F range is converted.
 
-    The per-source min/max is a partial aggregate (one row per source), joined back on the
-    source key, so a hot source never lands on a single task.
+    The per-source min/max is a partial aggregate (one row per source), looked up by the source key
+    without moving the rows of a hot source to a single task.
     """
     lo, hi = RANGE_RULES[0][1], RANGE_RULES[0][2]
     ranges = df.groupBy(source_col).agg(F.min(col).alias("_mn"), F.max(col).alias("_mx"))
@@ -108,6 +109,6 @@ def range_heuristic_by_source(df: DataFrame, col: str = "temp", source_col: str
         F.col(source_col).alias("_src"),
         (F.col("_mn").isNotNull() & (F.col("_mn") >= F.lit(lo)) & (F.col("_mx") <= F.lit(hi))).alias("_is_f"),
     )
-    out = df.join(ranges, df[source_col].eqNullSafe(ranges["_src"]), "left")
+    out = lookup(df, F.col(source_col), ranges, "_src")
     conv = F.when(F.col("_is_f"), fahrenheit_to_celsius(F.col(col))).otherwise(F.col(col))
-    return out.withColumn(col, conv).drop("_src", "_is_f")
+    return out.withColumn(col, conv).drop("_is_f")

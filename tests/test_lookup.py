@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldspark.operators import features as FE
+from fieldspark.operators import units as U
 from fieldspark.operators.lookup import lookup
 
 HOT = 1000
@@ -36,3 +37,10 @@ def test_encoded_rows_stay_in_place(spark):
     for out in (FE.label_encode(df, ["tag"]), FE.onehot_sparse(df, ["tag"]), FE.feature_matrix(df, FE.FeatureSpec(["temp"], ["tag"]), "id")[0]):
         assert _no_row_moves(out.select("id", out.columns[-1]))
     assert {r["tag"]: r["tag_code"] for r in FE.label_encode(df, ["tag"]).collect()}["hot"] == 0
+
+
+def test_range_heuristic_keeps_rows_in_place(spark):
+    df = spark.createDataFrame([(1, "a", 68.0), (2, "a", 86.0), (3, None, 50.0), (4, "b", 20.0), (5, None, 122.0)], "id long, src string, temp double")
+    out = U.range_heuristic_by_source(df, "temp", "src")
+    assert _no_row_moves(out)
+    assert sorted((r["id"], r["temp"]) for r in out.collect()) == [(1, 20.0), (2, 30.0), (3, 50.0), (4, 20.0), (5, 122.0)]
