@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ DATE_ORDERS = (
     (r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3"),
 )
 ISO_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,9})?)?\s?(Z|[+-]\d{1,2}:?\d{2})?)?$"
+NO_NUMBER = r"^\s*\d+[-/]"  # texts that are no number; a failed cast costs far more than this look
 # fixed values: texts that stand for a missing cell
 MISSING_CELLS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
@@ -50,12 +53,18 @@ def is_excel_serial(x: str | Column) -> Column:
     return (v > F.lit(EXCEL_SERIAL_MIN)) & (v < F.lit(EXCEL_SERIAL_MAX))
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` computed once a row, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def parse_timestamp(c: str | Column) -> Column:
     """Text -> TIMESTAMP_NTZ without a detour over the session's time zone; unparsable -> NULL."""
     text = F.trim(col_(c).cast("string"))
     for shape, order in DATE_ORDERS:
         text = F.regexp_replace(text, shape, order)
-    return F.when(text.rlike(ISO_SHAPE), F.regexp_replace(text, r"(:\d{1,2}(?:\.\d{1,9})?)\s?(?:Z|[+-]\d{1,2}:?\d{2})$", "$1").try_cast("timestamp_ntz"))
+    zone = r"(:\d{1,2}(?:\.\d{1,9})?)\s?(?:Z|[+-]\d{1,2}:?\d{2})$"
+    return once(text, lambda t: F.when(t.rlike(ISO_SHAPE), F.regexp_replace(t, zone, "$1").try_cast("timestamp_ntz")))
 
 
 def missing_to_null(c: str | Column) -> Column:
@@ -66,11 +75,9 @@ def missing_to_null(c: str | Column) -> Column:
 def normalise_date(c: str | Column) -> Column:
     """Date normalisation at load: Excel serials, then text formats; anything else -> NULL."""
     v = col_(c)
-    as_num = v.cast("string").try_cast("double")
-    return (
-        F.when(is_excel_serial(as_num), excel_serial_to_timestamp(as_num))
-        .otherwise(parse_timestamp(v))
-    )
+    text = v.cast("string")
+    as_num = F.when(~text.rlike(NO_NUMBER), text.try_cast("double"))
+    return once(as_num, lambda n: F.when(is_excel_serial(n), excel_serial_to_timestamp(n)).otherwise(parse_timestamp(v)))
 
 
 def uniform(seed: int, name: str, key: str | Column) -> Column:

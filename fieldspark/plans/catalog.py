@@ -17,6 +17,7 @@ from fieldspark.operators import dedup as D
 from fieldspark.operators import impute as I
 from fieldspark.operators import rules as R
 from fieldspark.operators.gdd import gdd
+from fieldspark.operators.lookup import few
 from fieldspark.plans.clean import clean
 from fieldspark.plans.config import CleanPlan
 from fieldspark.plans.views import HARVEST_SQL, OBS_SQL, harvest, obs, with_ctes
@@ -1391,7 +1392,7 @@ o AS (SELECT 'file_id=' || f AS source_file, f, k, d, count(*) FILTER (WHERE day
 def q_ingest_date_order(spark, d):
     """Files with the day first, the month first, or nothing that tells: each read in its own order."""
     res = IN.ingest(spark, FF.write_ordered_files(spark, d), ("date", "field_id", "temp"))
-    rows = res.df.join(res.files.select("source_file", "date_order"), "source_file")
+    rows = res.df.join(few(res.files.select("source_file", "date_order")), "source_file")
     return _label(rows).select("source_file", "field_id", "date_order", "date")
 
 

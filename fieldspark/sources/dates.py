@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.functions.columns import normalise_date
+from fieldspark.functions.columns import normalise_date, once
 
 TWO_NUMBERS = r"^\s*(\d{1,2})([/.-])(\d{1,2})([/.-]\d{4}.*)$"
 
@@ -38,4 +38,4 @@ def parse_ordered(cell: Column, order: Column) -> Column:
     """``normalise_date`` of a cell in a column of the given order: ``month`` swaps the first two numbers, all
     others (null too) keep the day first."""
     swapped = F.regexp_replace(cell, TWO_NUMBERS, "$3$2$1$4")
-    return normalise_date(F.when(order == "month", swapped).otherwise(cell))
+    return once(F.when(order == "month", swapped).otherwise(cell), normalise_date)

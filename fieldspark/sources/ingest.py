@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions.columns import missing_to_null, name_normalise
+from fieldspark.operators.lookup import few
 from fieldspark.session import cut_lineage, ensure_checkpoint_dir
 from fieldspark.sources.dates import date_orders, parse_ordered
 from fieldspark.sources.ranges import RANGE_BYTES, file_records, load_ranges
@@ -130,8 +131,8 @@ def parse_rows(lines: DataFrame, layout: DataFrame, header_lines: DataFrame, cat
     """Data lines after each file's header -> (source_file, line_no, cells MAP<name, text>)."""
     names = catalog.groupBy("source_file").agg(F.sort_array(F.collect_list(F.struct("pos", "name"))).alias("_n"))
     names = names.select("source_file", F.transform("_n", lambda s: s["name"]).alias("names"))
-    meta = layout.join(header_lines.select("source_file", "header_line"), "source_file").join(names, "source_file")
-    body = lines.join(meta, "source_file").where(F.col("line_no") > F.col("header_line"))
+    meta = cut_lineage(layout.join(header_lines.select("source_file", "header_line"), "source_file").join(names, "source_file"))
+    body = lines.join(few(meta), "source_file").where(F.col("line_no") > F.col("header_line"))
     cells = split_cells(F.col("line"), F.col("sep"))
     body = body.withColumn("_cells", F.transform(cells, missing_to_null))
     n = F.least(F.size("names"), F.size("_cells"))
@@ -164,8 +165,9 @@ def ingest(
     infer_date_order: bool = True,
 ) -> IngestResult:
     """Load every delimited file below ``path`` into one table (see module doc). Files are cut into
-    ranges of ``range_bytes``, so that one file of any size is read by many tasks; each step reads them
-    anew, and only tables of a row a file or header are kept (checkpointed)."""
+    ranges of ``range_bytes``, so that one file of any size is read by many tasks; each step up to the
+    headers reads them anew; tables of a row a file or header and the parsed lines are kept (checkpointed).
+    The former are broadcast to the lines up to a bound, so that no line moves."""
     from fieldspark.sources.headers import match_headers_composite
 
     if on_error not in ("raise", "skip"):
@@ -173,7 +175,7 @@ def ingest(
     hashes = cut_lineage(file_digests(spark, path))
     lines = file_records(spark, path, range_bytes, FILE_EXTENSIONS)
     layout = cut_lineage(sniff_layout(lines))
-    hdr = cut_lineage(header_rows(lines, layout, required))
+    hdr = cut_lineage(header_rows(lines, few(layout), required))
     catalog = header_catalog(hdr)
     if fuzzy:
         matched = match_headers_composite(catalog, list(required), synonyms or {}, threshold)
@@ -202,7 +204,9 @@ def ingest(
             bad.write.parquet(listed)
             raise ValueError(f"{spark.read.parquet(listed).count()} files failed validation, listed in {listed}; one is {first['source_file']}: {first['reason']}")
     good = report.where("ok").select("source_file")
-    rows = parse_rows(lines.join(good, "source_file", "left_semi"), layout, hdr, catalog)
+    # kept, as the order of dates, ``df`` and ``rejected`` read it; a filter on a date over the parse itself
+    # would also be pushed below it and split each line anew wherever the date's expression names the cell
+    rows = cut_lineage(parse_rows(lines.join(few(good), "source_file", "left_semi"), layout, hdr, catalog))
     all_names = [r["name"] for r in catalog.join(good, "source_file", "left_semi").select("name").distinct().orderBy("name").collect()]
     out = rows.select(
         "source_file",
@@ -210,16 +214,17 @@ def ingest(
         F.concat_ws(":", "source_file", F.lpad(F.col("line_no").cast("string"), 10, "0")).alias("rid"),
         *[F.col("cells").getItem(n).alias(n) for n in all_names],
         "malformed",
-    ).join(hashes, "source_file")
+    ).join(few(hashes), "source_file")
     no_date = F.lit(False)
     if normalise_dates and "date" in all_names:
         cell, order = F.col("cells").getItem("date"), F.lit(None).cast("string")
         if infer_date_order:
             orders = cut_lineage(date_orders(rows.select("source_file", cell.alias("cell")), ["source_file"]).select("source_file", "date_order"))
-            rows, out, report = (x.join(orders, "source_file", "left") for x in (rows, out, report))
+            rows, out, report = (x.join(few(orders), "source_file", "left") for x in (rows, out, report))
             order = F.col("date_order")
         no_date = parse_ordered(cell, order).isNull()
-        out = out.withColumn("date", parse_ordered(F.col("date"), order)).where(F.col("date").isNotNull()).drop("date_order")
+        # explode: a filter is not pushed below it, so that the date is parsed once a row
+        out = out.withColumn("date", F.explode(F.array(parse_ordered(F.col("date"), order)))).where(F.col("date").isNotNull()).drop("date_order")
     reason = F.when(no_date, F.lit("no readable date")).when(F.size("extra_cells") > 0, F.lit("more cells than the header")).when(F.col("malformed"), F.lit("fewer cells than the header"))
     rejected = rows.select("source_file", "line_no", reason.alias("reason"), "raw_line").where(F.col("reason").isNotNull())
     return IngestResult(out, report, catalog, rejected)

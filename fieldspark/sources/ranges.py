@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from fieldspark.operators.lookup import few
 from fieldspark.session import cut_lineage, ship
 
 RANGE_BYTES = 128 << 20
 READ_BYTES = 1 << 20  # a task holds one block of so many bytes, and the line that it is in
-PACKED_RANGES, PACKED_BYTES = 512, 1 << 20  # small files or ranges share a task up to these (and a range's size)
+PACKED_RANGES, PACKED_BYTES = 64, 1 << 20  # small files or ranges share a task up to these (and a range's size)
 
 SCHEMAS = {
     "lines": "source_file string, range_no int, pos long, line binary, odd_before boolean, odd_after boolean, k0 long, k1 long",
@@ -237,6 +238,7 @@ def records(lines: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def file_records(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, extensions: tuple[str, ...] = ("csv", "txt", "tsv")) -> DataFrame:
-    """``records`` of all delimited files below ``path``; only the states, a row a range, are kept."""
+    """``records`` of all delimited files below ``path``; only the states, a row a range, are kept,
+    and broadcast up to a bound, so that lines stay in the task that reads them."""
     states = cut_lineage(range_states(load_ranges(spark, path, "ranges", range_bytes, extensions)))
-    return records(load_ranges(spark, path, "lines", range_bytes, extensions), states)
+    return records(load_ranges(spark, path, "lines", range_bytes, extensions), few(states))

@@ -65,3 +65,15 @@ def test_frequent_values_do_not_move(spark):
     plan = label_encode_skewed(df, ["tag"])._jdf.queryExecution().optimizedPlan().toString()
     held = plan.split("Join LeftOuter")[0]  # the first branch of the union: an inner join by broadcast
     assert "strategy=broadcast" in held and "Join Inner" in held
+
+
+def test_dates_and_serials_as_before(spark):
+    """A text that begins like a date is not tried as a number; all others are."""
+    import datetime as dt
+
+    from fieldspark.functions.columns import normalise_date
+
+    cells = ["2024-01-31", " 31/01/2024", "45322", " 45322.0 ", "45322d", "4.5322e4", "1e-5", "45322-", "45322/1", "n.d.", "", None, "2024/1/31 06:00:00+02:00"]
+    got = spark.createDataFrame(list(enumerate(cells)), "id int, cell string").select("id", normalise_date("cell").alias("date")).orderBy("id").collect()
+    day = dt.datetime(2024, 1, 31)
+    assert [r["date"] for r in got] == [day, day, day, day, day, day, None, None, None, None, None, None, day.replace(hour=6)]

@@ -111,3 +111,15 @@ def test_cells_of_a_very_long_line(spark):
     line = ",".join(['"a,b"'] * 20000)
     n = spark.createDataFrame([(line,)], "line string").select(F.size(IN.split_cells(F.col("line"), F.lit(",")))).first()[0]
     assert n == 20000
+
+
+def test_lines_do_not_move(spark, tmp_path):
+    """Tables of a row a file are broadcast, and lines are parsed once."""
+    from fieldspark.sources.ingest import ingest
+
+    for f in range(3):
+        (tmp_path / f"f{f}.csv").write_text("date,field_id,temp\n" + "\n".join(f"1{k}/0{f + 1}/2024,{k},1" for k in range(9)) + "\nn.d.,x,1\n")
+    res = ingest(spark, str(tmp_path), ("date", "field_id", "temp"))
+    plan = res.df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan and "delimited_ranges" not in plan
+    assert res.df.count() == 27 and res.rejected.count() == 3
