@@ -24,12 +24,14 @@ def feature_stats(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.agg(*aggs).select(F.expr(f"stack({len(cols)}, {parts}) as (column, mean, std, min, max)"))
 
 
-def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(feature_i, feature_j, corr): two passes (means, then centred cross sums) for stability;
-    a constant column gives NULL instead of a division error."""
+def correlation_matrix(df: DataFrame, cols: list[str], means: dict[str, float | None] | None = None) -> DataFrame:
+    """(feature_i, feature_j, corr): two passes (means, unless they are given, then centred cross sums)
+    for stability; a constant column gives NULL instead of a division error."""
     spark = df.sparkSession
-    means = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    cen = [F.col(c) - F.lit(means[f"m{i}"]) for i, c in enumerate(cols)]
+    if means is None:
+        row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+        means = {c: row[f"m{i}"] for i, c in enumerate(cols)}
+    cen = [F.col(c) - F.lit(means[c]) for c in cols]
     aggs = []
     for i in range(len(cols)):
         for j in range(i, len(cols)):

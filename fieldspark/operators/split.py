@@ -87,13 +87,15 @@ def split_exact(df: DataFrame, key: str, ratios=(0.7, 0.2, 0.1), seed: int = 42,
         return [n_train, n_train + n_val]
 
     _, (last_train, last_val) = hash_boundaries(df, h, ends)
-    return df.withColumn(col, F.when(h <= F.lit(last_train), "train").when(h <= F.lit(last_val), "val").otherwise("test"))
+    hashed = df.withColumn("_split_hash", h)  # a column of its own: hashed once a row
+    at = F.col("_split_hash")
+    return hashed.withColumn(col, F.when(at <= F.lit(last_train), "train").when(at <= F.lit(last_val), "val").otherwise("test")).drop("_split_hash")
 
 
 def split_counts(df: DataFrame, col: str = "split") -> DataFrame:
-    """(split, n) for train/val/test plus a ``total`` row."""
+    """(split, n) for train/val/test plus a ``total`` row, their sum (``df`` is counted once)."""
     per = df.groupBy(col).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-    total = df.agg(F.count(F.lit(1)).cast("bigint").alias("n")).select(F.lit("total").alias(col), "n")
+    total = per.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n")).select(F.lit("total").alias(col), "n")
     return per.unionByName(total)
 
 

@@ -10,6 +10,7 @@ import functools
 import json
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -1446,6 +1447,7 @@ HARVEST_PLAN = CleanPlan(
 
 def _bundle(spark, d):
     res = clean(harvest(spark, d), HARVEST_PLAN)
+    res.df.persist(StorageLevel.MEMORY_AND_DISK)  # de-duplicated once, for the diagnostics and the export
     diag = {r["metric"]: r["value"] for r in res.diagnostics.collect()}
     spec = FE.FeatureSpec(numeric=["ph", "temp"], categorical=["crop"], target="yield")
     out = FF.scratch_path(spark, "bundle")

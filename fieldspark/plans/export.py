@@ -76,7 +76,7 @@ def build_manifest(
         GR.correlation_table(flat, feature_names).write.mode("overwrite").parquet(correlations_path)
         corr = {"table": correlations_path}
     elif len(feature_names) > 1:
-        for r in MO.correlation_matrix(flat, feature_names).collect():
+        for r in MO.correlation_matrix(flat, feature_names, {c: r["mean"] for c, r in st.items()}).collect():
             corr.setdefault(r["feature_i"], {})[r["feature_j"]] = r["corr"]
     mappings: dict = {}
     if categories is not None:
